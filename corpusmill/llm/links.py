@@ -69,3 +69,15 @@ def pairs_within(members: DataFrame) -> DataFrame:
     return one.join(two, same & met & (F.col("one.row_idx") < F.col("two.row_idx"))).select(
         F.col("one.row_idx").alias("row_idx_a"), F.col("two.row_idx").alias("row_idx_b")
     )
+
+
+def join_hot(rows: DataFrame, groups: DataFrame, on: list[str], *, size: str, total: int) -> DataFrame:
+    """``rows`` joined to ``groups``, of which each has one row, its key and the number ``size`` of its rows.
+
+    Keys that hold more than a thousandth of all ``total`` rows are fewer than a thousand, so they are broadcast and
+    their rows stay where they are; only the others are shuffled.
+    """
+    many = F.col(size) * 1000 > total
+    hot = F.broadcast(groups.where(many))
+    cold = rows.join(F.broadcast(groups.where(many).select(*on)), on, "left_anti")
+    return rows.join(hot, on).unionByName(cold.join(groups.where(~many), on))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..plans.lineage import cut
 from ..sources.tables import spread
 from .bags import bands, signatures
-from .links import components, likely_enough, pairs_within
+from .links import components, join_hot, likely_enough, pairs_within
 from .words import WordHashes, counted, digests, hashed, runs
 
 CHUNK = 1000
@@ -127,8 +127,8 @@ def near_duplicates(
             break
         links, heads = roots.select(F.col("root").alias("a"), F.col("node").alias("b")), heads * 2
     plain = source.mapInArrow(_sets(width, None), schema.format("int")).select("row_idx", "d1", "d2")
-    named = plain.groupBy("d1", "d2").agg(F.min("row_idx").alias("class_id"))
-    members = plain.join(named, ["d1", "d2"])
+    named = plain.groupBy("d1", "d2").agg(F.min("row_idx").alias("class_id"), F.count("*").alias("size"))
+    members = join_hot(plain, cut(named), ["d1", "d2"], size="size", total=df.count())
     return members.join(roots, members["class_id"] == roots["node"], "left").select(
         "row_idx", "class_id", F.coalesce("root", "class_id").alias("root")
     )

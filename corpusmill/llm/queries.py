@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
+from .formatting import format_copies, format_copy_rows
 from .near_duplicates import near_duplicate_pairs, near_duplicates
+from .split_overlap import overlap_report, split_overlap_pairs
 
 
 def titled():
@@ -14,9 +16,51 @@ def titled():
     return F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")))
 
 
+def paired():
+    """An instruction, a line break and its response."""
+    return F.concat(F.coalesce("instruction", F.lit("")), F.lit("\n"), F.coalesce("response", F.lit("")))
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_pairs(table(spark, sf_dir, "rag_corpus"), titled(), width=3, least=0.6)
 
 
-QUERIES = {"p1_found": p1_found}
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each record's class and group at five words and 0.8, and the group's size."""
+    rows = near_duplicates(table(spark, sf_dir, "rag_corpus"), titled())
+    return rows.join(rows.groupBy("root").agg(F.count("*").alias("group_size")), "root").select("row_idx", "class_id", "root", "group_size")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rag = format_copy_rows(table(spark, sf_dir, "rag_corpus"), fielded=["text"])
+    sft = format_copy_rows(table(spark, sf_dir, "sft_instructions"), plain=["instruction"], fielded=["response"])
+    rag, sft = (x.select(F.lit(n).alias("table_name"), "*") for x, n in ((rag, "rag_corpus"), (sft, "sft_instructions")))
+    return rag.unionByName(sft)
+
+
+def p2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kept row of each group and its number of copies, of both tables."""
+    rag = format_copies(table(spark, sf_dir, "rag_corpus"), fielded=["text"])
+    sft = format_copies(table(spark, sf_dir, "sft_instructions"), plain=["instruction"], fielded=["response"])
+    rag, sft = (x.select(F.lit(n).alias("table_name"), "*") for x, n in ((rag, "rag_corpus"), (sft, "sft_instructions")))
+    return rag.unionByName(sft)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_overlap_pairs(table(spark, sf_dir, "sft_instructions"), paired(), F.lower(F.trim("split")) == "train", width=3, least=0.6)
+
+
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps per split and source at five words and 0.8."""
+    return overlap_report(table(spark, sf_dir, "sft_instructions"), paired(), F.lower(F.trim("split")) == "train")
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_groups": p1_groups,
+    "p2_found": p2_found,
+    "p2_counts": p2_counts,
+    "p6_found": p6_found,
+    "p6_report": p6_report,
+}
 SQL: dict[str, str] = {}
