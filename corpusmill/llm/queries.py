@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from .formatting import format_copies, format_copy_rows
+from .leaks import leaked_items, removal_spans
 from .near_duplicates import near_duplicate_pairs, near_duplicates
+from .packing import pack, packing_report
 from .split_overlap import overlap_report, split_overlap_pairs
 
 
@@ -55,6 +57,27 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap_report(table(spark, sf_dir, "sft_instructions"), paired(), F.lower(F.trim("split")) == "train")
 
 
+def p7_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's containers of each size."""
+    return pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_capacity"))
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers and unused share of each size."""
+    sizes = table(spark, sf_dir, "pack_capacity")
+    return packing_report(pack(table(spark, sf_dir, "documents"), sizes), sizes)
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
+    return found.select("doc_id", F.col("item").cast("int").alias("eval_index"))
+
+
+def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stretches of words to remove from each document, with the items they come from."""
+    return removal_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
@@ -62,5 +85,9 @@ QUERIES = {
     "p2_counts": p2_counts,
     "p6_found": p6_found,
     "p6_report": p6_report,
+    "p7_assignment": p7_assignment,
+    "p7_report": p7_report,
+    "p8_found": p8_found,
+    "p8_spans": p8_spans,
 }
 SQL: dict[str, str] = {}
