@@ -6,11 +6,15 @@ import numpy as np
 
 from .words import GOLD, mix, times
 
-TOP = 2.0**-53
+#: Length of the stretches of time in which an element's points are drawn at once, and points expected in one.
+STRETCH, EXPECTED = 1.0 / 64, 2.0
+_PMF = np.exp(-EXPECTED) * EXPECTED ** np.arange(20.0) / np.cumprod(np.r_[1.0, np.arange(1.0, 20.0)])
+#: The number of points of a stretch (Poisson) for each value of 16 random bits.
+POINTS = np.searchsorted(np.cumsum(_PMF), (np.arange(1 << 16) + 0.5) / (1 << 16)).astype(np.int64)
 
 
-def _grid(doc: np.ndarray, h: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The Poisson processes of each element: one a block of the discretised weight axis, [0,1), [1,2), [2,4), [4,8), ...
+def _blocks(doc: np.ndarray, h: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The processes of each element, one a block of the discretised weight axis: [0,1), [1,2), [2,4), [4,8), ...
 
     Returns text number, seed, lower end and width of the block and the element's weight.
     """
@@ -23,41 +27,60 @@ def _grid(doc: np.ndarray, h: np.ndarray, weight: np.ndarray) -> tuple[np.ndarra
     return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (doc, h, weight, weight, weight)
 
 
+def _fan(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each place as often as its count says, and a running number within it."""
+    place = np.repeat(np.arange(len(count)), count)
+    return place, np.arange(len(place)) - np.repeat(np.cumsum(count) - count, count)
+
+
 def signatures(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, count: int, size: int, seed: int = 1) -> np.ndarray:
     """A ``count`` x ``size`` matrix; two bags agree in a component with the probability of their weighted likeness.
 
-    Weights are positive whole numbers. An element of weight w owns the interval [0, w) of the weight axis. Over every
-    block of that axis runs a Poisson process of rate ``size`` times its width, in ascending time; a point falls on a
+    Weights are positive whole numbers. An element of weight w owns the interval [0, w) of the weight axis. A Poisson
+    process runs over every block of that axis, at a rate of ``size`` a unit of weight and time; a point falls on a
     component and on a place of the block, and counts if that place lies below w. A component is the time of its first
-    point. Points later than a time by which a text's components are all but surely filled are never made; the few
-    texts with a component still empty are done again with twice the time. Rows of empty bags stay infinite.
+    point. Points come from hashes alone, drawn stretch by stretch: first how many, then each one's time and component.
+    A text's processes end at the stretch by which all its components are all but surely filled; the texts with one
+    still empty are done again with twice the time. Rows of empty bags stay infinite.
     """
     sig = np.full(count * size, np.inf)
     total = np.bincount(doc, weight, count)
-    until = np.divide(np.log(size) + 4.0, total, out=np.zeros(count), where=total > 0)
-    at, key, low, width, w = _grid(doc, h ^ mix(np.full(1, seed, np.uint64)), weight)
-    while len(at):
-        d, k, lo, wd, ww, limit = at, key, low, width, w, until[at]
-        time, step = np.zeros(len(d)), 0
-        while len(d):
-            step += 1
-            r = mix(k + times(step))
-            time = time - np.log(((r >> np.uint64(11)).astype(np.float64) + 0.5) * TOP) / (size * wd)
-            live = time < limit
-            if not live.all():
-                d, k, lo, wd, ww, limit, time, r = (x[live] for x in (d, k, lo, wd, ww, limit, time, r))
-            spot = mix(r + GOLD)
-            slot = (spot % np.uint64(size)).astype(np.int64)
-            place = lo + ((spot >> np.uint64(32)).astype(np.float64) * 2.0**-32 * wd).astype(np.int64)
-            hit = place < ww
-            np.minimum.at(sig, d[hit] * size + slot[hit], time[hit])
+    unit = STRETCH * EXPECTED * 64 / size  # so that a block of width 1 expects EXPECTED points a stretch
+    need = np.divide(np.log(size) + 3.0, total, out=np.zeros(count), where=total > 0)
+    last = np.ceil(need / unit).astype(np.int64)
+    begin = np.zeros(count, np.int64)
+    doc, key, low, width, weight = _blocks(doc, h ^ mix(np.full(1, seed, np.uint64)), weight)
+    while len(doc):
+        at, turn = _fan((last - begin)[doc] * width)  # a block of width v has v streams a stretch
+        turn += begin[doc[at]] * width[at]
+        stream = mix(key[at] + turn.astype(np.uint64) * GOLD)
+        points = POINTS[stream >> np.uint64(48)]
+        of, number = _fan(points)
+        r = mix(stream[of] + (number.astype(np.uint64) + np.uint64(1)) * GOLD)
+        at, stretch = at[of], turn[of] // width[at[of]]
+        time = (stretch + (r >> np.uint64(16)).astype(np.float64) * 2.0**-48) * unit
+        slot = (r & np.uint64(0xFFFF)).astype(np.int64) * size >> 16
+        wide = np.flatnonzero(width[at] > 1)
+        if len(wide):
+            a = at[wide]
+            place = low[a] + turn[of[wide]] % width[a]
+            dropped = np.ones(len(at), bool)
+            dropped[wide] = place < weight[a]
+            at, slot, time = at[dropped], slot[dropped], time[dropped]
+        np.minimum.at(sig, doc[at] * size + slot, time)
         short = np.isinf(sig.reshape(count, size)).any(axis=1) & (total > 0)
-        again = short[at]
-        at, key, low, width, w = (x[again] for x in (at, key, low, width, w))
-        until = until * 2
+        again = short[doc]
+        doc, key, low, width, weight = (x[again] for x in (doc, key, low, width, weight))
+        begin, last = last, last * 2
     return sig.reshape(count, size)
 
 
+def sketches(sig: np.ndarray) -> np.ndarray:
+    """One bit of each of 128 components, as two 64-bit numbers: they differ in about (1 - likeness) / 2 of the bits."""
+    bits = np.ascontiguousarray(sig[:, :128]).view(np.uint64)
+    return np.packbits((mix(bits) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
+
+
 def bands(sig: np.ndarray, rows: int) -> np.ndarray:
     """64-bit keys of groups of ``rows`` components each."""
     count, size = sig.shape

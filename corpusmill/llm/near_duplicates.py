@@ -11,33 +11,46 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
 from ..sources.tables import spread
-from .bags import bands, signatures
+from .bags import bands, signatures, sketches
 from .links import components, join_hot, likely_enough, pairs_within
-from .words import WordHashes, counted, digests, hashed, runs
+from .words import WordHashes, counted, hashed, runs
 
-CHUNK = 1000
+CHUNK = 200
+#: Of the 128 bits of two sketches this many agree at least, unless the likeness is below 0.6 (all but 1 in 50,000 times).
+AGREED = 84
 
 
-def _sets(width: int, signed: tuple[int, int] | None):
-    """Batches of (row_idx, record) to rows of their digest, and either their band keys or their sets of runs."""
+def _signed(width: int, size: int, rows: int):
+    """Batches of (row_idx, digest, record) to band keys and sketches of the records that have a run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for whole in batches:
             for batch in (whole.slice(i, CHUNK) for i in range(0, whole.num_rows, CHUNK)):
-                h, n = hashed(batch.column(1).to_pylist(), memo)
+                h, n = hashed(batch.column(2).to_pylist(), memo)
                 doc, h, count = counted(*runs(h, n, width))
-                size = np.bincount(doc, minlength=len(n))
-                d1, d2 = digests(doc, h, len(n))
-                kept = np.flatnonzero(size)
-                cols = [batch.column(0).take(pa.array(kept)), pa.array(d1[kept]), pa.array(d2[kept])]
-                if signed:
-                    keys = bands(signatures(doc, h, count, len(n), signed[0]), signed[1])[kept]
-                    values, ends = keys.ravel(), np.arange(len(kept) + 1) * keys.shape[1]
-                else:
-                    values, ends = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32), np.r_[0, np.cumsum(size[kept])]
-                cols.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values)))
-                yield pa.RecordBatch.from_arrays(cols, names=["row_idx", "d1", "d2", "elements"])
+                kept = np.flatnonzero(np.bincount(doc, minlength=len(n)))
+                sig = signatures(doc, h, count, len(n), size)[kept]
+                keys, sketch = bands(sig, rows), sketches(sig)
+                lists = pa.ListArray.from_arrays(pa.array((np.arange(len(kept) + 1) * keys.shape[1]).astype(np.int32)), pa.array(keys.ravel()))
+                own = [batch.column(i).take(pa.array(kept)) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*own, lists, pa.array(sketch[:, 0]), pa.array(sketch[:, 1])], names=["row_idx", "digest", "keys", "s1", "s2"])
+
+    return run
+
+
+def _sets(width: int):
+    """Batches of (class_id, record) to the sets of hashed runs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = WordHashes()
+        for whole in batches:
+            for batch in (whole.slice(i, CHUNK) for i in range(0, whole.num_rows, CHUNK)):
+                h, n = hashed(batch.column(1).to_pylist(), memo)
+                doc, h, _ = counted(*runs(h, n, width))
+                ends = np.r_[0, np.cumsum(np.bincount(doc, minlength=len(n)))].astype(np.int32)
+                values = pa.array((h & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), values)], names=["class_id", "elements"])
 
     return run
 
@@ -94,41 +107,48 @@ def near_duplicates(
     df: DataFrame, record: Column, *, row_id: str = "row_idx", width: int = 5, least: float = 0.8,
     size: int = 128, rows: int = 4, heads: int = 4,
 ) -> DataFrame:
-    """Groups of texts that share at least the share ``least`` of their distinct runs of ``width`` words.
-
-    Returns ``(row_idx, class_id, root)``, one row per record that has a run: records of the same set of runs are one
-    class, named after its least row; classes linked by that likeness, also by way of others, have the same ``root``.
-
-    Each class gets a BagMinHash signature of ``size`` components of its runs, weighted by how often they come, in
-    bands of ``rows``: at likeness x one band is shared with probability 1 - (1 - x^rows)^(size/rows). In each bucket
-    all classes are held against its first ``heads``, exactly, on the sets of runs. Those that were held against all
-    are done; a bucket whose other classes are all in one group by now is done as well, and of any other the classes
-    outside its largest group become heads in the next round, twice as many. So no pair in a bucket is left out that
-    could join two groups, though a group's pairs are never all written. Null texts are empty; a record without a run
-    is in no group. Columns beside the ones read do not matter.
+    """Groups of texts that share at least the share ``least`` (0.6 or more) of their distinct runs of ``width`` words.
+
+    Returns ``(row_idx, class_id, root)``, one row per record that has a run: byte-identical records are one class,
+    named after its least row; classes linked by that likeness, also by way of others, have the same ``root``.
+
+    Each class gets a BagMinHash signature of ``size`` (128 or more) components of its runs, weighted by how often they
+    come, in bands of ``rows``: at likeness x one band is shared with probability 1 - (1 - x^rows)^(size/rows). In each
+    bucket all classes are held against its first ``heads``: by a sketch of 128 bits of the signature, then exactly, on
+    the sets of runs. Those that were held against all are done; a bucket whose other classes are all in one group by
+    now is done as well, and of any other the classes outside its largest group become heads in the next round, twice as
+    many. So no pair in a bucket is left out that could join two groups, though a group's pairs are never all written.
+    Null texts are empty; a record without a run is in no group. Columns beside the ones read do not matter.
     """
-    source = spread(df.select(F.col(row_id).cast("bigint").alias("row_idx"), record.alias("record")))
-    schema = "row_idx bigint, d1 bigint, d2 bigint, elements array<{}>"
-    signed = source.mapInArrow(_sets(width, (size, rows)), schema.format("bigint"))
-    sets = source.mapInArrow(_sets(width, None), schema.format("int")).select(F.col("row_idx").alias("class_id"), "elements")
-    same = signed.groupBy("d1", "d2").agg(F.min("row_idx").alias("class_id"), F.first("elements").alias("elements"))
-    banded = same.select(F.explode("elements").alias("key"), F.col("class_id").alias("id"), F.lit(False).alias("late"))
-    links = roots = None
+    source = df.select(F.col(row_id).cast("bigint").alias("row_idx"), F.unhex(F.md5(record)).alias("digest"), record.alias("record"))
+    signed = spread(source).mapInArrow(_signed(width, size, rows), "row_idx bigint, digest binary, keys array<bigint>, s1 bigint, s2 bigint")
+    grouped = signed.groupBy("digest").agg(F.min("row_idx").alias("class_id"), F.count("*").alias("size"), *(F.first(c).alias(c) for c in ("keys", "s1", "s2")))
+    classes = cut(grouped)
+    banded = classes.select(F.explode("keys").alias("key"), F.col("class_id").alias("id"))
+    sketch = classes.select("class_id", "s1", "s2")
+    left, right = (sketch.select(F.col("class_id").alias(x), F.col("s1").alias(f"{x}1"), F.col("s2").alias(f"{x}2")) for x in "ab")
+    agreed = 128 - F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) - F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
+    links = roots = sets = None
     while True:
-        ordered = banded.repartition("key").sortWithinPartitions("key", "late", F.xxhash64("id", "key"))
+        order = ["key", *(["late"] if "late" in banded.columns else []), F.xxhash64("id", "key")]
+        ordered = banded.repartition("key").sortWithinPartitions(*order)
         met = cut(ordered.select("key", "id").mapInArrow(_met(heads), "a bigint, b bigint, key bigint, id bigint"))
-        pairs = met.where("a is not null").select("a", "b").distinct()
-        found = likely_enough(pairs, sets, least).select("a", "b")
+        near = cut(met.select("a", "b").distinct().join(left, "a").join(right, "b").where(agreed >= AGREED).select("a", "b"))
+        if sets is None:  # later rounds hold deep rows only
+            deep = met.where("key is not null").select("id")
+            touched = near.select(F.col("a").alias("row_idx")).union(near.select("b")).union(deep).distinct()
+            texts = source.select("row_idx", "record").join(touched, "row_idx", "left_semi")
+            sets = cut(texts.mapInArrow(_sets(width), "class_id bigint, elements array<int>"))
+        found = likely_enough(near, sets, least).select("a", "b")
         links = found if links is None else links.union(found)
-        left = met.where("key is not null").select("key", "id").distinct()
         roots = components(links)
-        banded = cut(_rest(left, roots))
+        rest = met.where("key is not null").select("key", "id").distinct()
+        banded = cut(_rest(rest, roots))
         if banded.isEmpty():
             break
         links, heads = roots.select(F.col("root").alias("a"), F.col("node").alias("b")), heads * 2
-    plain = source.mapInArrow(_sets(width, None), schema.format("int")).select("row_idx", "d1", "d2")
-    named = plain.groupBy("d1", "d2").agg(F.min("row_idx").alias("class_id"), F.count("*").alias("size"))
-    members = join_hot(plain, cut(named), ["d1", "d2"], size="size", total=df.count())
+    own = source.select("row_idx", "digest")
+    members = join_hot(own, classes.select("digest", "class_id", "size"), ["digest"], size="size", total=df.count())
     return members.join(roots, members["class_id"] == roots["node"], "left").select(
         "row_idx", "class_id", F.coalesce("root", "class_id").alias("root")
     )
