@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -17,4 +18,8 @@ def cut(df: DataFrame) -> DataFrame:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusmill-"))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    # What led here is no longer needed; collected references let Spark delete the shuffle files behind them.
+    gc.collect()
+    sc._jvm.System.gc()
+    return out
