@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..plans.lineage import cut
 from ..sources.tables import spread
 from .bags import bands, signatures, sketches
+from .bitmap import bitmap, passes
 from .links import components, join_hot, likely_enough, pairs_within
 from .words import WordHashes, counted, hashed, runs
 
@@ -39,13 +40,16 @@ def _signed(width: int, size: int, rows: int):
     return run
 
 
-def _sets(width: int):
-    """Batches of (class_id, record) to the sets of hashed runs."""
+def _sets(width: int, wanted: np.ndarray):
+    """Batches of (class_id, record) to the sets of hashed runs, of the classes in the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for whole in batches:
             for batch in (whole.slice(i, CHUNK) for i in range(0, whole.num_rows, CHUNK)):
+                batch = batch.filter(pa.array(passes(wanted, batch.column(0).to_numpy())))
+                if not batch.num_rows:
+                    continue
                 h, n = hashed(batch.column(1).to_pylist(), memo)
                 doc, h, _ = counted(*runs(h, n, width))
                 ends = np.r_[0, np.cumsum(np.bincount(doc, minlength=len(n)))].astype(np.int32)
@@ -130,15 +134,15 @@ def near_duplicates(
     agreed = 128 - F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) - F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
     links = roots = sets = None
     while True:
-        order = ["key", *(["late"] if "late" in banded.columns else []), F.xxhash64("id", "key")]
+        order = ["key", *(["late"] if "late" in banded.columns else []), "id"]
         ordered = banded.repartition("key").sortWithinPartitions(*order)
         met = cut(ordered.select("key", "id").mapInArrow(_met(heads), "a bigint, b bigint, key bigint, id bigint"))
         near = cut(met.select("a", "b").distinct().join(left, "a").join(right, "b").where(agreed >= AGREED).select("a", "b"))
         if sets is None:  # later rounds hold deep rows only
             deep = met.where("key is not null").select("id")
             touched = near.select(F.col("a").alias("row_idx")).union(near.select("b")).union(deep).distinct()
-            texts = source.select("row_idx", "record").join(touched, "row_idx", "left_semi")
-            sets = cut(texts.mapInArrow(_sets(width), "class_id bigint, elements array<int>"))
+            wanted = bitmap(touched)
+            sets = cut(spread(source.select("row_idx", "record")).mapInArrow(_sets(width, wanted), "class_id bigint, elements array<int>"))
         found = likely_enough(near, sets, least).select("a", "b")
         links = found if links is None else links.union(found)
         roots = components(links)
