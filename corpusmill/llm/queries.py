@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from .formatting import format_copies, format_copy_rows
+from .language_labels import fit, language_cases, language_report, language_segments
 from .leaks import leaked_items, removal_spans
 from .near_duplicates import near_duplicate_pairs, near_duplicates
 from .packing import pack, packing_report
 from .split_overlap import overlap_report, split_overlap_pairs
+from .text_statistics import text_statistics, unnatural_texts
+from .values import long_form
 
 
 def titled():
@@ -48,6 +51,52 @@ def p2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rag.unionByName(sft)
 
 
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values of both tables that have a declared language."""
+    rag, sft = table(spark, sf_dir, "rag_corpus"), table(spark, sf_dir, "sft_instructions")
+    return long_form(
+        [
+            (rag, "rag_corpus", "text", "lang"),
+            (sft, "sft_instructions", "instruction", "instruction_lang"),
+            (sft, "sft_instructions", "response", "response_lang"),
+        ]
+    )
+
+
+def written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values that should be prose."""
+    rag, sft = table(spark, sf_dir, "rag_corpus"), table(spark, sf_dir, "sft_instructions")
+    return long_form([(rag, "rag_corpus", "text", None), (sft, "sft_instructions", "response", None)])
+
+
+def language_model(spark: SparkSession, sf_dir: str):
+    return fit(table(spark, sf_dir, "lang_sample"), table(spark, sf_dir, "common_word"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = labelled(spark, sf_dir)
+    return language_cases(values, language_model(spark, sf_dir), table(spark, sf_dir, "common_word"), natural_only=["text", "response"])
+
+
+def p3_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every segment's language and confidence."""
+    return language_segments(labelled(spark, sf_dir), language_model(spark, sf_dir))
+
+
+def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declared labels against the languages found."""
+    return language_report(labelled(spark, sf_dir), language_model(spark, sf_dir))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unnatural_texts(written(spark, sf_dir), table(spark, sf_dir, "common_word"))
+
+
+def p4_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every value's statistics, shares and kind."""
+    return text_statistics(written(spark, sf_dir), table(spark, sf_dir, "common_word"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_overlap_pairs(table(spark, sf_dir, "sft_instructions"), paired(), F.lower(F.trim("split")) == "train", width=3, least=0.6)
 
@@ -83,6 +132,11 @@ QUERIES = {
     "p1_groups": p1_groups,
     "p2_found": p2_found,
     "p2_counts": p2_counts,
+    "p3_found": p3_found,
+    "p3_segments": p3_segments,
+    "p3_report": p3_report,
+    "p4_found": p4_found,
+    "p4_statistics": p4_statistics,
     "p6_found": p6_found,
     "p6_report": p6_report,
     "p7_assignment": p7_assignment,
