@@ -33,6 +33,15 @@ def _fan(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return place, np.arange(len(place)) - np.repeat(np.cumsum(count) - count, count)
 
 
+def _draw(sig: np.ndarray, key: np.ndarray, turn: np.ndarray, doc: np.ndarray, size: int, unit: float, stretch: np.ndarray) -> None:
+    """Enter the points of some streams into the signatures."""
+    stream = mix(key + turn.astype(np.uint64) * GOLD)
+    of, number = _fan(POINTS[stream >> np.uint64(48)])
+    r = mix(stream[of] + (number.astype(np.uint64) + np.uint64(1)) * GOLD)
+    time = (stretch[of] + (r >> np.uint64(16)).astype(np.float64) * 2.0**-48) * unit
+    np.minimum.at(sig, doc[of] * size + ((r & np.uint64(0xFFFF)).astype(np.int64) * size >> 16), time)
+
+
 def signatures(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, count: int, size: int, seed: int = 1) -> np.ndarray:
     """A ``count`` x ``size`` matrix; two bags agree in a component with the probability of their weighted likeness.
 
@@ -51,23 +60,18 @@ def signatures(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, count: int, s
     begin = np.zeros(count, np.int64)
     doc, key, low, width, weight = _blocks(doc, h ^ mix(np.full(1, seed, np.uint64)), weight)
     while len(doc):
-        at, turn = _fan((last - begin)[doc] * width)  # a block of width v has v streams a stretch
-        turn += begin[doc[at]] * width[at]
-        stream = mix(key[at] + turn.astype(np.uint64) * GOLD)
-        points = POINTS[stream >> np.uint64(48)]
-        of, number = _fan(points)
-        r = mix(stream[of] + (number.astype(np.uint64) + np.uint64(1)) * GOLD)
-        at, stretch = at[of], turn[of] // width[at[of]]
-        time = (stretch + (r >> np.uint64(16)).astype(np.float64) * 2.0**-48) * unit
-        slot = (r & np.uint64(0xFFFF)).astype(np.int64) * size >> 16
-        wide = np.flatnonzero(width[at] > 1)
-        if len(wide):
-            a = at[wide]
-            place = low[a] + turn[of[wide]] % width[a]
-            dropped = np.ones(len(at), bool)
-            dropped[wide] = place < weight[a]
-            at, slot, time = at[dropped], slot[dropped], time[dropped]
-        np.minimum.at(sig, doc[at] * size + slot, time)
+        plain = np.flatnonzero(width == 1)
+        at, stretch = _fan((last - begin)[doc[plain]])
+        stretch += begin[doc[plain[at]]]
+        _draw(sig, key[plain[at]], stretch, doc[plain[at]], size, unit, stretch)
+        wide = np.flatnonzero(width > 1)
+        if len(wide):  # a block of width v has v streams a stretch, one for each unit of it
+            at, turn = _fan((last - begin)[doc[wide]] * width[wide])
+            at = wide[at]
+            turn += begin[doc[at]] * width[at]
+            used = low[at] + turn % width[at] < weight[at]
+            at, turn = at[used], turn[used]
+            _draw(sig, key[at], turn, doc[at], size, unit, turn // width[at])
         short = np.isinf(sig.reshape(count, size)).any(axis=1) & (total > 0)
         again = short[doc]
         doc, key, low, width, weight = (x[again] for x in (doc, key, low, width, weight))

@@ -53,14 +53,15 @@ def _sets(width: int, wanted: np.ndarray):
                 h, n = hashed(batch.column(1).to_pylist(), memo)
                 doc, h, _ = counted(*runs(h, n, width))
                 ends = np.r_[0, np.cumsum(np.bincount(doc, minlength=len(n)))].astype(np.int32)
-                values = pa.array((h & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
+                values = pa.array((h >> np.uint64(24)).astype(np.uint32).view(np.int32))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), values)], names=["class_id", "elements"])
 
     return run
 
 
 def _met(most: int):
-    """Rows (key, id, ...) sorted by key and order to candidate pairs: each row with the first ``most`` of its key."""
+    """Rows (key, id) sorted by key to pairs (a, b) of each row with the first ``most`` of its key before it, and to rows
+    (key, id) of those behind the first ``most``, which have not met each other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, heads, seen = None, np.zeros(0, np.int64), 0
@@ -77,17 +78,20 @@ def _met(most: int):
             begin = np.repeat(start, np.diff(np.r_[start, len(key)]))
             rank = np.arange(len(key)) - begin
             fresh = np.arange(len(key)) >= carried
+            lead, own = [], []
             for i in range(most):
                 here = np.flatnonzero((rank > i) & fresh)
-                if not len(here):
-                    break
-                lead, own = ids[begin[here] + i], ids[here]
-                deep = rank[here] >= most
-                deep[key[here] == key[0]] |= before > 0
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.minimum(lead, own)), pa.array(np.maximum(lead, own)), pa.array(key[here], mask=~deep), pa.array(own, mask=~deep)],
-                    names=["a", "b", "key", "id"],
-                )
+                lead.append(ids[begin[here] + i])
+                own.append(ids[here])
+            lead, own = np.concatenate(lead), np.concatenate(own)
+            late = rank >= most
+            late[key == key[0]] |= before > 0
+            late = np.flatnonzero(late & fresh)
+            none = pa.nulls(len(late), pa.int64())
+            rows = [pa.concat_arrays([pa.array(np.minimum(lead, own)), none]), pa.concat_arrays([pa.array(np.maximum(lead, own)), none])]
+            none = pa.nulls(len(own), pa.int64())
+            rows += [pa.concat_arrays([none, pa.array(key[late])]), pa.concat_arrays([none, pa.array(ids[late])])]
+            yield pa.RecordBatch.from_arrays(rows, names=["a", "b", "key", "id"])
             size = len(key) - start[-1]
             seen = size + (before if len(start) == 1 else 0)
             last, heads = key[-1], ids[start[-1] : start[-1] + most]
@@ -109,7 +113,7 @@ def _rest(rows: DataFrame, roots: DataFrame) -> DataFrame:
 
 def near_duplicates(
     df: DataFrame, record: Column, *, row_id: str = "row_idx", width: int = 5, least: float = 0.8,
-    size: int = 128, rows: int = 4, heads: int = 4,
+    size: int = 128, rows: int = 4, heads: int = 8,
 ) -> DataFrame:
     """Groups of texts that share at least the share ``least`` (0.6 or more) of their distinct runs of ``width`` words.
 
@@ -120,14 +124,15 @@ def near_duplicates(
     come, in bands of ``rows``: at likeness x one band is shared with probability 1 - (1 - x^rows)^(size/rows). In each
     bucket all classes are held against its first ``heads``: by a sketch of 128 bits of the signature, then exactly, on
     the sets of runs. Those that were held against all are done; a bucket whose other classes are all in one group by
-    now is done as well, and of any other the classes outside its largest group become heads in the next round, twice as
+    now is done as well, and of any other the classes outside its largest group become heads in the next round, four times as
     many. So no pair in a bucket is left out that could join two groups, though a group's pairs are never all written.
     Null texts are empty; a record without a run is in no group. Columns beside the ones read do not matter.
     """
     source = df.select(F.col(row_id).cast("bigint").alias("row_idx"), F.unhex(F.md5(record)).alias("digest"), record.alias("record"))
     signed = spread(source).mapInArrow(_signed(width, size, rows), "row_idx bigint, digest binary, keys array<bigint>, s1 bigint, s2 bigint")
-    grouped = signed.groupBy("digest").agg(F.min("row_idx").alias("class_id"), F.count("*").alias("size"), *(F.first(c).alias(c) for c in ("keys", "s1", "s2")))
-    classes = cut(grouped)
+    kept = (F.first(c).alias(c) for c in ("keys", "s1", "s2"))
+    classes = cut(signed.groupBy("digest").agg(F.min("row_idx").alias("class_id"), F.count("*").alias("size"), *kept))
+    del signed
     banded = classes.select(F.explode("keys").alias("key"), F.col("class_id").alias("id"))
     sketch = classes.select("class_id", "s1", "s2")
     left, right = (sketch.select(F.col("class_id").alias(x), F.col("s1").alias(f"{x}1"), F.col("s2").alias(f"{x}2")) for x in "ab")
@@ -135,9 +140,10 @@ def near_duplicates(
     links = roots = sets = None
     while True:
         order = ["key", *(["late"] if "late" in banded.columns else []), "id"]
-        ordered = banded.repartition("key").sortWithinPartitions(*order)
-        met = cut(ordered.select("key", "id").mapInArrow(_met(heads), "a bigint, b bigint, key bigint, id bigint"))
-        near = cut(met.select("a", "b").distinct().join(left, "a").join(right, "b").where(agreed >= AGREED).select("a", "b"))
+        ordered = banded.repartition("key").sortWithinPartitions(*order).select("key", "id")
+        met = cut(ordered.mapInArrow(_met(heads), "a bigint, b bigint, key bigint, id bigint").distinct())
+        del ordered, banded
+        near = cut(met.where("a is not null").select("a", "b").join(left, "a").join(right, "b").where(agreed >= AGREED).select("a", "b"))
         if sets is None:  # later rounds hold deep rows only
             deep = met.where("key is not null").select("id")
             touched = near.select(F.col("a").alias("row_idx")).union(near.select("b")).union(deep).distinct()
@@ -146,11 +152,11 @@ def near_duplicates(
         found = likely_enough(near, sets, least).select("a", "b")
         links = found if links is None else links.union(found)
         roots = components(links)
-        rest = met.where("key is not null").select("key", "id").distinct()
+        rest = met.where("key is not null").select("key", "id")
         banded = cut(_rest(rest, roots))
         if banded.isEmpty():
             break
-        links, heads = roots.select(F.col("root").alias("a"), F.col("node").alias("b")), heads * 2
+        links, heads = roots.select(F.col("root").alias("a"), F.col("node").alias("b")), heads * 4
     own = source.select("row_idx", "digest")
     members = join_hot(own, classes.select("digest", "class_id", "size"), ["digest"], size="size", total=df.count())
     return members.join(roots, members["class_id"] == roots["node"], "left").select(

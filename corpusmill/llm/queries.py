@@ -13,6 +13,7 @@ from .near_duplicates import near_duplicate_pairs, near_duplicates
 from .packing import pack, packing_report
 from .split_overlap import overlap_report, split_overlap_pairs
 from .text_statistics import text_statistics, unnatural_texts
+from .truncation import length_hazards, truncated_texts, truncation_report
 from .values import long_form
 
 
@@ -127,6 +128,22 @@ def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncated_texts(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of cut texts of each source."""
+    return truncation_report(table(spark, sf_dir, "documents"))
+
+
+def p9_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lengths at which texts of a source end significantly often."""
+    df = table(spark, sf_dir, "documents").where("text is not null")
+    source = F.lower(F.trim(F.coalesce("source", F.lit(""))))
+    return length_hazards(df.select(source.alias("source"), "text", F.length("text").alias("length"))).where("significant")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
@@ -143,5 +160,8 @@ QUERIES = {
     "p7_report": p7_report,
     "p8_found": p8_found,
     "p8_spans": p8_spans,
+    "p9_found": p9_found,
+    "p9_report": p9_report,
+    "p9_limits": p9_limits,
 }
 SQL: dict[str, str] = {}

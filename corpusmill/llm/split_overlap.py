@@ -14,7 +14,7 @@ from ..sources.tables import spread
 from .links import join_hot, likely_enough
 from .words import WordHashes, counted, digests, hashed, runs
 
-CHUNK = 1000
+CHUNK = 200
 #: Counters of how common a run is among the held-out records: a fixed table of 256 kB, whatever the data.
 COUNTERS = 1 << 16
 

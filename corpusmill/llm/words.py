@@ -63,13 +63,14 @@ def runs(h: np.ndarray, n: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarr
 
 
 def counted(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (text number, hash), sorted, with their counts."""
+    """Distinct (text number, hash), sorted, with their counts; of up to 256 texts, by the upper 56 bits of the hashes."""
     if not len(h):
         return doc, h, np.zeros(0, np.int64)
-    order = np.lexsort((h, doc))
-    doc, h = doc[order], h[order]
-    first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])])
-    return doc[first], h[first], np.diff(np.r_[first, len(h)])
+    key = np.sort((doc.astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8)))
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    count = np.diff(np.r_[first, len(key)])
+    key = key[first]
+    return (key >> np.uint64(56)).astype(np.int64), key << np.uint64(8), count
 
 
 def digests(doc: np.ndarray, h: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
