@@ -19,7 +19,7 @@ def cut(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusmill-"))
     out = df.checkpoint(eager=True)
-    # What led here is no longer needed; collected references let Spark delete the shuffle files behind them.
+    del df  # collected references let Spark delete the shuffle files behind them, if the caller holds none
     gc.collect()
     sc._jvm.System.gc()
     return out
