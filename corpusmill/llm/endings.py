@@ -92,7 +92,7 @@ def ending(text: str) -> tuple[str, str | None, str]:
         return "listed", None, text
     if MARKER.match(line) and len(tokens) <= 14:
         return "listed", None, text
-    if text.count("```") % 2 or re.search(r"[{}();=]\s*$", line) and "```" in text[-400:]:
+    if text.endswith("`") or text.count("```") % 2 or re.search(r"[{}();=]\s*$", line) and "```" in text[-400:]:
         return "listed", None, text
     if DONE.search(text) and not (torn or omitted):
         return "done", None, text

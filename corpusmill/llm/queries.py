@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
+from .broken_pairs import broken_pairs
 from .formatting import format_copies, format_copy_rows
 from .language_labels import fit, language_cases, language_report, language_segments
 from .leaks import leaked_items, removal_spans
@@ -98,6 +99,19 @@ def p4_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_statistics(written(spark, sf_dir), table(spark, sf_dir, "common_word"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return broken_pairs(table(spark, sf_dir, "sft_instructions"), language_model(spark, sf_dir), table(spark, sf_dir, "common_word"))
+
+
+def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs and defects per source."""
+    pairs = table(spark, sf_dir, "sft_instructions")
+    found = p5_found(spark, sf_dir)
+    source = F.lower(F.trim(F.coalesce("source", F.lit("")))).alias("source")
+    joined = pairs.select("row_idx", source).join(found, "row_idx", "left")
+    return joined.groupBy("source", F.coalesce("defect", F.lit("sound")).alias("defect")).agg(F.count("*").alias("pairs"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_overlap_pairs(table(spark, sf_dir, "sft_instructions"), paired(), F.lower(F.trim("split")) == "train", width=3, least=0.6)
 
@@ -154,6 +168,8 @@ QUERIES = {
     "p3_report": p3_report,
     "p4_found": p4_found,
     "p4_statistics": p4_statistics,
+    "p5_found": p5_found,
+    "p5_report": p5_report,
     "p6_found": p6_found,
     "p6_report": p6_report,
     "p7_assignment": p7_assignment,
