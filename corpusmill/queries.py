@@ -2,5 +2,479 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import text as T
+from .operators import chunk, clean, context, evaluate, integrity, prepare, profile, retrieval, split
+from .plans import sql as S
+from .plans.lineage import cut
+from .sources.tables import spread, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+LIMITS = clean.Limits(non_ascii=0.08)
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def rag(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "rag_corpus"))
+
+
+def sft(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "sft_instructions"))
+
+
+def items(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "eval_item")
+
+
+def _cleaned(spark: SparkSession, d: str, which: str) -> DataFrame:
+    return clean.clean_rag(rag(spark, d), LIMITS) if which == "rag" else clean.clean_sft(sft(spark, d), LIMITS)
+
+
+# Text functions
+
+
+@query(S.TEXT_FUNCTIONS)
+def text_functions(spark, d):
+    """Scalar functions over every record."""
+    t, n = F.col("text"), F.col("title")
+    return rag(spark, d).select(
+        "row_idx", F.length(T.normalized(t)).alias("norm_length"), F.round(T.non_ascii_ratio(T.normalized(t)), 9).alias("non_ascii"), T.word_count(T.normalized(t)).cast("bigint").alias("words"),
+        F.size(T.token_set(t)).alias("distinct_words"), T.preview(t).alias("preview"), T.bucket_name(F.col("source")).alias("bucket"), T.doc_key(F.col("id")).alias("doc_key"),
+        T.source_bucket(F.col("source")).alias("source_bucket"), T.on_topic(T.normalized(t)).alias("on_topic"), F.md5(T.normalized(T.merged(n, t))).alias("merged_md5"),
+    )
+
+
+@query(S.SNIPPETS)
+def snippets(spark, d):
+    """The expected snippet of every response."""
+    return sft(spark, d).select("row_idx", T.snippet(F.col("response"), 30, 140).alias("snippet"))
+
+
+@query(S.TITLES)
+def document_titles(spark, d):
+    """Title, section and heading flag of every document."""
+    t = F.col("text")
+    return spread(table(spark, d, "documents")).select("doc_id", T.title_of(t, F.lit("untitled")).alias("doc_title"), T.section_of(t).alias("section"), T.is_heading(t).alias("heading"))
+
+
+# Preparation
+
+
+@query(S.PREPARE_RAG)
+def prepare_rag(spark, d):
+    """Records on topic with their normalised texts."""
+    return prepare.rag_items(rag(spark, d)).select("row_idx", "title", "text")
+
+
+@query(S.PREPARE_SFT)
+def prepare_sft(spark, d):
+    """Pairs on topic with their normalised texts."""
+    return prepare.sft_items(sft(spark, d)).select("row_idx", "instruction", "response")
+
+
+@query(S.TOPIC_COUNTS)
+def topic_filter(spark, d):
+    """Records on and off topic for each source."""
+    whole = F.concat(T.normalized(F.col("title")), F.lit(" "), T.normalized(F.col("text")))
+    rows = rag(spark, d).select(T.source_bucket(F.col("source")).alias("source"), T.on_topic(whole).alias("on_topic"))
+    return rows.groupBy("source").agg(F.count("*").alias("rows"), F.sum(F.col("on_topic").cast("int")).alias("on_topic_rows"))
+
+
+@query(S.STACKED)
+def stacked_sources(spark, d):
+    """Rows per place of the stacked sources, each limited to its first row numbers."""
+    rows = rag(spark, d).select("row_idx", F.lower(T.normalized(F.col("source"))).alias("source"))
+    names = ["openassistant", "dolly", "stackoverflow", "arxiv"]
+    parts = [prepare.source_limit(rows.where(F.col("source") == n), 1_000_000) for n in names]
+    return prepare.stacked(parts).groupBy("source_ord", "source").agg(F.count("*").alias("rows"), F.min("row_idx").alias("first_row"))
+
+
+@query(S.ADJACENT)
+def pair_adjacent(spark, d):
+    """Message pairs next to each other within a conversation."""
+    return prepare.adjacent_pairs(spread(table(spark, d, "message")))
+
+
+@query(S.ORDINAL)
+def pair_ordinal(spark, d):
+    """Message pairs as a counter of non-assistant messages finds them."""
+    return prepare.ordinal_pairs(spread(table(spark, d, "message")))
+
+
+# Cleaning
+
+
+@query(S.CLEAN_RAG)
+def clean_rag_rows(spark, d):
+    """Every record's reject reason, score and bucket."""
+    return _cleaned(spark, d, "rag").select("row_idx", "reason", "quality_score", "quality_bucket")
+
+
+@query(S.CLEAN_SFT)
+def clean_sft_rows(spark, d):
+    """Every pair's reject reason, score and bucket."""
+    return _cleaned(spark, d, "sft").select("row_idx", "reason", "quality_score", "quality_bucket")
+
+
+@query(S.profile_of("clean_rag"))
+def clean_rag_profile(spark, d):
+    """What comes in, stays and is dropped of each source of records, and the mean quality of what stays."""
+    return clean.source_profile(_cleaned(spark, d, "rag"))
+
+
+@query(S.profile_of("clean_sft"))
+def clean_sft_profile(spark, d):
+    """The same of pairs."""
+    return clean.source_profile(_cleaned(spark, d, "sft"))
+
+
+@query(S.DROP_REASONS)
+def drop_reasons_rollup(spark, d):
+    """Rejected records per reason, by source and over all."""
+    return clean.drop_reasons(_cleaned(spark, d, "rag"))
+
+
+@query(S.SUMMARY)
+def cleaning_summary(spark, d):
+    """Totals of both tables."""
+    parts = [clean.summary(_cleaned(spark, d, w)).select(F.lit(w).alias("dataset"), "*") for w in ("rag", "sft")]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(S.AUDIT)
+def audit_samples(spark, d):
+    """The first ten rows of each status, source and category."""
+    return clean.audit_samples(_cleaned(spark, d, "rag"), "rag", ["title", "text"]).select("status", "source", "category", "row_idx", "sample_rank", "preview", "normalized_length")
+
+
+@query(S.KEPT_IDS)
+def kept_documents(spark, d):
+    """Kept records as numbered document files."""
+    found = clean.export_documents(clean.kept(_cleaned(spark, d, "rag"), "rag"))
+    return found.select("doc_file", F.md5("content").alias("content_md5"))
+
+
+# Splits and evaluation items
+
+
+def _assigned(spark, d):
+    pairs = sft(spark, d).join(_cleaned(spark, d, "sft").select("row_idx", "quality_bucket"), "row_idx").where("quality_bucket is not null")
+    return split.assign_splits(pairs.drop("split").select("row_idx", "id", "source", "quality_bucket"))
+
+
+@query(S.SPLIT_ROWS)
+def split_rows(spark, d):
+    """The split of every kept pair, and whether the policy keeps it."""
+    return _assigned(spark, d).select("row_idx", "split", "selected")
+
+
+@query(S.SPLIT_COUNTS)
+def split_counts(spark, d):
+    """Rows and selected rows per split, source and bucket."""
+    return split.split_summary(_assigned(spark, d)).withColumnRenamed("rows", "n_rows")
+
+
+@query(S.AUTO_EVAL)
+def auto_eval_items(spark, d):
+    """Evaluation items made of the eval split."""
+    return split.auto_eval(sft(spark, d).where("split = 'eval'"))
+
+
+@query(S.EVAL_ERRORS)
+def eval_validation(spark, d):
+    """Errors of the evaluation items, with limits that some fail."""
+    return evaluate.eval_errors(items(spark, d), query_chars=125, expected_chars=28)
+
+
+@query(S.EVAL_SUMMARY)
+def eval_validation_summary(spark, d):
+    """Their number."""
+    return evaluate.eval_summary(items(spark, d), query_chars=125, expected_chars=28)
+
+
+# Profiles
+
+
+@query(S.LENGTH_STATS)
+def length_stats(spark, d):
+    """Lengths of both text columns of records."""
+    return profile.length_stats(rag(spark, d), "text").unionByName(profile.length_stats(rag(spark, d), "title"))
+
+
+@query(S.DUP_RATE)
+def dup_rate(spark, d):
+    """Repeated texts and titles."""
+    return profile.duplicate_rate(rag(spark, d), "text").unionByName(profile.duplicate_rate(rag(spark, d), "title"))
+
+
+@query(S.SOURCE_COUNTS)
+def source_counts(spark, d):
+    """Records per source."""
+    return profile.source_counts(rag(spark, d)).withColumnRenamed("rows", "n_rows")
+
+
+@query(S.HISTOGRAM)
+def length_histogram(spark, d):
+    """Records per hundred characters of length."""
+    return profile.length_histogram(rag(spark, d), "text").withColumnRenamed("rows", "n_rows")
+
+
+@query(S.GATES)
+def eda_gates(spark, d):
+    """Shares of noise and foreign characters against their bounds."""
+    return profile.gates(rag(spark, d), "text").withColumnRenamed("rows", "n_rows")
+
+
+@query(S.SIMHASH)
+def simhash(spark, d):
+    """The SimHash of every record's text."""
+    return profile.simhash(rag(spark, d), "text")
+
+
+@query(S.NEAR_BAND)
+def near_dup_band(spark, d):
+    """Records at most forty rows apart whose SimHashes nearly agree."""
+    return profile.band_pairs(cut(profile.simhash(rag(spark, d).where("text is not null and trim(text) <> ''"), "text")))
+
+
+# Chunks
+
+
+@query(S.FIXED)
+def fixed_chunks(spark, d):
+    """Windows of every document, with a digest of each."""
+    found = chunk.fixed_chunks(spread(table(spark, d, "documents")), 700, 80)
+    return found.select("doc_id", "pos", "start_char", "end_char", F.md5("chunk_text").alias("chunk_md5"))
+
+
+@query(S.LINKED)
+def chunk_links(spark, d):
+    """Windows with their ids and neighbours."""
+    found = chunk.linked(chunk.fixed_chunks(spread(table(spark, d, "documents")), 1500, 100))
+    return found.select("doc_id", "pos", "chunk_id", "prev_chunk_id", "next_chunk_id")
+
+
+@query(S.SENTENCES)
+def sentences(spark, d):
+    """Sentences of every document."""
+    found = chunk.sentences(spread(table(spark, d, "documents")))
+    return found.select("doc_id", "pos", F.md5("sentence").alias("sentence_md5"), F.length("sentence").alias("sentence_length"))
+
+
+def documents(spark, d) -> DataFrame:
+    rows = spread(table(spark, d, "documents"))
+    path = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"))
+    return chunk.document_records(rows, path, F.coalesce("source_name", F.lit("")))
+
+
+@query(S.DOC_RECORDS)
+def document_records(spark, d):
+    """Document records of all texts that are not blank."""
+    return documents(spark, d).select("doc_id", "source_name", "title", "section", F.length("text").alias("text_length"))
+
+
+@query()
+def paragraph_chunks(spark, d):
+    """Paragraph chunks of all documents with sections and neighbours."""
+    return chunk.chunk_records(documents(spark, d), 520, 80)
+
+
+# Search
+
+
+@query(S.KNN)
+def knn_topk(spark, d):
+    """The five nearest vectors of every fiftieth vector."""
+    v = spread(table(spark, d, "embeddings"))
+    vectors = v.select(F.col("vec_id").alias("chunk_idx"), "embedding")
+    return retrieval.knn(vectors, v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "embedding"), 5)
+
+
+def passages(spark, d) -> DataFrame:
+    """Documents as chunks of their own: what is searched in the queries that SQL can follow."""
+    rows = spread(table(spark, d, "documents"))
+    return rows.select(F.col("doc_id").alias("chunk_idx"), F.coalesce("title", F.lit("")).alias("title"), F.lit(None).cast("string").alias("section"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def questions(spark, d) -> DataFrame:
+    return items(spark, d).select(F.col("eval_index").cast("bigint").alias("qid"), "query")
+
+
+@query(S.VOCABULARY)
+def bm25_vocabulary(spark, d):
+    """Document frequency and weight of every word."""
+    p = passages(spark, d)
+    return retrieval.vocabulary(retrieval.postings(p), retrieval.keyword_stats(p)).select("term", "df", F.round("idf", 9).alias("idf"))
+
+
+def _bm25(spark, d, k):
+    p = passages(spark, d)
+    return retrieval.bm25(retrieval.postings(p), retrieval.keyword_stats(p), questions(spark, d), k)
+
+
+@query(S.BM25)
+def bm25_topk(spark, d):
+    """The ten best documents of every evaluation question by BM25."""
+    return _bm25(spark, d, 10)
+
+
+def _vector(spark, d, k):
+    return retrieval.knn(retrieval.embed(passages(spark, d), "chunk_idx", "text"), retrieval.embed(questions(spark, d), "qid", "query"), k)
+
+
+@query(S.VECTOR)
+def vector_topk(spark, d):
+    """The ten nearest documents of every question by hashed words."""
+    return _vector(spark, d, 10)
+
+
+@query(S.HYBRID)
+def hybrid_rrf(spark, d):
+    """Both lists fused."""
+    return retrieval.fuse(_vector(spark, d, 15), _bm25(spark, d, 15), 5)
+
+
+@query(S.RERANK)
+def reranked(spark, d):
+    """The twenty best by BM25, reranked by word overlap."""
+    return retrieval.rerank(_bm25(spark, d, 20), questions(spark, d), passages(spark, d), 5)
+
+
+@query(S.GATE)
+def quality_gate(spark, d):
+    """Whether what was found suffices."""
+    return retrieval.quality_gate(_bm25(spark, d, 5), questions(spark, d), passages(spark, d), min_score=0.6, min_coverage=0.5, min_strong=2)
+
+
+def _served(spark, d):
+    chunks = cut(chunk.chunk_records(documents(spark, d), 520, 80))
+    from .operators.ordering import global_ordinal
+
+    named = chunks.withColumn("place", F.concat_ws("|", F.lpad("doc_id", 24, "0"), F.lpad(F.col("pos").cast("string"), 8, "0"))).withColumnRenamed("chunk_text", "text")
+    indexed = cut(global_ordinal(named, "place", "chunk_idx"))
+    return indexed, retrieval.retrieve(indexed, questions(spark, d), top_k=5, mode="hybrid", reranked=True)
+
+
+@query()
+def context_blocks(spark, d):
+    """Context blocks of every question over paragraph chunks."""
+    chunks, found = _served(spark, d)
+    return context.context_blocks(found, chunks)
+
+
+@query()
+def answers(spark, d):
+    """Answers with sources, by a stand-in for a model."""
+    chunks, found = _served(spark, d)
+    found = cut(found)
+    gate = retrieval.quality_gate(found, questions(spark, d), chunks, min_score=0.6, min_coverage=0.5)
+    return context.answers(context.context_blocks(found, chunks), gate, questions(spark, d), mode="rag")
+
+
+@query(S.PROMPTS)
+def prompts(spark, d):
+    """The prompt of every question with its three best documents' titles as contexts."""
+    lists = _bm25(spark, d, 3).join(passages(spark, d).select("chunk_idx", "title"), "chunk_idx").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "title"))).alias("c"))
+    rows = questions(spark, d).join(lists, "qid", "left")
+    contexts = F.coalesce(F.transform("c", lambda x: x["title"]), F.array().cast("array<string>"))
+    return rows.select("qid", F.md5(context.prompt(F.col("query"), contexts)).alias("prompt_md5"))
+
+
+# Integrity
+
+
+@query(S.LEAK_EXACT)
+def leak_exact(spark, d):
+    """Pairs whose instruction is an evaluation question."""
+    return integrity.exact_query_matches(sft(spark, d), items(spark, d))
+
+
+@query(S.leak_contained("sft_instructions", "response"))
+def leak_response(spark, d):
+    """Responses that contain an expected text."""
+    return integrity.expected_matches(sft(spark, d), items(spark, d), "response")
+
+
+@query(S.leak_contained("rag_corpus", "text"))
+def leak_text(spark, d):
+    """Records that contain an expected text."""
+    return integrity.expected_matches(rag(spark, d), items(spark, d), "text")
+
+
+@query()
+def leak_sft(spark, d):
+    """The first pair that leaks each item, with all reasons."""
+    return integrity.sft_leakage(sft(spark, d), items(spark, d))
+
+
+@query()
+def leak_rag(spark, d):
+    """The first record that leaks each item, with all reasons."""
+    return integrity.rag_leakage(rag(spark, d), items(spark, d))
+
+
+@query()
+def split_integrity(spark, d):
+    """Counts of all checks: pairs and records against items, items of odd numbers against the others."""
+    e = items(spark, d)
+    return integrity.split_integrity(sft(spark, d), rag(spark, d), e, split.auto_eval(sft(spark, d)).select(F.row_number().over(_by_row()).alias("eval_index"), "query", "expected_substring"))
+
+
+def _by_row():
+    from pyspark.sql import Window
+
+    return Window.orderBy("row_idx")  # at most two hundred items
+
+
+# Evaluation
+
+
+def _ranks(spark, d):
+    return evaluate.hit_ranks(_bm25(spark, d, 10), passages(spark, d), items(spark, d).withColumn("eval_index", F.col("eval_index").cast("bigint")))
+
+
+@query(S.HIT_RANKS)
+def hit_ranks(spark, d):
+    """The first document of each question that holds the expected text."""
+    return _ranks(spark, d)
+
+
+@query(S.METRICS)
+def hit_rate_mrr(spark, d):
+    """Hit rate and mean reciprocal rank at 3, 5 and 10."""
+    ranks = cut(_ranks(spark, d))
+    return reduce(DataFrame.unionByName, [evaluate.metrics(ranks, k) for k in (3, 5, 10)])
+
+
+@query(S.ABLATION)
+def ablation_grid(spark, d):
+    """All variants of a grid of parameters."""
+    return evaluate.variants(spark, ["vector", "hybrid"], [420, 520, 700], [40, 80, 520], [3, 5, 8])
+
+
+@query(S.LEADERBOARD)
+def leaderboard(spark, d):
+    """Places of three depths of search by their metrics."""
+    return evaluate.leaderboard(hit_rate_mrr(spark, d).withColumn("ordinal", F.col("top_k"))).select("place", "top_k", "hit_rate", "mrr")
+
+
+@query(S.REGRESSION)
+def regression_check(spark, d):
+    """Depth 3 against depth 10 as the baseline."""
+    m = cut(hit_rate_mrr(spark, d))
+    return evaluate.regression(m.where("top_k = 3"), m.where("top_k = 10"))
