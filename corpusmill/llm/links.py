@@ -30,6 +30,18 @@ def components(links: DataFrame) -> DataFrame:
     Each round a node takes the least root among its neighbours and then that root's own root, until none changes;
     paths are halved, so that chains take logarithmically many rounds.
     """
+    spark = links.sparkSession
+    name = "spark.sql.constraintPropagation.enabled"
+    before = spark.conf.get(name)
+    # Checkpoints pass on the constraints of what they hold; round after round these would pile up in the driver.
+    spark.conf.set(name, "false")
+    try:
+        return _roots(links)
+    finally:
+        spark.conf.set(name, before)
+
+
+def _roots(links: DataFrame) -> DataFrame:
     edges = cut(links.select("a", "b").union(links.select("b", "a")).distinct())
     roots = edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("root"))
     roots = cut(roots)
