@@ -18,6 +18,11 @@ def strip(c: str) -> str:
     return f"regexp_replace(coalesce({c}, ''), {q(f'^{SPACE}+|{SPACE}+$')}, '', 'g')"
 
 
+def low(c: str) -> str:
+    """Lower case, where a dotted capital I becomes two code points."""
+    return f"lower(replace({c}, chr(304), 'i' || chr(775)))"
+
+
 def toks(c: str) -> str:
     return f"regexp_extract_all(lower(coalesce({c}, '')), {q(WORD + '+')})"
 
@@ -229,7 +234,7 @@ GATES = f"""SELECT *, noise_rows < 0.05 * n_rows AS noise_ok, non_ascii_rows < 0
  CASE WHEN noise_rows < 0.05 * n_rows AND non_ascii_rows < 0.2 * n_rows AND missing_source_rows < n_rows THEN 'PASS' ELSE 'PASS_WITH_CLEANING_REQUIRED' END AS status
 FROM (SELECT count(*) AS n_rows, sum({has('t', '(?i)https?://|<[^>]+>')}::INT)::BIGINT AS noise_rows, sum((({non_ascii('t')}) > 0.3)::INT)::BIGINT AS non_ascii_rows, sum((s = '__missing_source__')::INT)::BIGINT AS missing_source_rows
  FROM (SELECT {norm('text')} AS t, {bucket_of('source')} AS s FROM rag_corpus))"""
-_GRAMS = f"SELECT row_idx, unnest(CASE WHEN length(t) < 3 THEN [t] ELSE list_transform(range(1, length(t) - 1), lambda i: substring(t, i, 3)) END) AS g FROM (SELECT row_idx, text, lower({norm('text')}) AS t FROM rag_corpus)"
+_GRAMS = f"SELECT row_idx, unnest(CASE WHEN length(t) < 3 THEN [t] ELSE list_transform(range(1, length(t) - 1), lambda i: substring(t, i, 3)) END) AS g FROM (SELECT row_idx, text, {low(norm('text'))} AS t FROM rag_corpus)"
 _HASHES = f"""SELECT row_idx, sum(CASE WHEN v <= 0 THEN 0 WHEN b = 0 THEN -(1::HUGEINT << 63) ELSE (1::HUGEINT << (63 - b)) END)::BIGINT AS simhash
 FROM (SELECT row_idx, b, sum(CASE WHEN (h >> (63 - b)) & 1 = 1 THEN n ELSE -n END) AS v FROM (SELECT row_idx, g, ('0x' || substr(md5(g), 17, 16))::UBIGINT AS h, count(*) AS n FROM ({_GRAMS}) GROUP BY ALL), range(64) r(b) GROUP BY ALL) GROUP BY row_idx"""
 SIMHASH = _HASHES
