@@ -32,6 +32,9 @@ def fields(text: str) -> list[tuple[str, str]] | None:
     marks = list(LABEL.finditer(bare))
     if len(marks) < 2 or re.search(r"\w", bare[: marks[0].start(1)]):
         return None
+    for m in marks[1:]:  # a name after a sentence's end on the same line is prose
+        if re.search(r"[.!?][\"']?[^\S\n]*$", bare[: m.start(1)]) and not re.search(r"[\n\-*•·–|;]\W*$", bare[: m.start(1)]):
+            return None
     ends = [m.start(1) for m in marks[1:]] + [len(bare)]
     out = [(m.group(1), bare[m.end() : e]) for m, e in zip(marks, ends)]
     if any(not re.search(r"\w", v) or len(v.split()) > LONGEST or INNER.search(v) for _, v in out):

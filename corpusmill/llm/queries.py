@@ -13,6 +13,7 @@ from .leaks import leaked_items, removal_spans
 from .near_duplicates import near_duplicate_pairs, near_duplicates
 from .packing import pack, packing_report
 from .split_overlap import overlap_report, split_overlap_pairs
+from .sql import SQL  # noqa: F401
 from .text_statistics import text_statistics, unnatural_texts
 from .truncation import length_hazards, truncated_texts, truncation_report
 from .values import long_form
@@ -180,4 +181,3 @@ QUERIES = {
     "p9_report": p9_report,
     "p9_limits": p9_limits,
 }
-SQL: dict[str, str] = {}
