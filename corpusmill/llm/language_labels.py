@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .languages import MOST_SAMPLES, LanguageModel, declared
 from .text_kinds import Statistics
+from .text_statistics import LEAST_CHARS
 from .values import over
 from .words import words
 
@@ -73,7 +74,7 @@ def language_cases(values: DataFrame, model: LanguageModel, common: DataFrame, *
             for i, ((_, _, field, label), text, own) in enumerate(zip(rows, texts, found)):
                 if not own or len(own) == 1 and declared(label) == own[0][0]:
                     continue
-                if len(words(text)) < LEAST_WORDS or field in natural_only and kinds(text)[-1] != "prose":
+                if len(words(text)) < LEAST_WORDS or field in natural_only and len(text.strip()) >= LEAST_CHARS and kinds(text)[-1] != "prose":
                     continue
                 out += [(i, lang) for lang, _, _ in own]
             return out
