@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import chunk, clean, context, evaluate, integrity, prepare, profile, retrieval, split
+from .plans import pipeline
 from .plans import sql as S
 from .plans.lineage import cut
 from .sources.tables import spread, table
@@ -362,11 +363,7 @@ def quality_gate(spark, d):
 
 
 def _served(spark, d):
-    chunks = cut(chunk.chunk_records(documents(spark, d), 520, 80))
-    from .operators.ordering import global_ordinal
-
-    named = chunks.withColumn("place", F.concat_ws("|", F.lpad("doc_id", 24, "0"), F.lpad(F.col("pos").cast("string"), 8, "0"))).withColumnRenamed("chunk_text", "text")
-    indexed = cut(global_ordinal(named, "place", "chunk_idx"))
+    indexed = cut(pipeline.numbered_chunks(documents(spark, d), 520, 80))
     return indexed, retrieval.retrieve(indexed, questions(spark, d), top_k=5, mode="hybrid", reranked=True)
 
 
@@ -478,3 +475,10 @@ def regression_check(spark, d):
     """Depth 3 against depth 10 as the baseline."""
     m = cut(hit_rate_mrr(spark, d))
     return evaluate.regression(m.where("top_k = 3"), m.where("top_k = 10"))
+
+
+@query()
+def ablation_run(spark, d):
+    """The leaderboard of two modes, two sizes and two depths over all documents."""
+    grid = evaluate.variants(spark, ["vector", "hybrid"], [520, 1000], [80], [3, 8])
+    return pipeline.ablation(documents(spark, d), items(spark, d), grid)
