@@ -55,7 +55,7 @@ def signatures(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, count: int, s
     sig = np.full(count * size, np.inf)
     total = np.bincount(doc, weight, count)
     unit = STRETCH * EXPECTED * 64 / size  # so that a block of width 1 expects EXPECTED points a stretch
-    need = np.divide(np.log(size) + 3.0, total, out=np.zeros(count), where=total > 0)
+    need = np.divide(np.log(size) + 2.5, total, out=np.zeros(count), where=total > 0)
     last = np.ceil(need / unit).astype(np.int64)
     begin = np.zeros(count, np.int64)
     doc, key, low, width, weight = _blocks(doc, h ^ mix(np.full(1, seed, np.uint64)), weight)

@@ -134,7 +134,7 @@ def near_duplicates(
     classes = cut(signed.groupBy("digest").agg(F.min("row_idx").alias("class_id"), F.count("*").alias("size"), *kept))
     del signed
     banded = classes.select(F.explode("keys").alias("key"), F.col("class_id").alias("id"))
-    sketch = classes.select("class_id", "s1", "s2")
+    sketch = cut(classes.select("class_id", "s1", "s2"))  # read again in each round, without the keys
     left, right = (sketch.select(F.col("class_id").alias(x), F.col("s1").alias(f"{x}1"), F.col("s2").alias(f"{x}2")) for x in "ab")
     agreed = 128 - F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) - F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
     links = roots = sets = None
