@@ -57,6 +57,7 @@ def format_copy_rows(df: DataFrame, *, plain: list[str] = [], fielded: list[str]
     """
     raw, keyed = _survivors(df, plain, fielded, row_id)
     group = keyed.groupBy("key").agg(F.min("first_row").alias("kept_row_idx"), F.sum("rows").alias("copies")).where("copies > 1")
-    kept = cut(keyed.select("key", "digest", "rows").join(group, "key").select("digest", "kept_row_idx", "rows"))
+    short = F.unhex(F.md5("key")).alias("key")  # the groups are of whole texts; only their way back to the rows is by digest
+    kept = cut(keyed.select(short, "digest", "rows").join(group.select(short, "kept_row_idx"), "key").select("digest", "kept_row_idx", "rows"))
     joined = join_hot(raw, kept, ["digest"], size="rows", total=df.count())
     return joined.where("row_idx <> kept_row_idx").select("kept_row_idx", F.col("row_idx").alias("copy_row_idx"))
