@@ -29,7 +29,7 @@ def _canonical(plain: int, fielded: int):
 def _survivors(df: DataFrame, plain: list[str], fielded: list[str], row_id: str) -> tuple[DataFrame, DataFrame]:
     """Raw rows with a digest, and each distinct raw row once with its canonical text."""
     names = [f"part{i}" for i in range(len(plain) + len(fielded))]
-    raw = df.select(F.col(row_id).cast("bigint").alias("row_idx"), *(F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in zip([*plain, *fielded], names)))
+    raw = df.select(F.col(row_id).cast("bigint").alias("row_idx"), *(F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in zip([*plain, *fielded], names))).where("row_idx is not null")
     raw = raw.withColumn("digest", F.unhex(F.md5(F.concat_ws("\u0000", *names))))
     once = raw.groupBy(*names, "digest").agg(F.min("row_idx").alias("first_row"), F.count("*").alias("rows"))
     keyed = spread(once.select(*names, "first_row", "rows", "digest")).mapInArrow(
@@ -43,7 +43,7 @@ def format_copies(df: DataFrame, *, plain: list[str] = [], fielded: list[str], r
 
     Rows are alike if the letters and digits of every column are the same in the same order, ignoring case. Where a value
     of a ``fielded`` column consists of named fields only, their order and layout don't count. Null is empty; rows
-    without any letter or digit are left out. Byte-identical rows are counted first and only distinct ones
+    without any letter or digit, or without a number, are left out. Byte-identical rows are counted first and only distinct ones
     made canonical; a hot group is summed before it is shuffled, so its size doesn't matter.
     """
     _, keyed = _survivors(df, plain, fielded, row_id)

@@ -122,7 +122,7 @@ def leaked_phrases(
     item of more is a block of its own), each of which takes a pass over the corpus, so that what a task is sent is
     bounded. Null texts and parts of fewer words hold nothing; a document given twice is reported under each id.
     """
-    source = spread(corpus.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")))
+    source = spread(corpus.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null"))
     blocks, now, size = [], [], 0
     chosen = items.select(F.col(item_id).cast("bigint").alias("item"), *(F.col(p).alias(f"part{i}") for i, p in enumerate(parts)))
     for row in chosen.toLocalIterator():

@@ -126,9 +126,9 @@ def near_duplicates(
     the sets of runs. Those that were held against all are done; a bucket whose other classes are all in one group by
     now is done as well, and of any other the classes outside its largest group become heads in the next round, four times as
     many. So no pair in a bucket is left out that could join two groups, though a group's pairs are never all written.
-    Null texts are empty; a record without a run is in no group. Columns beside the ones read do not matter.
+    Null texts are empty; a record without a run is in no group, a row without a number is left out. Columns beside the ones read do not matter.
     """
-    source = df.select(F.col(row_id).cast("bigint").alias("row_idx"), F.unhex(F.md5(record)).alias("digest"), record.alias("record"))
+    source = df.select(F.col(row_id).cast("bigint").alias("row_idx"), F.unhex(F.md5(record)).alias("digest"), record.alias("record")).where("row_idx is not null")
     signed = spread(source).mapInArrow(_signed(width, size, rows), "row_idx bigint, digest binary, keys array<bigint>, s1 bigint, s2 bigint")
     kept = (F.first(c).alias(c) for c in ("keys", "s1", "s2"))
     classes = cut(signed.groupBy("digest").agg(F.min("row_idx").alias("class_id"), F.count("*").alias("size"), *kept))

@@ -70,7 +70,7 @@ def split_overlaps(
     ``links(held, trained, shared, likeness, contained)`` between classes of records of equal sets of runs, named after
     their least row (``contained``: the share of the held-out record's runs found in the training record), and
     ``members(row_idx, train, class_id, size)``. A record without a run is like none; null records are empty; a row
-    whose ``train`` is null is held out.
+    whose ``train`` is null is held out, one without a number is left out.
 
     The runs of each class are put in one order for all, rare ones first, by a fixed table of counts of the held-out
     side; two sets of that likeness share one of the first n - ceil(least n) + 1 of both, so only these are met in the
@@ -78,7 +78,7 @@ def split_overlaps(
     are then checked exactly, and copies of one record are a single class throughout.
     """
     source = df.select(F.col(row_id).cast("bigint").alias("row_idx"), F.coalesce(train, F.lit(False)).alias("train"), record.alias("record"))
-    source = spread(source)
+    source = spread(source.where("row_idx is not null"))
     counts = (
         source.where("not train").select("record").mapInArrow(_common(width), "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).collect()
     )  # at most COUNTERS rows

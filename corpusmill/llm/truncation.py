@@ -66,10 +66,10 @@ def truncated_texts(df: DataFrame, *, text_id: str = "doc_id", text: str = "text
     A text that ends neither in a mark nor in an item, a row, code, a signature or a note is cut if the odds say so: how
     much likelier its last words are at a cut than at a sentence's end, times what its length says, where that is
     a significant one of its source, and what stands behind the cut. Sources are compared without case and outer white
-    space, null as empty. Null and blank texts are not cut.
+    space, null as empty. Null and blank texts are not cut; texts without an id are left out.
     """
     base = spread(df.select(F.col(text_id).cast("bigint").alias("id"), F.lower(F.trim(F.coalesce(F.col(source), F.lit("")))).alias("source"), F.col(text).alias("text")))
-    sized = base.where("text is not null").withColumn("length", F.length("text"))
+    sized = base.where("text is not null and id is not null").withColumn("length", F.length("text"))
     limits = length_hazards(sized).where("significant").select("source", "length", (F.col("texts") / F.col("expected")).alias("excess"))
     found = open_endings(sized)
     cases = sized.select("id", "source", "length").join(found, "id").join(limits, ["source", "length"], "left")

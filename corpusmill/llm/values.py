@@ -19,7 +19,7 @@ def long_form(parts: list[tuple[DataFrame, str, str, str | None]], row_id: str =
     rows = []
     for df, name, field, label in parts:
         said = F.col(label) if label else F.lit(None).cast("string")
-        rows.append(spread(df.select(F.lit(name).alias("table_name"), F.col(row_id).cast("bigint").alias("row_idx"), F.lit(field).alias("field_name"), said.alias("label"), F.col(field).alias("text"))))
+        rows.append(spread(df.select(F.lit(name).alias("table_name"), F.col(row_id).cast("bigint").alias("row_idx"), F.lit(field).alias("field_name"), said.alias("label"), F.col(field).alias("text")).where("row_idx is not null")))
     return reduce(DataFrame.unionByName, rows)
 
 

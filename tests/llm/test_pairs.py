@@ -76,6 +76,14 @@ def test_groups_equal_brute_force(spark):
     assert near_duplicates(df.limit(0), F.coalesce("text", F.lit(""))).count() == 0
 
 
+def test_rows_without_numbers_are_left_out(spark):
+    rows = [(None, "a b c d e f", "train"), (None, "a b c d e f", "eval"), (1, "a b c d e f", "train"), (2, "a b c d, e f", "eval")]
+    df = spark.createDataFrame(rows, "row_idx bigint, text string, split string")
+    assert {tuple(r) for r in near_duplicate_pairs(df, F.col("text"), width=3, least=0.6).collect()} == {(1, 2)}
+    assert {tuple(r) for r in format_copy_rows(df, fielded=["text"]).collect()} == {(1, 2)}
+    assert {tuple(r) for r in split_overlap_pairs(df, F.col("text"), F.col("split") == "train", width=3, least=0.6).collect()} == {(1, 2)}
+
+
 def test_hot_group_is_whole(spark):
     base = [f"w{i}" for i in range(40)]
     rows = [(i, " ".join([*base[:39], f"e{i}"])) for i in range(120)]
