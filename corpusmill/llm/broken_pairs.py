@@ -8,7 +8,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +16,7 @@ from ..sources.tables import spread
 from .bags import bands, signatures
 from .endings import open_endings
 from .languages import MOST_SAMPLES, LanguageModel
+from .near_duplicates import near_duplicates
 from .text_kinds import Statistics
 from .truncation import OMITTED_PRIOR, PRIOR, TORN_PRIOR
 from .words import WordHashes, words
@@ -49,7 +49,7 @@ REFUSING = re.compile(
     r"|\bmoet (?:\w+ ){0,4}weigeren|\bне (?:могу|буду|стану) (?:\w+ ){0,3}(?:ответить|отвечать|помочь|обсуждать|говорить)|\bвынужден\w* отказ",
     re.I,
 )
-#: Words of a refusal at most, words of an opening, and pairs a template needs.
+#: Words of a refusal at most, words of an opening, and unrelated prompts a template needs.
 SHORT, OPENING, TEMPLATE = 30, 10, 6
 FIRST = re.compile(r"^[^.!?;\n]*")
 
@@ -72,11 +72,6 @@ def copies(instruction: list[str], response: list[str]) -> bool:
     return shared >= 0.8 * sum(b.values()) and sum(b.values()) >= 0.3 * sum(a.values())
 
 
-def prompt_key(instruction: list[str]) -> int:
-    """The least hash of the instruction's runs of three words: mostly one and the same for near copies of a prompt."""
-    return min((xxhash.xxh3_64_intdigest(" ".join(instruction[i : i + 3])) >> 1 for i in range(max(1, len(instruction) - 2))), default=0)
-
-
 def _asked(instruction: str, code: str) -> bool:
     lower = instruction.lower()
     return any(re.search(rf"(?<!\w){n}", lower) for n in NAMES.get(code, code).split())
@@ -103,9 +98,9 @@ def _local(model: LanguageModel, common: frozenset[str]):
                     elif natural and x and len(y) == 1 and len(said) >= 6 and y[0][0] != x[0][0] and y[0][2] > 0.9 and not _asked(ask, y[0][0]):
                         local = "other_language"
                     start = opening(answer)
-                    rows.append((local, natural, len(said), bool(len(said) <= SHORT and REFUSING.search(answer.replace("\xa0", " "))), " ".join(start) if len(start) > 2 else None, prompt_key(put)))
-                columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.bool_(), pa.int32(), pa.bool_(), pa.string(), pa.int64()))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["row_idx", "local", "natural", "words", "refusing", "opening", "prompt"])
+                    rows.append((local, natural, len(said), bool(len(said) <= SHORT and REFUSING.search(answer.replace("\xa0", " "))), " ".join(start) if len(start) > 2 else None))
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.bool_(), pa.int32(), pa.bool_(), pa.string()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["row_idx", "local", "natural", "words", "refusing", "opening"])
 
     return run
 
@@ -126,16 +121,16 @@ def _banded(size: int, rows: int):
 
 
 def opening_templates(local: DataFrame, *, least: float = 0.6) -> DataFrame:
-    """``(opening, template, pairs, prompts, short)``: clusters of like openings, and over each the pairs, about how many
-    unrelated prompts they answer, and how many of the answers are short.
+    """``(opening, template, pairs, short)``: clusters of like openings, and over each the pairs and how many of the answers
+    are short.
 
     Openings are counted first. Each is held against the most frequent one of every MinHash band it is in, and follows the
     most frequent of those that share ``least`` of their words with it, or the one that that one follows.
     """
     counts = local.where("opening is not null").groupBy("opening").agg(
-        F.count("*").alias("pairs"), F.approx_count_distinct("prompt").alias("prompts"), F.sum(F.when(F.col("words") <= SHORT, 1).otherwise(0)).alias("short"), F.min("row_idx").alias("id")
+        F.count("*").alias("pairs"), F.sum(F.when(F.col("words") <= SHORT, 1).otherwise(0)).alias("short"), F.min("row_idx").alias("id")
     )
-    counts = cut(counts.select("id", "opening", "pairs", "prompts", "short"))
+    counts = cut(counts.select("id", "opening", "pairs", "short"))
     keyed = counts.select("id", "opening", "pairs").mapInArrow(_banded(48, 3), "id bigint, opening string, pairs bigint, keys array<bigint>")
     keyed = cut(keyed).select("id", "pairs", F.split("opening", " ").alias("own"), F.explode("keys").alias("key"))
     heads = keyed.groupBy("key").agg(F.max_by(F.struct("pairs", "id", "own"), F.struct("pairs", "id")).alias("head"), F.count("*").alias("n")).where("n > 1")
@@ -144,17 +139,28 @@ def opening_templates(local: DataFrame, *, least: float = 0.6) -> DataFrame:
     best = cut(met.where(alike >= least).groupBy("id").agg(F.max(F.struct("head.pairs", "head.id")).alias("best")).select("id", F.col("best.id").alias("to")))
     twice = best.join(best.select(F.col("id").alias("to"), F.col("to").alias("on")), "to", "left").select("id", F.coalesce("on", "to").alias("root"))
     named = counts.join(twice, "id", "left").withColumn("template", F.coalesce("root", "id"))
-    total = named.groupBy("template").agg(*(F.sum(c).alias(c) for c in ("pairs", "prompts", "short")))
+    total = named.groupBy("template").agg(*(F.sum(c).alias(c) for c in ("pairs", "short")))
     return named.select("opening", "template").join(total, "template")
 
 
+def unrelated_prompts(asked: DataFrame, *, least: float = 0.6) -> DataFrame:
+    """``(template, prompts)``: over the rows ``(row_idx, template, instruction)``, how many instructions are left when those
+    linked by a likeness of ``least`` over their runs of three words are one. The count is exact; instructions without a
+    run are one if their words are the same.
+    """
+    asked = cut(asked.select("row_idx", "template", F.lower(F.coalesce("instruction", F.lit(""))).alias("instruction")))
+    same = F.md5(F.trim(F.regexp_replace("instruction", r"[^\p{L}\p{N}]+", " ")))
+    roots = near_duplicates(asked, F.col("instruction"), width=3, least=least).select("row_idx", F.col("root").cast("string").alias("root"))
+    return asked.join(roots, "row_idx", "left").groupBy("template").agg(F.countDistinct(F.coalesce("root", same)).alias("prompts"))
+
+
 def broken_pairs(
     df: DataFrame, model: LanguageModel, common: DataFrame, *, row_id: str = "row_idx", instruction: str = "instruction", response: str = "response"
 ) -> DataFrame:
     """``(row_idx, defect)`` of the pairs with a defect, each with the first that holds.
 
     ``empty``: null, blank or a placeholder. ``copy``: nearly nothing but the instruction's words in their order.
-    ``refusal``: a short answer that opens with a template put to unrelated prompts whose answers are nearly all short,
+    ``refusal``: a short answer that opens with a template put to ``TEMPLATE`` or more unrelated prompts whose answers are nearly all short,
     or with a usual phrase of refusal. ``other_language``: wholly in another language than most of the instruction,
     which names no such language. ``truncated``: the last words are likelier at a cut than at a sentence's end; lists,
     tables, named fields and junk are not. A null instruction is an empty one. Templates' counts are joined by opening, hot
@@ -164,14 +170,17 @@ def broken_pairs(
 
     listed = frozenset(r[0].lower() for r in common.select("word").dropna().distinct().limit(MOST_SAMPLES).collect())
     base = df.select(F.col(row_id).cast("bigint").alias("row_idx"), F.col(instruction).alias("instruction"), F.col(response).alias("response")).where("row_idx is not null")
-    schema = "row_idx bigint, local string, natural boolean, words int, refusing boolean, opening string, prompt bigint"
+    schema = "row_idx bigint, local string, natural boolean, words int, refusing boolean, opening string"
     local = cut(spread(base).mapInArrow(_local(model, listed), schema))
-    templates = opening_templates(local).withColumnRenamed("pairs", "template_pairs")
+    templates = opening_templates(local)
+    likely = cut(templates.where((F.col("pairs") >= TEMPLATE) & (F.col("short") >= 0.75 * F.col("pairs"))).select("opening", "template"))
     own = local.groupBy("opening").agg(F.count("*").alias("size"))
-    refusals = (F.col("template_pairs") >= TEMPLATE) & (F.col("prompts") >= 0.6 * F.col("template_pairs")) & (F.col("short") >= 0.75 * F.col("template_pairs"))
-    usual = templates.where(refusals).select("opening", F.lit(True).alias("template_refusal")).join(own, "opening")
+    sized, total = cut(likely.join(own, "opening")), df.count()
+    asked = join_hot(local.where("opening is not null").select("row_idx", "opening"), sized, ["opening"], size="size", total=total)
+    prompts = unrelated_prompts(asked.join(base.select("row_idx", "instruction"), "row_idx"))
+    usual = sized.join(prompts.where(F.col("prompts") >= TEMPLATE), "template").select("opening", F.lit(True).alias("template_refusal"), "size")
     short = local.where((F.col("words") <= SHORT) & F.col("opening").isNotNull()).select("row_idx", "opening")
-    put_off = join_hot(short, cut(usual), ["opening"], size="size", total=df.count()).select("row_idx", "template_refusal")
+    put_off = join_hot(short, cut(usual), ["opening"], size="size", total=total).select("row_idx", "template_refusal")
     mark = F.when(F.col("mark") == "torn", TORN_PRIOR).when(F.col("mark") == "omitted", OMITTED_PRIOR).otherwise(PRIOR)
     ends = open_endings(spread(base.select(F.col("row_idx").alias("id"), F.col("response").alias("text")))).where(F.col("odds") * mark > 1)
     judged = local.join(put_off, "row_idx", "left").join(ends.select(F.col("id").alias("row_idx"), F.lit(True).alias("open")), "row_idx", "left")

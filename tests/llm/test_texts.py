@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.llm.bitmap import bitmap, passes
-from corpusmill.llm.broken_pairs import broken_pairs, copies, opening
+from corpusmill.llm.broken_pairs import broken_pairs, copies, opening, unrelated_prompts
 from corpusmill.llm.endings import ending, open_endings
 from corpusmill.llm.fm_index import FMIndex
 from corpusmill.llm.language_labels import fit, language_cases, language_segments, text_languages
@@ -100,6 +100,17 @@ def test_templates_reveal_refusals(spark, model, common):
     assert {r.row_idx for r in broken_pairs(df, model, common).where("defect = 'refusal'").collect()} == set(range(10))
 
 
+def test_templates_are_found_at_any_size(spark, model, common):
+    names = [f"{a}{b}" for a in ("Zor", "Bal", "Kran", "Wim", "Sol", "Plig", "Tuv", "Rist") for b in ("vex", "im", "tar", "hes", "gol", "dem", "an", "wix")]
+    asks = [f"item {i}a{i} part {i}b{i} what happens in {n} at step {i}c{i} of {i}d{i}, please tell me now as I need to know it" for i, n in enumerate(names)]
+    rows = [(f"Note: {a}", f"We would prefer to leave the matter of {n} aside.") for n, a in zip(names, asks)]
+    rows += [(f"Say what the oldest shard of the index holds after the spring release, run {i}.", f"It keeps a record of {n} there.") for i, n in enumerate(names)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "row_idx bigint, instruction string, response string")
+    assert {r.row_idx for r in broken_pairs(df, model, common).where("defect = 'refusal'").collect()} == set(range(64))
+    asked = spark.createDataFrame([(0, 1, "One two three four five."), (1, 1, "one two three four, five"), (2, 1, "Why"), (3, 1, "why?"), (4, 1, None), (5, 2, "six seven eight nine")], "row_idx bigint, template bigint, instruction string")
+    assert {tuple(r) for r in unrelated_prompts(asked).collect()} == {(1, 3), (2, 1)}
+
+
 def test_bins():
     rng = random.Random(3)
     for most in (1, 4, 64):
