@@ -6,20 +6,18 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
 from ..sources.tables import spread
-from .bags import bands, signatures
 from .endings import open_endings
 from .languages import MOST_SAMPLES, LanguageModel
 from .near_duplicates import near_duplicates
 from .text_kinds import Statistics
 from .truncation import OMITTED_PRIOR, PRIOR, TORN_PRIOR
-from .words import WordHashes, words
+from .words import words
 
 #: Answers that stand for none, as words without marks; a fixed list.
 PLACEHOLDERS = {
@@ -51,6 +49,8 @@ REFUSING = re.compile(
 )
 #: Words of a refusal at most, words of an opening, and unrelated prompts a template needs.
 SHORT, OPENING, TEMPLATE = 30, 10, 6
+#: A letter of its own that stands for a name where words are compared.
+NAME = "ʘ"
 FIRST = re.compile(r"^[^.!?;\n]*")
 
 
@@ -105,40 +105,20 @@ def _local(model: LanguageModel, common: frozenset[str]):
     return run
 
 
-def _banded(size: int, rows: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
-        for whole in batches:
-            for batch in (whole.slice(i, 200) for i in range(0, whole.num_rows, 200)):
-                sets = [sorted({memo[w] for w in t.split()}) for t in batch.column(1).to_pylist()]
-                doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-                h = np.array([x for s in sets for x in s], np.uint64)
-                keys = bands(signatures(doc, h, np.ones(len(h), np.int64), len(sets), size), rows)
-                lists = pa.ListArray.from_arrays(pa.array((np.arange(len(sets) + 1) * keys.shape[1]).astype(np.int32)), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "keys"])
-
-    return run
-
-
 def opening_templates(local: DataFrame, *, least: float = 0.6) -> DataFrame:
     """``(opening, template, pairs, short)``: clusters of like openings, and over each the pairs and how many of the answers
     are short.
 
-    Openings are counted first. Each is held against the most frequent one of every MinHash band it is in, and follows the
-    most frequent of those that share ``least`` of their words with it, or the one that that one follows.
+    Openings are counted first. Distinct ones that share ``least`` of their words are linked by ``near_duplicates`` over
+    single words, and linked ones are one cluster, also by way of others.
     """
     counts = local.where("opening is not null").groupBy("opening").agg(
         F.count("*").alias("pairs"), F.sum(F.when(F.col("words") <= SHORT, 1).otherwise(0)).alias("short"), F.min("row_idx").alias("id")
     )
     counts = cut(counts.select("id", "opening", "pairs", "short"))
-    keyed = counts.select("id", "opening", "pairs").mapInArrow(_banded(48, 3), "id bigint, opening string, pairs bigint, keys array<bigint>")
-    keyed = cut(keyed).select("id", "pairs", F.split("opening", " ").alias("own"), F.explode("keys").alias("key"))
-    heads = keyed.groupBy("key").agg(F.max_by(F.struct("pairs", "id", "own"), F.struct("pairs", "id")).alias("head"), F.count("*").alias("n")).where("n > 1")
-    met = keyed.join(heads, "key").where(F.col("id") != F.col("head.id")).select("id", "own", "head")
-    alike = F.size(F.array_intersect("own", "head.own")) / F.size(F.array_union("own", "head.own"))
-    best = cut(met.where(alike >= least).groupBy("id").agg(F.max(F.struct("head.pairs", "head.id")).alias("best")).select("id", F.col("best.id").alias("to")))
-    twice = best.join(best.select(F.col("id").alias("to"), F.col("to").alias("on")), "to", "left").select("id", F.coalesce("on", "to").alias("root"))
-    named = counts.join(twice, "id", "left").withColumn("template", F.coalesce("root", "id"))
+    record = F.array_join(F.array_sort(F.array_distinct(F.split(F.translate("opening", "*", NAME), " "))), " ")
+    roots = near_duplicates(counts.select("id", record.alias("record")), F.col("record"), row_id="id", width=1, least=least)
+    named = counts.join(roots.select(F.col("row_idx").alias("id"), "root"), "id", "left").withColumn("template", F.coalesce("root", "id"))
     total = named.groupBy("template").agg(*(F.sum(c).alias(c) for c in ("pairs", "short")))
     return named.select("opening", "template").join(total, "template")
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.llm.bitmap import bitmap, passes
-from corpusmill.llm.broken_pairs import broken_pairs, copies, opening, unrelated_prompts
+from corpusmill.llm.broken_pairs import broken_pairs, copies, opening, opening_templates, unrelated_prompts
 from corpusmill.llm.endings import ending, open_endings
 from corpusmill.llm.fm_index import FMIndex
 from corpusmill.llm.language_labels import fit, language_cases, language_segments, text_languages
@@ -111,6 +111,14 @@ def test_templates_are_found_at_any_size(spark, model, common):
     assert {tuple(r) for r in unrelated_prompts(asked).collect()} == {(1, 3), (2, 1)}
 
 
+def test_openings_of_a_chain_are_one_template(spark):
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(words[i : i + 8]), 5) for i in range(24)] + [(100 + i, f"v{i} * other 0 words", 50) for i in range(3)]
+    df = spark.createDataFrame(rows, "row_idx bigint, opening string, words int")
+    found = {r.opening: (r.template, r.pairs, r.short) for r in opening_templates(df).collect()}
+    assert {found[rows[i][1]] for i in range(24)} == {(0, 24, 24)} and {found[rows[i][1]] for i in range(24, 27)} == {(100, 3, 0)}
+
+
 def test_bins():
     rng = random.Random(3)
     for most in (1, 4, 64):
