@@ -37,16 +37,16 @@ NAMES = {
     "nl": "dutch niederländisch néerlandais neerlandés holandés neerlandês holandês olandese nederlands нидерландск голландск",
     "ru": "russian russisch russe ruso russo русск",
 }
-#: How refusals are put; clusters of openings find those put otherwise.
+#: How refusals are put in the first person; these decide only where a cluster of openings is too small to.
 REFUSING = re.compile(
-    r"\b(?:can(?:no|')t|can not|not able to|unable to|won't be able to|will not) (?:help with|assist|answer|provide an|discuss|respond|comment|fulfil|comply)"
-    r"|\bhave to refuse\b|\bi (?:must |have to )?(?:refuse|decline) to\b|\bguidelines (?:do not|don't) (?:let|allow|permit)\b"
-    r"|\bno answer on .{1,60} can be given|\b(?:would|'d) rather not (?:respond|answer|discuss|comment|say)"
-    r"|\bmöchte ich mich nicht äu(?:ß|ss)ern\b|\bkann (?:ich )?(?:\w+ ){0,6}(?:nicht|keine) (?:\w+ ){0,3}(?:helfen|beantworten|auskunft|antwort|geben)"
+    r"\b(?:i|we)(?:'m| am|'re| are)? (?:\w+ )?(?:can(?:no|')t|can not|not able to|unable to|won't be able to|will not|won't) (?:help with|assist|answer|provide an|discuss|respond|comment|fulfil|comply)"
+    r"|\b(?:i|we) have to refuse\b|\bi (?:must |have to )?(?:refuse|decline) to\b|\b(?:my|our) guidelines (?:do not|don't) (?:let|allow|permit)\b"
+    r"|\bno answer on .{1,60} can be given here|\b(?:i|we)(?: would|'d) rather not (?:respond|answer|discuss|comment|say)"
+    r"|\bmöchte ich mich nicht äu(?:ß|ss)ern\b|\b(?:kann ich|ich kann) (?:\w+ ){0,6}(?:nicht|keine) (?:\w+ ){0,3}(?:helfen|beantworten|auskunft|antwort|geben)"
     r"|\b(?:dois|je) refuser? de\b|\bne (?:peux|puis) pas (?:\w+ ){0,3}(?:répondre|aider|parler)|\bno (?:me es posible|puedo) (?:responder|ayudar|contestar|hablar)"
     r"|\b(?:debo|tengo que) (?:rechazar|negarme)|\bnão (?:posso|me é possível|consigo) (?:responder|ajudar|falar)|\b(?:devo|tenho de|preciso) recusar"
-    r"|\bnon (?:posso|mi è possibile|sono in grado di) (?:rispondere|aiutare|parlare)|\bdevo rifiutar|\bkan (?:\w+ ){0,6}(?:niet|geen) (?:\w+ ){0,3}(?:helpen|beantwoorden|antwoord)"
-    r"|\bmoet (?:\w+ ){0,4}weigeren|\bне (?:могу|буду|стану) (?:\w+ ){0,3}(?:ответить|отвечать|помочь|обсуждать|говорить)|\bвынужден\w* отказ",
+    r"|\bnon (?:posso|mi è possibile|sono in grado di) (?:rispondere|aiutare|parlare)|\bdevo rifiutar|\b(?:kan ik|ik kan) (?:\w+ ){0,6}(?:niet|geen) (?:\w+ ){0,3}(?:helpen|beantwoorden|antwoord)"
+    r"|\b(?:moet ik|ik moet) (?:\w+ ){0,4}weigeren|\bне (?:могу|буду|стану) (?:\w+ ){0,3}(?:ответить|отвечать|помочь|обсуждать|говорить)|\bвынужден\w* отказ",
     re.I,
 )
 #: Words of a refusal at most, words of an opening, and unrelated prompts a template needs.
@@ -98,7 +98,7 @@ def _local(model: LanguageModel, common: frozenset[str]):
                     elif natural and x and len(y) == 1 and len(said) >= 6 and y[0][0] != x[0][0] and y[0][2] > 0.9 and not _asked(ask, y[0][0]):
                         local = "other_language"
                     start = opening(answer)
-                    rows.append((local, natural, len(said), bool(len(said) <= SHORT and REFUSING.search(answer.replace("\xa0", " "))), " ".join(start) if len(start) > 2 else None))
+                    rows.append((local, natural, len(said), bool(len(said) <= SHORT and REFUSING.search(" ".join(answer.split()))), " ".join(start) if len(start) > 2 else None))
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.bool_(), pa.int32(), pa.bool_(), pa.string()))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["row_idx", "local", "natural", "words", "refusing", "opening"])
 
@@ -161,7 +161,7 @@ def broken_pairs(
 
     ``empty``: null, blank or a placeholder. ``copy``: nearly nothing but the instruction's words in their order.
     ``refusal``: a short answer that opens with a template put to ``TEMPLATE`` or more unrelated prompts whose answers are nearly all short,
-    or with a usual phrase of refusal. ``other_language``: wholly in another language than most of the instruction,
+    or, unless most answers to its template are long, one with a usual phrase of refusal. ``other_language``: wholly in another language than most of the instruction,
     which names no such language. ``truncated``: the last words are likelier at a cut than at a sentence's end; lists,
     tables, named fields and junk are not. A null instruction is an empty one. Templates' counts are joined by opening, hot
     ones by a broadcast of fewer than a thousand.
@@ -172,7 +172,7 @@ def broken_pairs(
     base = df.select(F.col(row_id).cast("bigint").alias("row_idx"), F.col(instruction).alias("instruction"), F.col(response).alias("response")).where("row_idx is not null")
     schema = "row_idx bigint, local string, natural boolean, words int, refusing boolean, opening string"
     local = cut(spread(base).mapInArrow(_local(model, listed), schema))
-    templates = opening_templates(local)
+    templates = cut(opening_templates(local))
     likely = cut(templates.where((F.col("pairs") >= TEMPLATE) & (F.col("short") >= 0.75 * F.col("pairs"))).select("opening", "template"))
     own = local.groupBy("opening").agg(F.count("*").alias("size"))
     sized, total = cut(likely.join(own, "opening")), df.count()
@@ -181,10 +181,13 @@ def broken_pairs(
     usual = sized.join(prompts.where(F.col("prompts") >= TEMPLATE), "template").select("opening", F.lit(True).alias("template_refusal"), "size")
     short = local.where((F.col("words") <= SHORT) & F.col("opening").isNotNull()).select("row_idx", "opening")
     put_off = join_hot(short, cut(usual), ["opening"], size="size", total=total).select("row_idx", "template_refusal")
+    sound = templates.where((F.col("pairs") >= TEMPLATE) & (F.col("short") < 0.75 * F.col("pairs"))).select("opening").join(own, "opening")
+    held = join_hot(local.where("refusing and opening is not null").select("row_idx", "opening"), cut(sound), ["opening"], size="size", total=total)
     mark = F.when(F.col("mark") == "torn", TORN_PRIOR).when(F.col("mark") == "omitted", OMITTED_PRIOR).otherwise(PRIOR)
     ends = open_endings(spread(base.select(F.col("row_idx").alias("id"), F.col("response").alias("text")))).where(F.col("odds") * mark > 1)
-    judged = local.join(put_off, "row_idx", "left").join(ends.select(F.col("id").alias("row_idx"), F.lit(True).alias("open")), "row_idx", "left")
-    refused = F.coalesce("template_refusal", F.lit(False)) | F.col("refusing")
+    held = held.select("row_idx", F.lit(True).alias("sound"))
+    judged = local.join(put_off, "row_idx", "left").join(held, "row_idx", "left").join(ends.select(F.col("id").alias("row_idx"), F.lit(True).alias("open")), "row_idx", "left")
+    refused = F.coalesce("template_refusal", F.lit(False)) | (F.col("refusing") & F.col("sound").isNull())
     defect = (
         F.when(F.col("local").isin("empty", "copy"), F.col("local"))
         .when(refused & F.col("natural"), "refusal")

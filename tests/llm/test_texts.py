@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.llm.bitmap import bitmap, passes
-from corpusmill.llm.broken_pairs import broken_pairs, copies, opening, unrelated_prompts
+from corpusmill.llm.broken_pairs import REFUSING, broken_pairs, copies, opening, unrelated_prompts
 from corpusmill.llm.endings import ending, open_endings
 from corpusmill.llm.fm_index import FMIndex
 from corpusmill.llm.language_labels import fit, language_cases, language_segments, text_languages
@@ -111,6 +111,13 @@ def test_templates_are_found_at_any_size(spark, model, common):
     assert {tuple(r) for r in unrelated_prompts(asked).collect()} == {(1, 3), (2, 1)}
 
 
+def test_phrases_of_refusal():
+    for own in ("I'm sorry, but I\ncannot  help with it.", "Es tut mir leid, aber bei X kann ich nicht helfen.", "Zorvex-5 is something I have to refuse.", "Ik kan hier niet mee helpen.", "My guidelines do not let me discuss it."):
+        assert REFUSING.search(" ".join(own.split())), own
+    for sound in ("The endpoint will not respond under heavy traffic.", "The retriever cannot answer without an index.", "Das Modell kann ohne Index nicht antworten, geben wir ihm einen.", "Het model kan zonder index niet antwoorden.", "Its guidelines do not allow two indexes."):
+        assert not REFUSING.search(sound), sound
+
+
 def test_bins():
     rng = random.Random(3)
     for most in (1, 4, 64):
