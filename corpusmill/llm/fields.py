@@ -7,7 +7,9 @@ import re
 
 #: A field's name: one to three words of letters before a colon, at the start of the text or behind a mark, a line end
 #: or a word that ends in a digit.
-LABEL = re.compile(r"(?:(?<=^)|(?<=[^\w\s])|(?<=\d))(?:[\s\"'{}|;,.*•·\-–]*?)(?<![^\W\d_])([^\W\d_]+(?:\s+[^\W\d_]+){0,2})[\"']?\s*[:=](?=\s|[\"'])")
+LABEL = re.compile(r"(?:(?<=^)|(?<=[^\w\s])|(?<=\d)|(?<=\n))(?:[\s\"'{}|;,.*•·\-–]*?)(?<![^\W\d_])([^\W\d_]+(?:[^\S\n]+[^\W\d_]+){0,2})[\"']?[^\S\n]*[:=](?=\s|[\"'])")
+#: A line that is one field, its name and its value.
+LINE = re.compile(r"[\W_]*([^\W\d_]+(?:\s+[^\W\d_]+){0,2})[\"']?\s*[:=]\s+(.*\w.*)$")
 INNER = re.compile(r"[^\W\d_]{2,}[.!?]\s+[^\W\d_]")
 ALNUM = re.compile(r"[\W_]+")
 LONGEST = 60
@@ -16,8 +18,9 @@ LONGEST = 60
 def fields(text: str) -> list[tuple[str, str]] | None:
     """The (name, value) pairs of a text of two or more named fields and nothing else, in their order; else None.
 
-    Lines, bullets, bars, semicolons or a JSON object may hold the fields, and line breaks may be lost. A value of more
-    than ``LONGEST`` words or with a sentence end inside is no field's value.
+    Lines, bullets, bars, semicolons or a JSON object may hold the fields, and line breaks may be lost. A name may begin at each
+    line and spans none. Unless three or more lines are each one field, a value of more than ``LONGEST`` words or with a sentence end
+    inside is no field's value.
     """
     if text.count(":") < 2:
         return None
@@ -29,6 +32,9 @@ def fields(text: str) -> list[tuple[str, str]] | None:
                 return [(k, str(v)) for k, v in found.items()]
         except ValueError:
             pass
+    lines = [x.strip() for x in bare.splitlines() if re.search(r"\w", x)]
+    if len(lines) > 2 and all(LINE.match(x) and len(LABEL.findall(x)) == 1 for x in lines):
+        return [LINE.match(x).groups() for x in lines]
     marks = list(LABEL.finditer(bare))
     if len(marks) < 2 or re.search(r"\w", bare[: marks[0].start(1)]):
         return None

@@ -107,6 +107,14 @@ def test_fields():
     assert canonical(None) == "" and canonical("STRASSE!") == canonical("straße")
 
 
+def test_fields_of_a_line_each():
+    assert [k for k, _ in fields("Model: bert\nOwner: alice")] == ["Model", "Owner"]
+    assert canonical("Model: bert\nOwner: alice\nNext step: go on") == canonical("- next step: Go on\n- owner: Alice\n- model: BERT") == canonical("Owner: alice; Model: bert; Next step: go on")
+    long = "Note: " + "word " * 80 + "end\nOwner: alice. She left it\nModel: bert"
+    assert canonical(long) == canonical("\n".join(reversed(long.split("\n")))) and len(fields(long)) == 3
+    assert fields("So it goes: this is prose.\nThe next line has no name\nand this: neither. It goes on.") is None
+
+
 def test_format_copies(spark):
     rows = [(0, "Ask it", "Some answer, here."), (1, "ask IT!", "some\tanswer here"), (2, "Ask it", "Other"), (3, None, "..."), (4, "", None), (5, "ask-it", "Goal: x 1\nRisk: y 2"), (6, "askit", "risk: Y 2; goal: X 1"), (7, "Ask it", "Some answer, here.")]
     df = spark.createDataFrame(rows, "row_idx bigint, instruction string, response string").withColumn("digest", F.lit(1)).withColumn("key", F.lit(2))
