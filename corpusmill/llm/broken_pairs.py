@@ -15,11 +15,11 @@ from ..plans.lineage import cut
 from ..sources.tables import spread
 from .bags import bands, signatures
 from .endings import open_endings
-from .languages import MOST_SAMPLES, LanguageModel
+from .languages import LanguageModel
 from .near_duplicates import near_duplicates
 from .text_kinds import Statistics
 from .truncation import OMITTED_PRIOR, PRIOR, TORN_PRIOR
-from .words import WordHashes, words
+from .words import WordHashes, word_list, words
 
 #: Answers that stand for none, as words without marks; a fixed list.
 PLACEHOLDERS = {
@@ -168,7 +168,7 @@ def broken_pairs(
     """
     from .links import join_hot
 
-    listed = frozenset(r[0].lower() for r in common.select("word").dropna().distinct().limit(MOST_SAMPLES).collect())
+    listed = word_list(common)
     base = df.select(F.col(row_id).cast("bigint").alias("row_idx"), F.col(instruction).alias("instruction"), F.col(response).alias("response")).where("row_idx is not null")
     schema = "row_idx bigint, local string, natural boolean, words int, refusing boolean, opening string"
     local = cut(spread(base).mapInArrow(_local(model, listed), schema))

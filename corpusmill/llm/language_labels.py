@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
+from . import line_model
 from .languages import MOST_SAMPLES, LanguageModel, declared
 from .text_kinds import Statistics
 from .text_statistics import LEAST_CHARS
 from .values import over
-from .words import words
+from .words import MOST_LISTED, word_list, words
 
 KEY = ["table_name", "row_idx", "field_name"]
 #: Values of fewer words say too little about their language.
@@ -17,9 +19,18 @@ LEAST_WORDS = 6
 
 
 def fit(samples: DataFrame, common: DataFrame, most: int = MOST_SAMPLES) -> LanguageModel:
-    """A model from at most ``most`` sentences ``(lang, text)`` and as many common words ``(lang, word, word_rank)``."""
-    sentences = samples.select("lang", "text").dropna().orderBy("lang", "text").limit(most).collect()
-    listed = common.select("lang", "word", "word_rank").dropna().orderBy("lang", "word_rank", "word").limit(most).collect()
+    """A model from at most ``most`` labelled sentences ``(lang, text)`` and all common words ``(lang, word, word_rank)``.
+
+    Every language gets the same share of ``most``, at least one sentence; of a language with more the first in the order of their MD5
+    digests are taken. Nulls are left out. More than ``MOST_LISTED`` common words are an error.
+    """
+    known = samples.select("lang", "text").dropna().distinct()
+    share = max(1, most // max(1, known.select("lang").distinct().count()))
+    order = Window.partitionBy("lang").orderBy(F.md5("text"), "text")
+    sentences = known.withColumn("n", F.row_number().over(order)).where(F.col("n") <= share).drop("n").orderBy("lang", "text").collect()
+    listed = common.select("lang", "word", "word_rank").dropna().orderBy("lang", "word_rank", "word").limit(MOST_LISTED + 1).collect()
+    if len(listed) > MOST_LISTED:
+        raise ValueError(f"a list of common words has at most {MOST_LISTED} words")
     return LanguageModel([tuple(r) for r in sentences], [tuple(r) for r in listed])
 
 
@@ -61,9 +72,10 @@ def language_cases(values: DataFrame, model: LanguageModel, common: DataFrame, *
     wrong, or that hold several.
 
     A label of another spelling (case, region, three letters, English name) is right. Values of fewer than
-    ``LEAST_WORDS`` words, and those of fields in ``natural_only`` that are lists, tables, named fields or junk, are no cases.
+    ``LEAST_WORDS`` words, and those of fields in ``natural_only`` that are lists, tables, named fields or junk (by the model of lines
+    that all these values give), are no cases.
     """
-    listed = frozenset(r[0].lower() for r in common.select("word").dropna().distinct().limit(MOST_SAMPLES).collect())
+    listed = word_list(common)
 
     def make():
         kinds = Statistics(listed)
@@ -72,16 +84,16 @@ def language_cases(values: DataFrame, model: LanguageModel, common: DataFrame, *
             found = model.languages([t or "" for t in texts])
             out = []
             for i, ((_, _, field, label), text, own) in enumerate(zip(rows, texts, found)):
-                if not own or len(own) == 1 and declared(label) == own[0][0]:
-                    continue
-                if len(words(text)) < LEAST_WORDS or field in natural_only and len(text.strip()) >= LEAST_CHARS and kinds(text)[-1] != "prose":
-                    continue
-                out += [(i, lang) for lang, _, _ in own]
+                seen = kinds.seen(text)[1:] if text and field in natural_only and len(text.strip(" ")) >= LEAST_CHARS else ((), [])
+                right = not own or len(own) == 1 and declared(label) == own[0][0] or len(words(text)) < LEAST_WORDS
+                out.append((i, [] if right else [lang for lang, _, _ in own], line_model.digits(seen[0]), seen[1]))
             return out
 
         return f
 
-    return over(values, make, [*KEY, "label"], "lang string").drop("label")
+    seen = cut(over(values, make, [*KEY, "label"], "langs array<string>, signs string, line_words array<int>").drop("label"))
+    kept = line_model.judged(seen.where("size(langs) > 0"), line_model.fit(seen)).where("kind is null or kind = 'prose'")
+    return kept.select(*KEY, F.explode("langs").alias("lang"))
 
 
 def language_report(values: DataFrame, model: LanguageModel) -> DataFrame:

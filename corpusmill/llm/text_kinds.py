@@ -3,27 +3,26 @@
 from __future__ import annotations
 
 import re
-from functools import lru_cache
-
 import numpy as np
 
 from .fields import LABEL, fields
 from .words import WORD
 
 STATES = ("prose", "list", "table", "fields", "junk")
-SIGNS = ("sentence", "item", "bullet", "cells", "label", "noise", "code", "scrap")
-#: P(sign of a line | state of the line); rows follow STATES, columns SIGNS. Hand-set, part of the model.
-EMIT = np.log(
+SIGNS = ("sentence", "short", "item", "bullet", "cells", "label", "noise", "code", "scrap")
+#: What the model begins with: P(sign of a line | state of the line), rows as STATES, columns as SIGNS; P(state of the first line);
+#: P(same state in the next line). Written down by hand; ``line_model.fit`` estimates all of them from the texts.
+EMIT = np.array(
     [
-        [0.80, 0.03, 0.04, 0.01, 0.01, 0.005, 0.055, 0.05],
-        [0.02, 0.38, 0.50, 0.01, 0.01, 0.005, 0.005, 0.07],
-        [0.01, 0.05, 0.01, 0.88, 0.01, 0.005, 0.005, 0.03],
-        [0.03, 0.03, 0.05, 0.01, 0.83, 0.005, 0.005, 0.04],
-        [0.01, 0.02, 0.01, 0.03, 0.01, 0.82, 0.01, 0.09],
+        [0.77, 0.03, 0.03, 0.04, 0.01, 0.01, 0.005, 0.055, 0.05],
+        [0.02, 0.10, 0.32, 0.46, 0.01, 0.01, 0.005, 0.005, 0.07],
+        [0.01, 0.01, 0.04, 0.01, 0.88, 0.01, 0.005, 0.005, 0.03],
+        [0.02, 0.01, 0.03, 0.05, 0.01, 0.83, 0.005, 0.005, 0.04],
+        [0.01, 0.01, 0.02, 0.01, 0.03, 0.01, 0.81, 0.01, 0.09],
     ]
 )
-START = np.log([0.80, 0.06, 0.05, 0.05, 0.04])
-STAY, MOVE = np.log(0.92), np.log(0.02)
+START = np.array([0.80, 0.06, 0.05, 0.05, 0.04])
+STAY = 0.92
 #: A text is of a kind if lines of that kind hold this share of its words at least.
 SHARE = 0.8
 
@@ -55,66 +54,107 @@ def strange(line: str, found: list[str]) -> bool:
         return True
     if len(found) >= 12 and len(set(found)) <= 0.2 * len(found) + 1:
         return True
-    if letters >= 24 and len(VOWELS.findall(line.lower())) < 0.18 * letters:
+    written = sum(map(str.isalpha, line))
+    if written >= 24 and len(VOWELS.findall(line.lower())) < 0.18 * written:
         return True
     odd = sum(1 for c in line if "ƀ" <= c < "Ͱ" or "" <= c <= "" or c == "�")
     return odd > 0.15 * body
 
 
-def sign(line: str, common: frozenset[str], found: list[str]) -> str:
-    """The sign a line gives, from its statistics."""
+def common_share(found: list[str], common: frozenset[str]) -> float:
     alpha = [w for w in found if not w.isdigit()]
-    share = sum(w in common for w in alpha) / len(alpha) if alpha else 0.0
-    if share >= 0.3 and len(found) >= 6 and "`" not in line:
-        return "label" if ":" in line and LABEL.match(line) and share < 0.45 else "sentence"
+    return sum(w in common for w in alpha) / len(alpha) if alpha else 0.0
+
+
+def sign(line: str, common: frozenset[str], found: list[str], even: bool = False) -> str:
+    """The sign a line gives, from its statistics. A line in which a sentence ends and another begins has no label.
+
+    ``even``: all lines of its text have as many wide gaps.
+    """
+    share = common_share(found, common)
+    named = ":" in line and share < 0.45 and LABEL.match(line) and not FLOWING.search(line)
+    marked = bool(MARKED.search(line))
+    if share >= 0.3 and len(found) >= 6 and "`" not in line and (marked or len(found) > 9):
+        return "label" if named else "sentence"
+    tokens = line.split()
+    if even and GAPS.search(line):
+        return "cells"
     if share < 0.2 and strange(line, found):
         return "noise"
-    tokens = line.split()
     if "|" in line and line.count("|") >= max(2, 0.12 * len(tokens)):
         return "cells"
-    if share < 0.15:
-        if sum(bool(CELL.match(t)) for t in tokens) >= max(1, 0.5 * len(tokens)):
-            return "cells"
-        gaps = len(GAPS.findall(line)) if "\t" in line or "  " in line else 0
-        if gaps >= 2 and gaps >= 0.4 * (len(tokens) - 1) and not MARKED.search(line):
+    if share < 0.15 and sum(bool(CELL.match(t)) for t in tokens) >= max(1, 0.5 * len(tokens)):
+        return "cells"
+    if "\t" in line or "  " in line:
+        gaps = len(GAPS.findall(line))
+        if gaps >= 2 and not marked and share < 0.15 and gaps >= 0.4 * (len(tokens) - 1):
             return "cells"
-    if ":" in line and len(found) > 2 and share < 0.45 and LABEL.match(line):
+    if named and len(found) > 2:
         return "label"
     if CODE.search(line):
         return "code"
-    marked = bool(MARKED.search(line))
     if len(found) <= 14 and (share < 0.3 or not marked) and MARKER.match(line.lstrip()):
         return "bullet"
     if not found or len(found) <= 2 and not marked:
         return "scrap"
-    if len(found) <= 9 and share < 0.3 and not marked:
-        return "item"
+    if len(found) <= 9 and not marked:
+        return "item" if share < 0.3 else "short"
     if share < 0.2 and not marked and len(found) > 9 and not INSIDE.search(line):
         return "item"
     return "sentence"
 
 
-@lru_cache(maxsize=50_000)
-def decode(signs: tuple[int, ...]) -> tuple[int, ...]:
-    """The likeliest states of a text's lines (Viterbi)."""
-    score, back = START + EMIT[:, signs[0]], []
-    for s in signs[1:]:
-        step = score[:, None] + np.where(np.eye(len(STATES), dtype=bool), STAY, MOVE)
-        back.append(step.argmax(0))
-        score = step.max(0) + EMIT[:, s]
-    path = [int(score.argmax())]
-    for b in reversed(back):
-        path.append(int(b[path[-1]]))
-    return tuple(reversed(path))
+class LineModel:
+    """A hidden Markov model of the lines of texts: first states, moves between states, signs of states."""
+
+    def __init__(self, start: np.ndarray | None = None, move: np.ndarray | None = None, emit: np.ndarray | None = None):
+        k = len(STATES)
+        self.start = START if start is None else start
+        self.move = np.where(np.eye(k, dtype=bool), STAY, (1 - STAY) / (k - 1)) if move is None else move
+        self.emit = EMIT if emit is None else emit
+        self.logs = tuple(np.log(x) for x in (self.start, self.move, self.emit))
+        self.known: dict[tuple[int, ...], tuple[int, ...]] = {}
+
+    def decode(self, signs: tuple[int, ...]) -> tuple[int, ...]:
+        """The likeliest states of a text's lines (Viterbi)."""
+        if signs in self.known:
+            return self.known[signs]
+        start, move, emit = self.logs
+        score, back = start + emit[:, signs[0]], []
+        for s in signs[1:]:
+            step = score[:, None] + move
+            back.append(step.argmax(0))
+            score = step.max(0) + emit[:, s]
+        path = [int(score.argmax())]
+        for b in reversed(back):
+            path.append(int(b[path[-1]]))
+        if len(self.known) >= 50_000:
+            self.known.clear()
+        out = self.known[signs] = tuple(reversed(path))
+        return out
+
+    def judge(self, signs: tuple[int, ...], words: list[int]) -> tuple[list[float], str]:
+        """The share of each state among the words of a text's lines, and its kind. Named fields are two at least."""
+        weight = np.array(words) + 0.1
+        shares = np.bincount(self.decode(signs), weight, len(STATES)) / weight.sum()
+        best = int(shares.argmax())
+        one = STATES[best] == "fields" and signs.count(SIGNS.index("label")) < 2
+        return shares.tolist(), STATES[best] if best and shares[best] >= SHARE and not one else "prose"
+
+
+def wrapped(lines: list[str]) -> bool:
+    """Whether no line but the last had room for the next one's first word, in lines of a usual width."""
+    most = max(map(len, lines))
+    return most >= 48 and all(len(a.rstrip()) + 1 + len(b.split(None, 1)[0]) > most for a, b in zip(lines, lines[1:]))
 
 
 def lines_of(text: str) -> list[str]:
     """The lines of a text. Behind a marker at the start, further markers begin lines, as line breaks may be lost.
 
-    Lines of running text, which has sentence ends, were only wrapped: up to a marker, cells or code they are one.
+    Lines of running text, which has sentence ends or lines as full as they can be, were only wrapped: up to a marker, cells or code they are one.
     """
     lines = [x for x in text.splitlines() if x.strip()]
-    if len(lines) > 1 and FLOWING.search(text):
+    if len(lines) > 1 and (FLOWING.search(text) or wrapped(lines)):
         joined: list[str] = []
         free = False
         for line in lines:
@@ -139,35 +179,42 @@ def lines_of(text: str) -> list[str]:
 class Statistics:
     """Statistics and kind of texts; ``common`` are the common words of all languages."""
 
-    COLUMNS = "words int, mean_word_length double, symbol_ratio double, lines int, marked_line_share double, common_share double, prose_share double, list_share double, table_share double, fields_share double, junk_share double, kind string"  # noqa: E501
-
-    def __init__(self, common: frozenset[str]):
-        self.common = common
-
-    def __call__(self, text: str | None) -> tuple | None:
-        """The values of ``COLUMNS``; None for a null, and no kind for a blank text or one of mere marks."""
-        if text is None:
-            return None
+    SEEN = "words int, mean_word_length double, symbol_ratio double, lines int, marked_line_share double, common_share double"
+    SHARES = "prose_share double, list_share double, table_share double, fields_share double, junk_share double, kind string"
+    COLUMNS = f"{SEEN}, {SHARES}"
+
+    def __init__(self, common: frozenset[str], model: LineModel | None = None):
+        self.common, self.model = common, model or LineModel()
+
+    def signs(self, text: str, found: list[str], lines: list[str], share: float) -> tuple[tuple[int, ...], list[int]]:
+        """What the model sees of a text: the signs of its lines, by number, and their words.
+
+        Named fields are lines of their own where a text holds nothing else, whatever its layout; lines without any common word that are
+        no writing together are one.
+        """
+        if share < 0.5 and (own := fields(text)):
+            return (SIGNS.index("label"),) * len(own), [len(WORD.findall(f"{k} {v}")) for k, v in own]
+        if share < 0.2 and strange(text, found):
+            return (SIGNS.index("noise"),), [len(found)]
+        of = [found] if len(lines) == 1 else [WORD.findall(x.lower()) for x in lines]
+        even = len(lines) > 2 and (gaps := len(GAPS.findall(lines[0]))) > 1 and all(len(GAPS.findall(x)) == gaps for x in lines)
+        return tuple(SIGNS.index(sign(x, self.common, w, even)) for x, w in zip(lines, of)), [len(w) for w in of]
+
+    def seen(self, text: str) -> tuple[tuple, tuple[int, ...], list[int]]:
+        """The values of ``SEEN``, and what the model sees; a blank text, or one of mere marks without lines, has no signs."""
         found = WORD.findall(text.lower())
         lines = lines_of(text) if text.strip() else []
         body = len("".join(text.split()))
         letters = sum(map(len, found))
-        alpha = [w for w in found if not w.isdigit()]
-        share = sum(w in self.common for w in alpha) / len(alpha) if alpha else 0.0
+        share = common_share(found, self.common)
         marked = sum(bool(MARKED.search(x)) for x in lines) / len(lines) if lines else 0.0
-        shares = dict.fromkeys(STATES, 0.0)
-        kind = None
-        if lines:
-            if share < 0.5 and fields(text):
-                path, weight = [3], [1]
-            elif share < 0.2 and strange(text, found):
-                path, weight = [4], [1]
-            else:
-                of = [found] if len(lines) == 1 else [WORD.findall(x.lower()) for x in lines]
-                path = decode(tuple(SIGNS.index(sign(x, self.common, w)) for x, w in zip(lines, of)))
-                weight = [len(w) + 0.1 for w in of]
-            for s, w in zip(path, weight):
-                shares[STATES[s]] += w / sum(weight)
-            best = max(shares, key=shares.get)
-            kind = best if best != "prose" and shares[best] >= SHARE else "prose"
-        return (len(found), letters / len(found) if found else 0.0, (body - letters) / body if body else 0.0, len(lines), marked, share, *shares.values(), kind)
+        signs, words = self.signs(text, found, lines, share) if lines else ((), [])
+        return (len(found), letters / len(found) if found else 0.0, (body - letters) / body if body else 0.0, len(lines), marked, share), signs, words
+
+    def __call__(self, text: str | None) -> tuple | None:
+        """The values of ``COLUMNS``; None for a null, and no kind for a blank text."""
+        if text is None:
+            return None
+        own, signs, words = self.seen(text)
+        shares, kind = self.model.judge(signs, words) if signs else ([0.0] * len(STATES), None)
+        return (*own, *shares, kind)

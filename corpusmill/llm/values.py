@@ -32,7 +32,7 @@ def over(df: DataFrame, make: Callable[[], Callable[[list, list[str | None]], li
     own = df.select(*names, "text")
     kept = ", ".join(f"{n} {own.schema[n].dataType.simpleString()}" for n in names)
     fields = [x.strip().split(" ") for x in schema.split(",")]
-    types = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+    types = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()

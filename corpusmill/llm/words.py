@@ -7,9 +7,13 @@ from itertools import chain
 
 import numpy as np
 import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Longest runs of letters and digits.
 WORD = re.compile(r"[^\W_]+")
+#: Words that a word list may have; a longer one is an error, as all tasks hold it.
+MOST_LISTED = 1_000_000
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -79,3 +83,11 @@ def digests(doc: np.ndarray, h: np.ndarray, count: int) -> tuple[np.ndarray, np.
     np.add.at(a, doc, mix(h ^ GOLD))
     np.add.at(b, doc, mix(h * GOLD + np.uint64(7)))
     return a.view(np.int64), b.view(np.int64)
+
+
+def word_list(common: DataFrame, *, most: int = MOST_LISTED) -> frozenset[str]:
+    """The distinct words of ``common(word)`` in small letters, all of them."""
+    found = common.select(F.lower("word").alias("word")).dropna().distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"a list of common words has at most {most} words")
+    return frozenset(r[0] for r in found)

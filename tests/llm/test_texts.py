@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpusmill.llm import line_model
 from corpusmill.llm.bitmap import bitmap, passes
 from corpusmill.llm.broken_pairs import REFUSING, broken_pairs, copies, opening, unrelated_prompts
 from corpusmill.llm.endings import ending, open_endings
@@ -15,10 +16,11 @@ from corpusmill.llm.language_labels import fit, language_cases, language_segment
 from corpusmill.llm.languages import declared
 from corpusmill.llm.leaks import leaked_items, leaked_phrases, removal_spans
 from corpusmill.llm.packing import OpenBins, pack, packing_report
-from corpusmill.llm.text_kinds import Statistics
+from corpusmill.llm.text_kinds import LineModel, Statistics
 from corpusmill.llm.text_statistics import text_statistics, unnatural_texts
 from corpusmill.llm.truncation import length_hazards, truncated_texts, truncation_report
 from corpusmill.llm.values import long_form
+from corpusmill.llm.words import word_list
 
 DATA = "/root/testdata/sf0.001"
 
@@ -74,6 +76,33 @@ def test_kinds(spark, common):
     assert one[0] == 4 and one[1] == 3.0 and one[3] in (1, 2) and one[5] == 0.5
 
 
+def test_prose_that_opens_like_a_field(common):
+    kinds = Statistics(word_list(common))
+    flow = "The query encoder of Hestuv and the vector index share one budget of 67 tokens. Compare both for every stale snapshot. It was slow at first."
+    assert all(kinds(f"{opens}: {flow}")[-1] == "prose" for opens in ("You ask", "In short", "Note"))
+    assert kinds('You asked: "Our evaluation group told me that Wim is robust once the cache was warm. Why would it change?"')[-1] == "prose"
+    assert kinds("recall at five of Ulmgis\nZorgra slow\nquery encoder for Erls\nFenxan well calibrated\nvalidation loss of Othnok")[-1] == "list"
+    assert kinds("run\tsplit\thit_rate\tloss\nGranok-Mini\tdev\t0.646\t98407\nErlorv-12\teval\t0.957\t23782")[-1] == "table"
+
+
+def test_line_model_is_estimated(spark):
+    rows = ["0"] * 50 + ["222"] * 20 + ["0333"] * 10 + ["", None]
+    signs = spark.createDataFrame([(r,) for r in rows], "signs string")
+    model, before = line_model.fit(signs), LineModel()
+    assert np.allclose(model.emit.sum(axis=1), 1) and np.allclose(model.move.sum(axis=1), 1) and np.allclose(model.start.sum(), 1)
+    assert model.emit[0, 0] > before.emit[0, 0] and model.emit[4, 6] <= before.emit[4, 6]
+    assert model.judge((2, 2, 2), [3, 3, 3])[1] == "list" and model.judge((5,), [9])[1] == "prose"
+    assert (line_model.fit(signs.limit(0)).emit == before.emit).all()
+
+
+def test_bounds_of_samples(spark, common):
+    many = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "ru").otherwise("de").alias("lang"), F.concat(F.lit("wort "), F.col("id").cast("string")).alias("text"))
+    model = fit(many, common, most=20)
+    assert {"ru", "de"} <= set(model.codes)
+    with pytest.raises(ValueError):
+        word_list(common, most=10)
+
+
 def test_openings_and_copies():
     assert opening("I'm sorry, but I cannot help with Zorvex-5. Bye") == ["i", "m", "sorry", "but", "i", "cannot", "help", "with", "*", "0"]
     a = "explain how the model works and what it does".split()
