@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: White space and word characters in one form that JVM and RE2 regular expressions read alike (fixed values).
 SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+OTHER_SPACE = SPACE.replace(r"\x20", r"\x1f")
 WORD = r"[\p{L}\p{N}_]"
 EDGE = r"(^|[^\p{L}\p{N}_])"
 #: Words that mark a record as on topic (fixed values, matched as substrings).
@@ -18,8 +19,8 @@ MISSING_SOURCE = "__missing_source__"
 
 
 def normalized(c: Column) -> Column:
-    """Runs of white space become one space; none at the ends."""
-    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), SPACE + "+", " "))
+    """Runs of white space become one space; none at the ends. A single plain space is left as it is and not matched."""
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), f" {SPACE}+|{OTHER_SPACE}{SPACE}*", " "))
 
 
 def normalized_lower(c: Column) -> Column:
@@ -33,7 +34,7 @@ def stripped(c: Column) -> Column:
 
 def non_ascii_ratio(c: Column) -> Column:
     """Share of code points above 127; 0 for an empty text."""
-    other = F.length(F.regexp_replace(c, r"[\x00-\x7F]", ""))
+    other = F.length(F.regexp_replace(c, r"[\x00-\x7F]+", ""))
     return F.when(F.length(c) > 0, other / F.length(c)).otherwise(0.0)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..plans.lineage import cut
 from .ordering import global_ordinal
 
 #: Patterns of noise, code and empty courtesy, and answers that say nothing (fixed values).
@@ -96,7 +97,7 @@ def clamped(score: Column) -> Column:
 
 
 def rag_score(source: Column, title: Column, text: Column) -> Column:
-    """Quality of a valid record, 0 to 1, rounded half up to three digits. All arguments are normalised."""
+    """Quality of a valid record, 0 to 1, rounded half up to three digits. All arguments are normalised. The weights are fixed values."""
     kind, titled = F.lower(source), title != ""
     whole = F.when(titled, F.concat(title, F.lit("\n\n"), text)).otherwise(text)
     score = F.lit(0.42) + F.when(titled, _share(F.length(title), 120, 0.14)).otherwise(F.lit(0.0))
@@ -108,7 +109,7 @@ def rag_score(source: Column, title: Column, text: Column) -> Column:
 
 
 def sft_score(source: Column, instruction: Column, response: Column) -> Column:
-    """Quality of a valid pair, as ``rag_score``."""
+    """Quality of a valid pair, as ``rag_score``; the weights and words are fixed values."""
     kind, words = F.lower(source), T.word_count(response)
     score = F.lit(0.38) + _share(F.length(instruction), 180, 0.16) + _share(F.length(response), 1200, 0.26) + _share(words, 180, 0.16)
     score = score + _bonus(_any_of(F.lower(response), ["example", "because", "steps", "first", "second"]), 0.08)
@@ -122,18 +123,44 @@ def bucket(score: Column) -> Column:
     return F.when(score < 0.45, "low").when(score < 0.72, "medium").otherwise("high")
 
 
-def _finish(rows: DataFrame, key: Column, score: Column) -> DataFrame:
-    """Mark later ones of equal valid rows as duplicates and score the rest.
+def _judged(rows: DataFrame, reason: Column, key: Column, score: Column) -> DataFrame:
+    """``(row_idx, id, source, reason, quality_score, quality_bucket)`` of normalised rows: later ones of equal valid rows are
+    duplicates, the rest are scored.
 
-    The first of each key is found by an aggregate, which sums up hot keys before its shuffle, and joined back by row.
+    Texts are normalised and judged in one pass; only short verdicts go on. The first of each key is found by an aggregate, which sums up hot
+    keys before its shuffle, and joined back by row. No filter stands on a computed column, so that none is copied below.
     """
-    valid = rows.where("reason is null").select("row_idx", F.xxhash64(key).alias("k1"), F.md5(key).alias("k2"))
-    first = valid.groupBy("k1", "k2").agg(F.min("row_idx").alias("row_idx")).select("row_idx", F.lit(True).alias("first"))
-    out = rows.join(first, "row_idx", "left")
-    reason = F.coalesce("reason", F.when(F.col("first").isNull(), F.lit("duplicate")))
-    out = out.withColumn("reason", reason).drop("first")
-    out = out.withColumn("quality_score", F.when(F.col("reason").isNull(), score))
-    return out.withColumn("quality_bucket", F.when(F.col("reason").isNull(), bucket(F.col("quality_score"))))
+    own = rows.withColumn("reason", reason).select(
+        "row_idx", "id", "source", "reason", F.xxhash64(key).alias("k1"), F.md5(key).alias("k2"), F.when(F.col("reason").isNull(), score).alias("quality_score")
+    )
+    own = cut(own)
+    first = own.where("reason is null").groupBy("k1", "k2").agg(F.min("row_idx").alias("row_idx")).select("row_idx", F.lit(True).alias("first"))
+    out = own.join(first, "row_idx", "left")
+    out = out.withColumn("reason", F.coalesce("reason", F.when(F.col("first").isNull(), F.lit("duplicate"))))
+    kept = F.col("reason").isNull()
+    return out.select("row_idx", "id", "source", "reason", F.when(kept, F.col("quality_score")).alias("quality_score"), F.when(kept, bucket(F.col("quality_score"))).alias("quality_bucket"))
+
+
+def _rag_texts(df: DataFrame) -> DataFrame:
+    tags = F.coalesce("tags", F.array(F.lit("ml_assistant"))) if "tags" in df.columns else F.array(F.lit("ml_assistant"))
+    return df.select("row_idx", "id", *(T.normalized(F.col(c)).alias(c) for c in ("source", "title", "text")), tags.alias("tags"))
+
+
+def _sft_texts(df: DataFrame) -> DataFrame:
+    return df.select("row_idx", "id", *(T.normalized(F.col(c)).alias(c) for c in ("source", "instruction", "response")))
+
+
+def rag_verdicts(df: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """``(row_idx, id, source, reason, quality_score, quality_bucket)`` of every record, as ``clean_rag`` without the texts."""
+    s, t, x = F.col("source"), F.col("title"), F.col("text")
+    key = F.lower(F.when(t != "", F.concat(t, F.lit(" "), x)).otherwise(x))
+    return _judged(_rag_texts(df).drop("tags"), rag_reason(s, t, x, limits), key, rag_score(s, t, x))
+
+
+def sft_verdicts(df: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """The same of every pair, as ``clean_sft``."""
+    s, i, r = F.col("source"), F.col("instruction"), F.col("response")
+    return _judged(_sft_texts(df), sft_reason(s, i, r, limits), F.concat(F.lower(i), F.lit("|||"), F.lower(r)), sft_score(s, i, r))
 
 
 def clean_rag(df: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -142,19 +169,14 @@ def clean_rag(df: DataFrame, limits: Limits = Limits()) -> DataFrame:
     Columns: row_idx, id, source, title, text, tags, reason, quality_score, quality_bucket. A missing tag list becomes
     ``["ml_assistant"]``. Of equal valid records (title and text as one, without case) the first by row_idx is kept.
     """
-    tags = F.coalesce("tags", F.array(F.lit("ml_assistant"))) if "tags" in df.columns else F.array(F.lit("ml_assistant"))
-    rows = df.select("row_idx", "id", *(T.normalized(F.col(c)).alias(c) for c in ("source", "title", "text")), tags.alias("tags"))
-    s, t, x = F.col("source"), F.col("title"), F.col("text")
-    rows = rows.withColumn("reason", rag_reason(s, t, x, limits))
-    return _finish(rows, F.lower(F.when(t != "", F.concat(t, F.lit(" "), x)).otherwise(x)), rag_score(s, t, x))
+    found = rag_verdicts(df, limits).drop("id", "source")
+    return _rag_texts(df).join(found, "row_idx")
 
 
 def clean_sft(df: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """As ``clean_rag`` for pairs: row_idx, id, source, instruction, response, reason, quality_score, quality_bucket."""
-    rows = df.select("row_idx", "id", *(T.normalized(F.col(c)).alias(c) for c in ("source", "instruction", "response")))
-    s, i, r = F.col("source"), F.col("instruction"), F.col("response")
-    rows = rows.withColumn("reason", sft_reason(s, i, r, limits))
-    return _finish(rows, F.concat(F.lower(i), F.lit("|||"), F.lower(r)), sft_score(s, i, r))
+    found = sft_verdicts(df, limits).drop("id", "source")
+    return _sft_texts(df).join(found, "row_idx")
 
 
 def kept(cleaned: DataFrame, prefix: str) -> DataFrame:

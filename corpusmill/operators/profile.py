@@ -53,21 +53,38 @@ def gates(df: DataFrame, column: str, near_share: float = 0.0) -> DataFrame:
     return one.withColumn("noise_ok", noise).withColumn("non_ascii_ok", other).withColumn("status", F.when(passed, "PASS").otherwise("PASS_WITH_CLEANING_REQUIRED"))
 
 
+def _sign_rows(grams: np.ndarray, memo: dict[int, int], rows: list[np.ndarray]) -> np.ndarray:
+    """The places in ``rows`` of the signs of trigrams, given as numbers; new ones are added."""
+    out = np.empty(len(grams), np.int64)
+    for i, g in enumerate(grams.tolist()):
+        at = memo.get(g)
+        if at is None:
+            text = "".join(chr(x - 1) for x in (g >> 42, g >> 21 & 0x1FFFFF, g & 0x1FFFFF) if x)
+            low = np.frombuffer(hashlib.md5(text.encode("utf-8", "surrogatepass")).digest()[8:], np.uint8)
+            at = memo[g] = len(rows)
+            rows.append(np.unpackbits(low).astype(np.int8) * 2 - 1)
+        out[i] = at
+    return out
+
+
 def _simhash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    memo: dict[str, np.ndarray] = {}
-    for batch in batches:
-        out = []
-        for text in batch.column(1).to_pylist():
-            votes, grams = np.zeros(64, np.int64), [text[i : i + 3] for i in range(max(1, len(text) - 2))]
-            for g in grams:
-                if g not in memo:
-                    if len(memo) > 500_000:
-                        memo.clear()
-                    low = np.frombuffer(hashlib.md5(g.encode()).digest()[8:], np.uint8)
-                    memo[g] = np.unpackbits(low).astype(np.int8) * 2 - 1
-            votes = np.sum([memo[g] for g in grams], axis=0, dtype=np.int64)
-            out.append(np.packbits(votes > 0).view(">i8")[0])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(out, np.int64))], names=["row_idx", "simhash"])
+    memo: dict[int, int] = {}
+    rows: list[np.ndarray] = []
+    for whole in batches:
+        for batch in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
+            if len(rows) > 500_000:
+                memo.clear()
+                rows.clear()
+            codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) + 1 for t in batch.column(1).to_pylist()]
+            # a shorter text is its own only gram
+            grams = [(c[:-2] << 42) | (c[1:-1] << 21) | c[2:] if len(c) > 2 else np.array([int("".join(f"{x:021b}" for x in c) or "0", 2)]) for c in codes]
+            distinct, at = np.unique(np.concatenate(grams), return_inverse=True)
+            signs = _sign_rows(distinct, memo, rows)
+            table = np.stack([rows[i] for i in signs])
+            sizes = np.array([len(g) for g in grams])
+            ends = np.cumsum(sizes)
+            votes = np.stack([table[at[e - n : e]].sum(axis=0, dtype=np.int64) for n, e in zip(sizes, ends)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.packbits(votes > 0, axis=1).view(">i8").ravel().astype(np.int64))], names=["row_idx", "simhash"])
 
 
 def simhash(df: DataFrame, column: str, row_id: str = "row_idx") -> DataFrame:

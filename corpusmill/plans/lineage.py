@@ -8,18 +8,23 @@ import tempfile
 from pyspark.sql import DataFrame
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, *, free: bool = False) -> DataFrame:
     """``df`` written to the checkpoint folder and read back.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; only where that is unset, as in tests on one
-    machine, a temporary one is made.
+    The folder is the one the session names in ``spark.checkpoint.dir``. Only where that is unset and the master is local, as in tests on one
+    machine, a temporary one is made; on a cluster it is an error. ``free``: garbage is collected, so that Spark
+    deletes the shuffle files behind what was written; for plans that move a multiple of their input.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusmill-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="corpusmill-"))
     out = df.checkpoint(eager=True)
-    del df  # collected references let Spark delete the shuffle files behind them, if the caller holds none
-    gc.collect()
-    sc._jvm.System.gc()
+    del df  # collected references let Spark delete the files, if the caller holds none
+    if free:
+        gc.collect()
+        sc._jvm.System.gc()
     return out

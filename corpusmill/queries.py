@@ -46,6 +46,11 @@ def _cleaned(spark: SparkSession, d: str, which: str) -> DataFrame:
     return clean.clean_rag(rag(spark, d), LIMITS) if which == "rag" else clean.clean_sft(sft(spark, d), LIMITS)
 
 
+def _verdicts(spark: SparkSession, d: str, which: str) -> DataFrame:
+    """What cleaning says of each row, without its texts."""
+    return clean.rag_verdicts(rag(spark, d), LIMITS) if which == "rag" else clean.sft_verdicts(sft(spark, d), LIMITS)
+
+
 # Text functions
 
 
@@ -123,37 +128,37 @@ def pair_ordinal(spark, d):
 @query(S.CLEAN_RAG)
 def clean_rag_rows(spark, d):
     """Every record's reject reason, score and bucket."""
-    return _cleaned(spark, d, "rag").select("row_idx", "reason", "quality_score", "quality_bucket")
+    return _verdicts(spark, d, "rag").select("row_idx", "reason", "quality_score", "quality_bucket")
 
 
 @query(S.CLEAN_SFT)
 def clean_sft_rows(spark, d):
     """Every pair's reject reason, score and bucket."""
-    return _cleaned(spark, d, "sft").select("row_idx", "reason", "quality_score", "quality_bucket")
+    return _verdicts(spark, d, "sft").select("row_idx", "reason", "quality_score", "quality_bucket")
 
 
 @query(S.profile_of("clean_rag"))
 def clean_rag_profile(spark, d):
     """What comes in, stays and is dropped of each source of records, and the mean quality of what stays."""
-    return clean.source_profile(_cleaned(spark, d, "rag"))
+    return clean.source_profile(_verdicts(spark, d, "rag"))
 
 
 @query(S.profile_of("clean_sft"))
 def clean_sft_profile(spark, d):
     """The same of pairs."""
-    return clean.source_profile(_cleaned(spark, d, "sft"))
+    return clean.source_profile(_verdicts(spark, d, "sft"))
 
 
 @query(S.DROP_REASONS)
 def drop_reasons_rollup(spark, d):
     """Rejected records per reason, by source and over all."""
-    return clean.drop_reasons(_cleaned(spark, d, "rag"))
+    return clean.drop_reasons(_verdicts(spark, d, "rag"))
 
 
 @query(S.SUMMARY)
 def cleaning_summary(spark, d):
     """Totals of both tables."""
-    parts = [clean.summary(_cleaned(spark, d, w)).select(F.lit(w).alias("dataset"), "*") for w in ("rag", "sft")]
+    parts = [clean.summary(_verdicts(spark, d, w)).select(F.lit(w).alias("dataset"), "*") for w in ("rag", "sft")]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -174,8 +179,8 @@ def kept_documents(spark, d):
 
 
 def _assigned(spark, d):
-    pairs = sft(spark, d).join(_cleaned(spark, d, "sft").select("row_idx", "quality_bucket"), "row_idx").where("quality_bucket is not null")
-    return split.assign_splits(pairs.drop("split").select("row_idx", "id", "source", "quality_bucket"))
+    kept = _verdicts(spark, d, "sft").where("quality_bucket is not null")
+    return split.assign_splits(kept.select("row_idx", "id", "source", "quality_bucket"))
 
 
 @query(S.SPLIT_ROWS)
@@ -324,8 +329,7 @@ def bm25_vocabulary(spark, d):
 
 
 def _bm25(spark, d, k):
-    p = passages(spark, d)
-    return retrieval.bm25(retrieval.postings(p), retrieval.keyword_stats(p), questions(spark, d), k)
+    return retrieval.bm25_scan(passages(spark, d), questions(spark, d), k)
 
 
 @query(S.BM25)
