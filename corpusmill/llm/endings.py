@@ -11,8 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut
-from .bitmap import bitmap, passes
+from .lineage import cut
+from .bitmap import Bits, bitmap
 from .text_kinds import CELL, MARKER
 from .words import GOLD, mix
 
@@ -134,7 +134,7 @@ def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _counts(wanted: np.ndarray, chunk: int = 200):
+def _counts(wanted: Bits, chunk: int = 200):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Tokens()
         for whole in batches:
@@ -147,7 +147,7 @@ def _counts(wanted: np.ndarray, chunk: int = 200):
                 at = np.flatnonzero(here)
                 for row in k:
                     own = row[at]
-                    hit = passes(wanted, own)
+                    hit = wanted.passes(own)
                     keys.append(own[hit].view(np.int64))
                     ends.append(kind[at[hit] + 1] == FINAL)
             if keys:
@@ -171,7 +171,7 @@ def open_endings(texts: DataFrame) -> DataFrame:
     """
     found = cut(texts.select("id", "text").mapInArrow(_open, "id bigint, mark string, odd int, k1 bigint, k2 bigint, k3 bigint"))
     keys = found.select(F.explode(F.array("k1", "k2", "k3")).alias("key"))
-    counts = texts.select("text").mapInArrow(_counts(bitmap(keys)), "key bigint, ends bigint, seen bigint")
+    counts = texts.select("text").mapInArrow(_counts(bitmap(keys, 3 * found.count())), "key bigint, ends bigint, seen bigint")
     counts = cut(counts.groupBy("key").agg(F.sum("ends").alias("ends"), F.sum("seen").alias("seen")).join(keys.distinct(), "key", "left_semi"))
     for i in "123":
         counted = counts.select(F.col("key").alias(f"k{i}"), F.col("ends").alias(f"ends{i}"), F.col("seen").alias(f"seen{i}"))

@@ -9,10 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut
+from .lineage import cut
 from ..sources.tables import spread
 from .bags import bands, signatures, sketches
-from .bitmap import bitmap, passes
+from .bitmap import Bits, bitmap
 from .links import components, join_hot, likely_enough, pairs_within
 from .words import WordHashes, counted, hashed, runs
 
@@ -40,14 +40,14 @@ def _signed(width: int, size: int, rows: int):
     return run
 
 
-def _sets(width: int, wanted: np.ndarray):
+def _sets(width: int, wanted: Bits):
     """Batches of (class_id, record) to the sets of hashed runs, of the classes in the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for whole in batches:
             for batch in (whole.slice(i, CHUNK) for i in range(0, whole.num_rows, CHUNK)):
-                batch = batch.filter(pa.array(passes(wanted, batch.column(0).to_numpy())))
+                batch = batch.filter(pa.array(wanted.passes(batch.column(0).to_numpy())))
                 if not batch.num_rows:
                     continue
                 h, n = hashed(batch.column(1).to_pylist(), memo)
@@ -147,7 +147,7 @@ def near_duplicates(
         if sets is None:  # later rounds hold deep rows only
             deep = met.where("key is not null").select("id")
             touched = near.select(F.col("a").alias("row_idx")).union(near.select("b")).union(deep).distinct()
-            wanted = bitmap(touched)
+            wanted = bitmap(touched.withColumnRenamed("row_idx", "key"), touched.count())
             sets = cut(spread(source.select("row_idx", "record")).mapInArrow(_sets(width, wanted), "class_id bigint, elements array<int>"))
         found = likely_enough(near, sets, least).select("a", "b")
         links = found if links is None else links.union(found)

@@ -9,33 +9,34 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut
 from ..sources.tables import spread
-from .links import join_hot, likely_enough
+from .bitmap import Bits, bitmap
+from .lineage import cut
+from .links import join_hot
 from .words import WordHashes, counted, digests, hashed, runs
 
 CHUNK = 200
-#: Counters of how common a run is among the held-out records: a fixed table of 256 kB, whatever the data.
-COUNTERS = 1 << 16
+#: Levels of how common a run is among the held-out records: the first that lies above its number of records.
+LEVELS = (2, 4, 8, 32, 128, 1024)
 
 
-def _common(width: int):
-    """Batches of records to (slot, n): how often runs whose hash falls on that counter come."""
+def _held_runs(width: int):
+    """Batches of records to (run, n): the distinct runs of each, counted within a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, total = WordHashes(), np.zeros(COUNTERS, np.int64)
+        memo = WordHashes()
         for whole in batches:
-            for batch in (whole.slice(i, CHUNK) for i in range(0, whole.num_rows, CHUNK)):
-                _, h, _ = counted(*runs(*hashed(batch.column(0).to_pylist(), memo), width))
-                total += np.bincount((h >> np.uint64(48)).astype(np.int64), minlength=COUNTERS)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["slot", "n"])
+            found = [counted(*runs(*hashed(b.column(0).to_pylist(), memo), width))[1] for b in (whole.slice(i, CHUNK) for i in range(0, whole.num_rows, CHUNK))]
+            if found:
+                own, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n.astype(np.int64))], names=["run", "n"])
 
     return run
 
 
-def _probes(width: int, least: float, common: np.ndarray):
-    """Batches of (row_idx, train, record) to their digests, sets of runs, and the rarest runs to look others up by."""
+def _scanned(width: int, least: float, known: Bits):
+    """Batches of (row_idx, train, record) to digests, number of runs, and those of them that held-out records may have, rare ones first, with how
+    many of these are to be looked up; without the training records that have too few of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
@@ -45,18 +46,19 @@ def _probes(width: int, least: float, common: np.ndarray):
                 doc, h, _ = counted(*runs(h, n, width))
                 size = np.bincount(doc, minlength=len(n))
                 d1, d2 = digests(doc, h, len(n))
-                order = np.lexsort((h, common[(h >> np.uint64(48)).astype(np.int64)], doc))
-                rank = np.arange(len(h)) - np.repeat(np.r_[0, np.cumsum(size)[:-1]], size)
-                prefix = size - np.ceil(least * size - 1e-9).astype(np.int64) + 1
-                probe = rank < prefix[doc]
-                kept = np.flatnonzero(size)
-                lists = []
-                for values, each in ((h, size), (h[order][probe], np.bincount(doc[probe], minlength=len(n)))):
-                    ends = np.r_[0, np.cumsum(each[kept])].astype(np.int32)
-                    lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64))))
+                level = known.levels(h >> np.uint64(8))
+                hits = np.bincount(doc[level > 0], minlength=len(n))
+                need = np.ceil(least * size - 1e-9).astype(np.int64)
+                kept = np.flatnonzero((size > 0) & (hits >= need))
+                here = (level > 0) & ((size > 0) & (hits >= need))[doc]
+                doc, h, level = doc[here], h[here], level[here]
+                order = np.lexsort((h, level, doc))
+                ends = np.r_[0, np.cumsum(hits[kept])].astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(h[order].view(np.int64)))
                 rows = pa.array(kept)
-                cols = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(d1[kept]), pa.array(d2[kept]), *lists]
-                yield pa.RecordBatch.from_arrays(cols, names=["row_idx", "train", "d1", "d2", "elements", "probes"])
+                looked = (hits - need + 1)[kept]  # of the first size - need + 1 runs those that no held-out record has come first
+                cols = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(d1[kept]), pa.array(d2[kept]), pa.array(size[kept]), pa.array(looked), lists]
+                yield pa.RecordBatch.from_arrays(cols, names=["row_idx", "train", "d1", "d2", "n", "looked", "elements"])
 
     return run
 
@@ -72,58 +74,61 @@ def split_overlaps(
     ``members(row_idx, train, class_id, size)``. A record without a run is like none; null records are empty; a row
     whose ``train`` is null is held out, one without a number is left out.
 
-    The runs of each class are put in one order for all, rare ones first, by a fixed table of counts of the held-out
-    side; two sets of that likeness share one of the first n - ceil(least n) + 1 of both, so only these are met in the
-    join and no pair is missed. Common runs are hardly ever among them, which keeps the posting lists short. Pairs
-    are then checked exactly, and copies of one record are a single class throughout.
+    The held-out records' runs are counted, and a bitmap sized by their number tells of any run whether they have it and how common it is
+    among them. One scan of all records keeps, of each, those runs, rare ones first; a training record in which fewer than the share
+    ``least`` are such runs is like none and goes no further. Two sets of that likeness share one of the first n - ceil(least n) + 1 of both in any common
+    order, so only these are met in the join and no pair is missed; nor is one by leaving out what lies too far back in
+    both for enough to be shared. Pairs are then checked exactly, and copies of one record are a single class throughout.
     """
     source = df.select(F.col(row_id).cast("bigint").alias("row_idx"), F.coalesce(train, F.lit(False)).alias("train"), record.alias("record"))
     source = spread(source.where("row_idx is not null"))
-    counts = (
-        source.where("not train").select("record").mapInArrow(_common(width), "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).collect()
-    )  # at most COUNTERS rows
-    common = np.zeros(COUNTERS, np.int64)
-    for slot, n in counts:
-        common[slot] = n
-    schema = "row_idx bigint, train boolean, d1 bigint, d2 bigint, elements array<bigint>, probes array<bigint>"
-    rows = source.mapInArrow(_probes(width, least, common), schema)
+    counts = cut(source.where("not train").select("record").mapInArrow(_held_runs(width), "run bigint, n bigint").groupBy("run").agg(F.sum("n").alias("n")))
+    level = sum(((F.col("n") >= x).cast("int") for x in LEVELS), F.lit(1))
+    known = bitmap(counts.select(F.expr("shiftrightunsigned(run, 8)").alias("key"), level.alias("level")), counts.count(), planes=3)
+    schema = "row_idx bigint, train boolean, d1 bigint, d2 bigint, n bigint, looked bigint, elements array<bigint>"
+    rows = cut(source.mapInArrow(_scanned(width, least, known), schema))
     classes = cut(
         rows.groupBy("d1", "d2").agg(
-            F.min("row_idx").alias("class_id"), F.count("*").alias("size"), F.max("train").alias("trained"),
-            F.min("train").alias("all_trained"), F.first("elements").alias("elements"), F.first("probes").alias("probes"),
+            F.min("row_idx").alias("class_id"), F.count("*").alias("size"), F.max("train").alias("trained"), F.min("train").alias("all_trained"),
+            F.first("n").alias("n"), F.first("looked").alias("looked"), F.first("elements").alias("elements"),
         )
     )
-    probe = classes.select("class_id", "trained", "all_trained", F.size("elements").alias("n"), F.explode("probes").alias("run"))
-    held = probe.where("not all_trained").select("run", F.col("class_id").alias("a"), F.col("n").alias("m"))
-    trained = probe.where("trained").select("run", F.col("class_id").alias("b"), "n")
+    probe = classes.select("class_id", "trained", "all_trained", "n", F.size("elements").alias("most"), F.posexplode(F.slice("elements", F.lit(1), F.col("looked").cast("int"))).alias("place", "run"))
+    probe = probe.withColumn("left", F.col("most") - F.col("place"))  # runs from here on
+    held = probe.where("not all_trained").select("run", F.col("class_id").alias("a"), F.col("n").alias("m"), F.col("left").alias("left_a"))
+    trained = probe.where("trained").select("run", F.col("class_id").alias("b"), "n", F.col("left").alias("left_b"))
     near = (F.col("a") != F.col("b")) & (F.col("n") >= least * F.col("m") - 1e-9) & (F.col("m") >= least * F.col("n") - 1e-9)
-    pairs = held.join(trained, "run").where(near).select("a", "b").distinct()
-    sets = classes.select("class_id", "elements")
-    unlike = likely_enough(pairs, sets, least)
-    size = classes.select(F.col("class_id").alias("a"), F.size("elements").alias("n"))
-    unlike = unlike.join(size, "a").select(F.col("a").alias("held"), F.col("b").alias("trained"), "shared", "likeness", (F.col("shared") / F.col("n")).alias("contained"))
+    enough = F.least("left_a", "left_b") >= least / (1 + least) * (F.col("m") + F.col("n")) - 1e-9
+    pairs = cut(held.join(trained, "run").where(near & enough).select("a", "b").distinct())
+    left, right = (classes.select(F.col("class_id").alias(x), F.col("elements").alias(f"own_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
+    both = pairs.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("own_a", "own_b")))
+    both = both.withColumn("likeness", F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))).where(F.col("likeness") >= least - 1e-12)
+    unlike = both.select(F.col("a").alias("held"), F.col("b").alias("trained"), F.col("shared").cast("bigint").alias("shared"), "likeness", (F.col("shared") / F.col("n_a")).alias("contained"))
     equal = classes.where("trained and not all_trained").select(
-        F.col("class_id").alias("held"), F.col("class_id").alias("trained"), F.size("elements").alias("shared"), F.lit(1.0).alias("likeness"), F.lit(1.0).alias("contained")
+        F.col("class_id").alias("held"), F.col("class_id").alias("trained"), F.col("n").alias("shared"), F.lit(1.0).alias("likeness"), F.lit(1.0).alias("contained")
     )
+    links = cut(unlike.unionByName(equal))
     named = classes.select("d1", "d2", "class_id", "size")
-    own = source.mapInArrow(_probes(width, least, common), schema).select("row_idx", "train", "d1", "d2")
-    members = join_hot(own, named, ["d1", "d2"], size="size", total=df.count()).select("row_idx", "train", "class_id", "size")
-    return unlike.unionByName(equal), members
+    members = join_hot(rows.select("row_idx", "train", "d1", "d2"), named, ["d1", "d2"], size="size", total=rows.count())
+    return links, members.select("row_idx", "train", "class_id", "size")
 
 
 def split_overlap_pairs(df: DataFrame, record: Column, train: Column, *, block: int = 4096, **how) -> DataFrame:
     """``(row_idx_a, row_idx_b)``, smaller first: all pairs of a held-out and a training row of linked classes.
 
-    A class of many training copies is met in blocks of about ``block`` of them.
+    The copies of a class are met in cells of about ``block`` on either side, so that any two cells are a task's work of their own.
     """
     links, members = split_overlaps(df, record, train, **how)
-    members = cut(members)
+    touched = links.select(F.col("held").alias("class_id")).union(links.select("trained")).distinct()
+    members = cut(members.join(touched, "class_id", "left_semi"))
     cells = F.ceil(F.col("size") / block).cast("int")
-    held = members.where("not train").select(F.col("class_id").alias("held"), F.col("row_idx").alias("x"))
-    trained = members.where("train").select(F.col("class_id").alias("trained"), F.col("row_idx").alias("y"), F.pmod(F.xxhash64("row_idx"), cells).cast("int").alias("cell"))
-    size = members.groupBy("class_id").agg(F.max(cells).alias("cells")).withColumnRenamed("class_id", "trained")
-    wide = links.join(size, "trained").withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-    both = wide.join(held, "held").join(trained, ["trained", "cell"])
+    placed = members.withColumn("cell", F.pmod(F.xxhash64("row_idx"), cells).cast("int"))
+    held = placed.where("not train").select(F.col("class_id").alias("held"), F.col("cell").alias("cell_x"), F.col("row_idx").alias("x"))
+    trained = placed.where("train").select(F.col("class_id").alias("trained"), F.col("cell").alias("cell_y"), F.col("row_idx").alias("y"))
+    size = members.groupBy("class_id").agg(F.max(cells).alias("cells"))
+    for side, cell in (("held", "cell_x"), ("trained", "cell_y")):
+        links = links.join(size.withColumnRenamed("class_id", side), side).withColumn(cell, F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).drop("cells")
+    both = links.join(held, ["held", "cell_x"]).join(trained, ["trained", "cell_y"])
     return both.select(F.least("x", "y").alias("row_idx_a"), F.greatest("x", "y").alias("row_idx_b"))
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.llm import line_model
-from corpusmill.llm.bitmap import bitmap, passes
+from corpusmill.llm.bitmap import bitmap
 from corpusmill.llm.broken_pairs import REFUSING, broken_pairs, copies, opening, unrelated_prompts
 from corpusmill.llm.endings import ending, open_endings
 from corpusmill.llm.fm_index import FMIndex
@@ -217,11 +217,14 @@ def test_leaks(spark):
 
 
 def test_bitmap(spark):
-    keys = spark.range(0, 5000, 7).select((F.col("id") * 1_000_003).alias("k"))
-    cells = bitmap(keys)
+    keys = spark.range(0, 5000, 7).select((F.col("id") * 1_000_003).alias("key"))
     own = np.arange(0, 5000, 7) * 1_000_003
-    assert passes(cells, own).all() and passes(cells, own + 1).mean() < 0.01
-    assert not passes(bitmap(keys.limit(0)), own).any()
+    for most in (1 << 28, 1 << 10):  # the second is full
+        cells = bitmap(keys, keys.count(), most=most)
+        assert cells.passes(own).all() and (most < 1 << 20 or cells.passes(own + 1).mean() < 0.1)
+    assert not bitmap(keys.limit(0), 0).passes(own).any()
+    levels = bitmap(keys.withColumn("level", F.lit(5)).union(keys.limit(1).withColumn("level", F.lit(7))), 800, planes=3)
+    assert set(levels.levels(own)) == {5, 7} and bitmap(spark.createDataFrame([(None,)], "key bigint"), 1).levels(own).sum() == 0
 
 
 def test_endings():
