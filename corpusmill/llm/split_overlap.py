@@ -18,6 +18,8 @@ from .words import WordHashes, counted, digests, hashed, runs
 CHUNK = 200
 #: Levels of how common a run is among the held-out records: the first that lies above its number of records.
 LEVELS = (2, 4, 8, 32, 128, 1024)
+#: Pairs at most whose ids are broadcast.
+FEW = 200_000
 
 
 def _held_runs(width: int):
@@ -63,6 +65,26 @@ def _scanned(width: int, least: float, known: Bits):
     return run
 
 
+def _probing(held: Bits, trained: Bits):
+    """Batches of (row_idx, n, looked, elements) to (held, run, id, n, left) for the runs to be looked up of the rows that stand for a class with a held-out
+    row, and of those for one with a training row; ``left`` is the number of runs from there on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, n, looked = (batch.column(i).to_numpy() for i in range(3))
+            lists = batch.column(3)
+            starts, flat = lists.offsets.to_numpy()[:-1].astype(np.int64), lists.values.to_numpy()
+            most = np.diff(lists.offsets.to_numpy())
+            for side, bits in ((True, held), (False, trained)):
+                own = np.flatnonzero(bits.passes(ids))
+                row = np.repeat(own, looked[own])
+                place = np.arange(len(row)) - np.repeat(np.cumsum(looked[own]) - looked[own], looked[own])
+                columns = [np.full(len(row), side), flat[starts[row] + place], ids[row], n[row].astype(np.int32), (most[row] - place).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["held", "run", "id", "n", "left"])
+
+    return run
+
+
 def split_overlaps(
     df: DataFrame, record: Column, train: Column, *, row_id: str = "row_idx", width: int = 5, least: float = 0.8
 ) -> tuple[DataFrame, DataFrame]:
@@ -89,18 +111,23 @@ def split_overlaps(
     rows = cut(source.mapInArrow(_scanned(width, least, known), schema))
     classes = cut(
         rows.groupBy("d1", "d2").agg(
-            F.min("row_idx").alias("class_id"), F.count("*").alias("size"), F.max("train").alias("trained"), F.min("train").alias("all_trained"),
-            F.first("n").alias("n"), F.first("looked").alias("looked"), F.first("elements").alias("elements"),
+            F.min("row_idx").alias("class_id"), F.count("*").alias("size"), F.max("train").alias("trained"), F.min("train").alias("all_trained"), F.first("n").alias("n")
         )
     )
-    probe = classes.select("class_id", "trained", "all_trained", "n", F.size("elements").alias("most"), F.posexplode(F.slice("elements", F.lit(1), F.col("looked").cast("int"))).alias("place", "run"))
-    probe = probe.withColumn("left", F.col("most") - F.col("place"))  # runs from here on
-    held = probe.where("not all_trained").select("run", F.col("class_id").alias("a"), F.col("n").alias("m"), F.col("left").alias("left_a"))
-    trained = probe.where("trained").select("run", F.col("class_id").alias("b"), "n", F.col("left").alias("left_b"))
+    number = classes.count()
+    of_held, of_train = (bitmap(classes.where(x).select(F.col("class_id").alias("key")), number) for x in ("not all_trained", "trained"))
+    probe = rows.select("row_idx", "n", "looked", "elements").mapInArrow(_probing(of_held, of_train), "held boolean, run bigint, id bigint, n int, left int")
+    held = probe.where("held").select("run", F.col("id").alias("a"), F.col("n").alias("m"), F.col("left").alias("left_a"))
+    trained = probe.where("not held").select("run", F.col("id").alias("b"), "n", F.col("left").alias("left_b"))
     near = (F.col("a") != F.col("b")) & (F.col("n") >= least * F.col("m") - 1e-9) & (F.col("m") >= least * F.col("n") - 1e-9)
     enough = F.least("left_a", "left_b") >= least / (1 + least) * (F.col("m") + F.col("n")) - 1e-9
-    pairs = cut(held.join(trained, "run").where(near & enough).select("a", "b").distinct())
-    left, right = (classes.select(F.col("class_id").alias(x), F.col("elements").alias(f"own_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
+    pairs = held.join(trained, "run").where(near & enough).select("a", "b").distinct()
+    # a bitmap may let a row pass that stands for no class of its side
+    pairs = pairs.join(classes.where("not all_trained").select(F.col("class_id").alias("a")), "a", "left_semi").join(classes.where("trained").select(F.col("class_id").alias("b")), "b", "left_semi")
+    pairs = cut(pairs)
+    touched = pairs.select(F.col("a").alias("row_idx")).union(pairs.select("b")).distinct()
+    sets = rows.select("row_idx", "n", "elements").join(F.broadcast(touched) if pairs.count() <= FEW else touched, "row_idx", "left_semi")
+    left, right = (sets.select(F.col("row_idx").alias(x), F.col("elements").alias(f"own_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
     both = pairs.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("own_a", "own_b")))
     both = both.withColumn("likeness", F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))).where(F.col("likeness") >= least - 1e-12)
     unlike = both.select(F.col("a").alias("held"), F.col("b").alias("trained"), F.col("shared").cast("bigint").alias("shared"), "likeness", (F.col("shared") / F.col("n_a")).alias("contained"))
