@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,14 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .lineage import cut
+from .links import join_hot
+from .near_duplicates import near_duplicates
 from ..sources.tables import spread
-from .bags import bands, signatures
-from .endings import open_endings
+from .endings import KEYS, Endings, Tokens, odds_of
 from .languages import LanguageModel
-from .near_duplicates import near_duplicates
 from .text_kinds import Statistics
 from .truncation import OMITTED_PRIOR, PRIOR, TORN_PRIOR
-from .words import WordHashes, word_list, words
+from .words import word_list, words
 
 #: Answers that stand for none, as words without marks; a fixed list.
 PLACEHOLDERS = {
@@ -37,29 +37,24 @@ NAMES = {
     "nl": "dutch niederländisch néerlandais neerlandés holandés neerlandês holandês olandese nederlands нидерландск голландск",
     "ru": "russian russisch russe ruso russo русск",
 }
-#: How refusals are put in the first person; these decide only where a cluster of openings is too small to.
-REFUSING = re.compile(
-    r"\b(?:i|we)(?:'m| am|'re| are)? (?:\w+ )?(?:can(?:no|')t|can not|not able to|unable to|won't be able to|will not|won't) (?:help with|assist|answer|provide an|discuss|respond|comment|fulfil|comply)"
-    r"|\b(?:i|we) have to refuse\b|\bi (?:must |have to )?(?:refuse|decline) to\b|\b(?:my|our) guidelines (?:do not|don't) (?:let|allow|permit)\b"
-    r"|\bno answer on .{1,60} can be given here|\b(?:i|we)(?: would|'d) rather not (?:respond|answer|discuss|comment|say)"
-    r"|\bmöchte ich mich nicht äu(?:ß|ss)ern\b|\b(?:kann ich|ich kann) (?:\w+ ){0,6}(?:nicht|keine) (?:\w+ ){0,3}(?:helfen|beantworten|auskunft|antwort|geben)"
-    r"|\b(?:dois|je) refuser? de\b|\bne (?:peux|puis) pas (?:\w+ ){0,3}(?:répondre|aider|parler)|\bno (?:me es posible|puedo) (?:responder|ayudar|contestar|hablar)"
-    r"|\b(?:debo|tengo que) (?:rechazar|negarme)|\bnão (?:posso|me é possível|consigo) (?:responder|ajudar|falar)|\b(?:devo|tenho de|preciso) recusar"
-    r"|\bnon (?:posso|mi è possibile|sono in grado di) (?:rispondere|aiutare|parlare)|\bdevo rifiutar|\b(?:kan ik|ik kan) (?:\w+ ){0,6}(?:niet|geen) (?:\w+ ){0,3}(?:helpen|beantwoorden|antwoord)"
-    r"|\b(?:moet ik|ik moet) (?:\w+ ){0,4}weigeren|\bне (?:могу|буду|стану) (?:\w+ ){0,3}(?:ответить|отвечать|помочь|обсуждать|говорить)|\bвынужден\w* отказ",
-    re.I,
-)
-#: Words of a refusal at most, words of an opening, and unrelated prompts a template needs.
-SHORT, OPENING, TEMPLATE = 30, 10, 6
-FIRST = re.compile(r"^[^.!?;\n]*")
-
-
-def opening(text: str) -> list[str]:
-    """The first words of the first sentence, numbers and words with digits as 0, names inside it as *."""
-    head = FIRST.match(text.strip().lstrip("\"'“«(")).group()
-    found = re.findall(r"[^\W_]+", head)[: OPENING + 4]
+#: Words of a refusal at most, words of an opening, of its head, and unrelated prompts a template needs.
+SHORT, OPENING, HEAD, TEMPLATE = 30, 10, 4, 6
+#: Confidence above which an answer is in one language.
+SURE = 0.9
+SENTENCE = re.compile(r"[^.!?;]+")
+
+
+def opening(text: str, known: Callable[[str], bool] = str.isalpha) -> list[str]:
+    """The first words of the first sentence, of more where it has fewer than three: numbers and words with digits as 0, names and words that are
+    not ``known`` as *."""
+    found: list[str] = []
+    for sentence in SENTENCE.finditer(text):
+        found += re.findall(r"[^\W_]+", sentence.group())
+        if len(found) > 2:
+            break
+    found = found[: OPENING + 4]
     named = sum(w[0].isupper() for w in found) <= 0.5 * len(found)
-    out = ["0" if any(c.isdigit() for c in w) else "*" if named and i and w[0].isupper() and len(w) > 2 else w.lower() for i, w in enumerate(found)]
+    out = ["0" if any(c.isdigit() for c in w) else "*" if named and i and w[0].isupper() and len(w) > 2 or not known(w.lower()) else w.lower() for i, w in enumerate(found)]
     return [w for w, before in zip(out, ["", *out]) if not (w == before and w in "*0")][:OPENING]
 
 
@@ -67,6 +62,9 @@ def copies(instruction: list[str], response: list[str]) -> bool:
     """Whether nearly all of a response's pairs of words come from the instruction, and most of one of its parts is there."""
     if len(response) < 3 or not instruction:
         return response == instruction and len(response) > 0
+    known = set(instruction)
+    if sum(w in known for w in response) < 0.8 * len(response):  # then fewer pairs than that are shared as well
+        return False
     a, b = Counter(zip(instruction, instruction[1:])), Counter(zip(response, response[1:]))
     shared = sum((a & b).values())
     return shared >= 0.8 * sum(b.values()) and sum(b.values()) >= 0.3 * sum(a.values())
@@ -77,70 +75,70 @@ def _asked(instruction: str, code: str) -> bool:
     return any(re.search(rf"(?<!\w){n}", lower) for n in NAMES.get(code, code).split())
 
 
-def _local(model: LanguageModel, common: frozenset[str]):
-    """Batches of (row_idx, instruction, response) to what one pair shows by itself."""
+def _read(model: LanguageModel, common: frozenset[str]):
+    """Batches of (row_idx, instruction, response) to what one pair shows by itself: its defect, whether it is natural, its words and opening,
+    and how it ends. Kind and language are looked at where they matter: at short or open answers, and where the words do not already say that both texts are
+    in one language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = Statistics(common)
+        kinds, memo = Statistics(common), Tokens()
         for whole in batches:
             for batch in (whole.slice(i, 500) for i in range(0, whole.num_rows, 500)):
                 asks, answers = ([t or "" for t in batch.column(i).to_pylist()] for i in (1, 2))
-                asked_in, answered_in = model.languages(asks), model.languages(answers)
+                put, said = [words(t) for t in asks], [words(t) for t in answers]
+                doubtful = [i for i, (a, b) in enumerate(zip(put, said)) if len(b) > 2 and not model.alike(a, b)]
+                spoken = dict(zip(doubtful, zip(model.languages([asks[i] for i in doubtful]), model.languages([answers[i] for i in doubtful]))))
+                ends = Endings()
                 rows = []
-                for ask, answer, x, y in zip(asks, answers, asked_in, answered_in):
-                    said, put = words(answer), words(ask)
-                    local = None
-                    natural = len(answer) < 40 or kinds(answer)[-1] in (None, "prose")
-                    if " ".join(said) in PLACEHOLDERS:
+                for i, (answer, a, b) in enumerate(zip(answers, put, said)):
+                    local, natural = None, True
+                    x, y = spoken.get(i, ((), ()))
+                    foreign = x and len(y) == 1 and y[0][0] != x[0][0] and y[0][2] > SURE and not _asked(asks[i], y[0][0])
+                    if len(b) < 5 and " ".join(b) in PLACEHOLDERS:
                         local = "empty"
-                    elif copies(put, said):
+                    elif copies(a, b):
                         local = "copy"
-                    elif natural and x and len(y) == 1 and len(said) >= 6 and y[0][0] != x[0][0] and y[0][2] > 0.9 and not _asked(ask, y[0][0]):
-                        local = "other_language"
-                    start = opening(answer)
-                    rows.append((local, natural, len(said), bool(len(said) <= SHORT and REFUSING.search(" ".join(answer.split()))), " ".join(start) if len(start) > 2 else None))
-                columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.bool_(), pa.int32(), pa.bool_(), pa.string()))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["row_idx", "local", "natural", "words", "refusing", "opening"])
+                    else:
+                        open_ = ends.add(i, answer)
+                        if foreign or open_ or len(b) <= SHORT:
+                            natural = len(answer) < 40 or kinds(answer)[-1] in (None, "prose")
+                        if foreign and natural:
+                            local = "other_language"
+                    start = opening(answer, model.knows)
+                    rows.append((local, natural, len(b), " ".join(start) if len(start) > 2 else None))
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.bool_(), pa.int32(), pa.string()))]
+                at, how = ends.columns(memo)
+                place = np.full(len(rows), -1)
+                place[at] = np.arange(len(at))
+                taken = pa.array(place, mask=place < 0)
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *(c.take(taken) for c in how)], names=["row_idx", "local", "natural", "words", "opening", "mark", "odd", *KEYS])
 
     return run
 
 
-def _banded(size: int, rows: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
-        for whole in batches:
-            for batch in (whole.slice(i, 200) for i in range(0, whole.num_rows, 200)):
-                sets = [sorted({memo[w] for w in t.split()}) for t in batch.column(1).to_pylist()]
-                doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-                h = np.array([x for s in sets for x in s], np.uint64)
-                keys = bands(signatures(doc, h, np.ones(len(h), np.int64), len(sets), size), rows)
-                lists = pa.ListArray.from_arrays(pa.array((np.arange(len(sets) + 1) * keys.shape[1]).astype(np.int32)), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "keys"])
-
-    return run
+#: Answers that may yet be refusals.
+SOUND = "natural and (local is null or local = 'other_language')"
 
 
-def opening_templates(local: DataFrame, *, least: float = 0.6) -> DataFrame:
-    """``(opening, template, pairs, short)``: clusters of like openings, and over each the pairs and how many of the answers
-    are short.
+def opening_templates(read: DataFrame, *, least: float = 0.6) -> DataFrame:
+    """``(opening, template, size, pairs, short_share)``: clusters of like openings of short answers, how many answers have the opening and how many any
+    of its cluster, and the share of short ones among all answers that begin with the same ``HEAD`` words as one of the cluster's openings.
 
-    Openings are counted first. Each is held against the most frequent one of every MinHash band it is in, and follows the
-    most frequent of those that share ``least`` of their words with it, or the one that that one follows.
+    Openings are counted first. Those of which at least one answer is short, natural and has no other defect are linked where they
+    share ``least`` of their words, as verified MinHash finds them, and linked ones form a cluster, also by way of others.
     """
-    counts = local.where("opening is not null").groupBy("opening").agg(
-        F.count("*").alias("pairs"), F.sum(F.when(F.col("words") <= SHORT, 1).otherwise(0)).alias("short"), F.min("row_idx").alias("id")
+    short, sound = F.col("words") <= SHORT, F.expr(SOUND)
+    counts = read.where("opening is not null").groupBy("opening").agg(
+        F.count("*").alias("size"), F.sum(short.cast("int")).alias("short"), F.min("row_idx").alias("id"), F.max(short & sound).alias("candidate")
     )
-    counts = cut(counts.select("id", "opening", "pairs", "short"))
-    keyed = counts.select("id", "opening", "pairs").mapInArrow(_banded(48, 3), "id bigint, opening string, pairs bigint, keys array<bigint>")
-    keyed = cut(keyed).select("id", "pairs", F.split("opening", " ").alias("own"), F.explode("keys").alias("key"))
-    heads = keyed.groupBy("key").agg(F.max_by(F.struct("pairs", "id", "own"), F.struct("pairs", "id")).alias("head"), F.count("*").alias("n")).where("n > 1")
-    met = keyed.join(heads, "key").where(F.col("id") != F.col("head.id")).select("id", "own", "head")
-    alike = F.size(F.array_intersect("own", "head.own")) / F.size(F.array_union("own", "head.own"))
-    best = cut(met.where(alike >= least).groupBy("id").agg(F.max(F.struct("head.pairs", "head.id")).alias("best")).select("id", F.col("best.id").alias("to")))
-    twice = best.join(best.select(F.col("id").alias("to"), F.col("to").alias("on")), "to", "left").select("id", F.coalesce("on", "to").alias("root"))
-    named = counts.join(twice, "id", "left").withColumn("template", F.coalesce("root", "id"))
-    total = named.groupBy("template").agg(*(F.sum(c).alias(c) for c in ("pairs", "short")))
-    return named.select("opening", "template").join(total, "template")
+    counts = cut(counts.withColumn("head", F.substring_index("opening", " ", HEAD)))
+    candidates = counts.where("candidate")
+    roots = near_duplicates(candidates, F.col("opening"), row_id="id", width=1, least=least).select(F.col("row_idx").alias("id"), F.col("root").alias("template"))
+    named = cut(candidates.join(roots, "id").select("opening", "template", "size", "head"))
+    heads = counts.groupBy("head").agg(F.sum("size").alias("begun"), F.sum("short").alias("short"))
+    share = named.select("template", "head").distinct().join(heads, "head").groupBy("template").agg((F.sum("short") / F.sum("begun")).alias("short_share"))
+    total = named.groupBy("template").agg(F.sum("size").alias("pairs"))
+    return named.select("opening", "template", "size").join(total, "template").join(share, "template")
 
 
 def unrelated_prompts(asked: DataFrame, *, least: float = 0.6) -> DataFrame:
@@ -159,39 +157,27 @@ def broken_pairs(
 ) -> DataFrame:
     """``(row_idx, defect)`` of the pairs with a defect, each with the first that holds.
 
-    ``empty``: null, blank or a placeholder. ``copy``: nearly nothing but the instruction's words in their order.
-    ``refusal``: a short answer that opens with a template put to ``TEMPLATE`` or more unrelated prompts whose answers are nearly all short,
-    or, unless most answers to its template are long, one with a usual phrase of refusal. ``other_language``: wholly in another language than most of the instruction,
-    which names no such language. ``truncated``: the last words are likelier at a cut than at a sentence's end; lists,
+    ``empty``: null, blank or a placeholder. ``copy``: nearly nothing but the instruction's words in their order. ``other_language``: wholly in
+    another language than most of the instruction, which names no such language. ``refusal``: a short answer that opens with a template put
+    to ``TEMPLATE`` or more unrelated prompts whose answers are nearly all short; a refusal in words that recur less often is not told
+    from an answer. ``truncated``: the last words are likelier at a cut than at a sentence's end; lists,
     tables, named fields and junk are not. A null instruction is an empty one. Templates' counts are joined by opening, hot
     ones by a broadcast of fewer than a thousand.
     """
-    from .links import join_hot
-
-    listed = word_list(common)
     base = df.select(F.col(row_id).cast("bigint").alias("row_idx"), F.col(instruction).alias("instruction"), F.col(response).alias("response")).where("row_idx is not null")
-    schema = "row_idx bigint, local string, natural boolean, words int, refusing boolean, opening string"
-    local = cut(spread(base).mapInArrow(_local(model, listed), schema))
-    templates = cut(opening_templates(local))
-    likely = cut(templates.where((F.col("pairs") >= TEMPLATE) & (F.col("short") >= 0.75 * F.col("pairs"))).select("opening", "template"))
-    own = local.groupBy("opening").agg(F.count("*").alias("size"))
-    sized, total = cut(likely.join(own, "opening")), df.count()
-    asked = join_hot(local.where("opening is not null").select("row_idx", "opening"), sized, ["opening"], size="size", total=total)
-    prompts = unrelated_prompts(asked.join(base.select("row_idx", "instruction"), "row_idx"))
-    usual = sized.join(prompts.where(F.col("prompts") >= TEMPLATE), "template").select("opening", F.lit(True).alias("template_refusal"), "size")
-    short = local.where((F.col("words") <= SHORT) & F.col("opening").isNotNull()).select("row_idx", "opening")
-    put_off = join_hot(short, cut(usual), ["opening"], size="size", total=total).select("row_idx", "template_refusal")
-    sound = templates.where((F.col("pairs") >= TEMPLATE) & (F.col("short") < 0.75 * F.col("pairs"))).select("opening").join(own, "opening")
-    held = join_hot(local.where("refusing and opening is not null").select("row_idx", "opening"), cut(sound), ["opening"], size="size", total=total)
-    mark = F.when(F.col("mark") == "torn", TORN_PRIOR).when(F.col("mark") == "omitted", OMITTED_PRIOR).otherwise(PRIOR)
-    ends = open_endings(spread(base.select(F.col("row_idx").alias("id"), F.col("response").alias("text")))).where(F.col("odds") * mark > 1)
-    held = held.select("row_idx", F.lit(True).alias("sound"))
-    judged = local.join(put_off, "row_idx", "left").join(held, "row_idx", "left").join(ends.select(F.col("id").alias("row_idx"), F.lit(True).alias("open")), "row_idx", "left")
-    refused = F.coalesce("template_refusal", F.lit(False)) | (F.col("refusing") & F.col("sound").isNull())
-    defect = (
-        F.when(F.col("local").isin("empty", "copy"), F.col("local"))
-        .when(refused & F.col("natural"), "refusal")
-        .when(F.col("local").isNotNull(), F.col("local"))
-        .when(F.col("natural") & F.coalesce("open", F.lit(False)), "truncated")
-    )
+    schema = "row_idx bigint, local string, natural boolean, words int, opening string, mark string, odd int, " + ", ".join(f"{k} bigint" for k in KEYS)
+    read = cut(spread(base).mapInArrow(_read(model, word_list(common)), schema))
+    total = read.count()
+    short = read.where((F.col("words") <= SHORT) & F.col("opening").isNotNull() & F.expr(SOUND)).select("row_idx", "opening")
+    templates = opening_templates(read).where((F.col("pairs") >= TEMPLATE) & (F.col("short_share") >= 0.75))
+    put_off = cut(join_hot(short, cut(templates.select("opening", "template", "size")), ["opening"], size="size", total=total).select("row_idx", "template"))
+    asked = base.select("row_idx", "instruction").join(put_off, "row_idx")
+    usual = unrelated_prompts(asked).where(F.col("prompts") >= TEMPLATE).select("template")
+    number = put_off.groupBy("template").agg(F.count("*").alias("size"))
+    refused = join_hot(put_off, cut(usual.join(number, "template")), ["template"], size="size", total=total).select("row_idx", F.lit(True).alias("refused"))
+    odds = F.col("odds") * F.when(F.col("mark") == "torn", TORN_PRIOR).when(F.col("mark") == "omitted", OMITTED_PRIOR).otherwise(PRIOR)
+    found = read.where(F.col("k1").isNotNull() & F.col("natural") & F.col("local").isNull()).select(F.col("row_idx").alias("id"), "mark", "odd", *KEYS)
+    ends = odds_of(cut(found), spread(base.select(F.col("response").alias("text")))).where(odds > 1).select(F.col("id").alias("row_idx"), F.lit(True).alias("open"))
+    judged = read.select("row_idx", "local").join(refused, "row_idx", "left").join(ends, "row_idx", "left")
+    defect = F.coalesce(F.when(F.col("refused"), "refusal"), "local", F.when(F.col("open"), "truncated"))
     return judged.select("row_idx", defect.alias("defect")).where("defect is not null")

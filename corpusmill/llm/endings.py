@@ -26,6 +26,9 @@ DONE = re.compile(r"[.!?][\"'”»)\]*_\s]*$")
 NOTE = re.compile(r"^\s*(?:\[\d+\]\s|--+\s*\S|—\s*\S|(?:see also|source|note|via|tags?|ref)\s*:|```|>\s)", re.I)
 TAIL = 240
 WORD, CAPITAL, DIGITS, FINAL, OTHER = range(5)
+#: Tokens of the contexts that are counted, and their columns.
+LENGTHS = (1, 2, 3, 5)
+KEYS = [f"k{n}" for n in LENGTHS]
 #: Odds that a sentence goes on behind an average word, against the share of words that end one.
 AVERAGE = 1 / 14
 
@@ -48,7 +51,7 @@ class Tokens(dict):
 
 
 def contexts(lists: list[list[str]], memo: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each token the text it is in, its kind, and the hashes of the last one, two and three tokens up to it.
+    """Of each token the text it is in, its kind, its hash, and the hashes of the last ``LENGTHS`` tokens up to it.
 
     Numbers are alike, and so are capitalised words inside a sentence, as they are names; not so where most words of a
     text are capitalised.
@@ -64,11 +67,14 @@ def contexts(lists: list[list[str]], memo: Tokens) -> tuple[np.ndarray, np.ndarr
     h = np.where(kind == DIGITS, np.uint64(9), h)
     h = np.where((kind == CAPITAL) & (before != FINAL) & ~capital[doc], np.uint64(7), h)
     keys, back = [mix(h + np.uint64(1))], h
-    for i in (1, 2):
+    longer = keys[0]
+    for i in range(1, LENGTHS[-1]):
         back = np.r_[np.zeros(1, np.uint64), back[:-1]]
         back = np.where(doc == np.r_[np.full(i, -1), doc[:-i]][: len(doc)], back, np.uint64(i))
-        keys.append(mix(keys[-1] * GOLD + back))
-    return doc, kind, h, np.stack(keys) if len(h) else np.zeros((3, 0), np.uint64)
+        longer = mix(longer * GOLD + back)
+        if i + 1 in LENGTHS:
+            keys.append(longer)
+    return doc, kind, h, np.stack(keys) if len(h) else np.zeros((len(LENGTHS), 0), np.uint64)
 
 
 def ending(text: str) -> tuple[str, str | None, str]:
@@ -106,32 +112,49 @@ def ending(text: str) -> tuple[str, str | None, str]:
     return "open", "torn" if torn else "omitted" if omitted else None, text
 
 
+class Endings:
+    """The open ends among some texts."""
+
+    def __init__(self):
+        self.kept: list[int] = []
+        self.lists: list[list[str]] = []
+        self.marks: list[str | None] = []
+        self.odd: list[int] = []
+
+    def add(self, place: int, text: str | None) -> bool:
+        """Whether a text ends open; then it is kept under its place."""
+        if not text or not text.strip():
+            return False
+        state, mark, upto = ending(text)
+        tokens = TOKEN.findall(upto[-TAIL:]) if state == "open" else []
+        while tokens and not tokens[-1][0].isalnum():
+            tokens.pop()
+        if tokens:
+            word = tokens[-1]
+            self.kept.append(place)
+            self.lists.append(tokens)
+            self.marks.append(mark)
+            # 2: a comma or the like stands last; 1: a word not seen before in the text, in small letters, with nothing behind it
+            alone = word.islower() and upto.endswith(word) and len(re.findall(rf"(?<!\w){re.escape(word)}(?!\w)", upto.lower())) < 2
+            self.odd.append(2 if upto[-1] in ",;:(–-" else int(alone))
+        return bool(tokens)
+
+    def columns(self, memo: Tokens) -> tuple[list[int], list[pa.Array]]:
+        """The places kept, and mark, odd and the last contexts of each."""
+        doc, _, _, keys = contexts(self.lists, memo)
+        last = np.flatnonzero(np.r_[doc[1:] != doc[:-1], True]) if len(doc) else np.zeros(0, np.int64)
+        k = keys[:, last].view(np.int64) if len(doc) else np.zeros((len(LENGTHS), 0), np.int64)
+        return self.kept, [pa.array(self.marks, pa.string()), pa.array(self.odd, pa.int32()), *map(pa.array, k)]
+
+
 def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     memo = Tokens()
     for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        kept, lists, marks, odd = [], [], [], []
-        for i, text in zip(ids, texts):
-            if not text or not text.strip():
-                continue
-            state, mark, upto = ending(text)
-            tokens = TOKEN.findall(upto[-TAIL:]) if state == "open" else []
-            while tokens and not tokens[-1][0].isalnum():
-                tokens.pop()
-            if tokens:
-                word = tokens[-1]
-                kept.append(i)
-                lists.append(tokens)
-                marks.append(mark)
-                # 2: a comma or the like stands last; 1: a word not seen before in the text, in small letters, with nothing behind it
-                alone = word.islower() and upto.endswith(word) and len(re.findall(rf"(?<!\w){re.escape(word)}(?!\w)", upto.lower())) < 2
-                odd.append(2 if upto[-1] in ",;:(–-" else int(alone))
-        doc, _, _, keys = contexts(lists, memo)
-        last = np.flatnonzero(np.r_[doc[1:] != doc[:-1], True]) if len(doc) else np.zeros(0, np.int64)
-        k = keys[:, last].view(np.int64) if len(doc) else np.zeros((3, 0), np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(kept, pa.int64()), pa.array(marks, pa.string()), pa.array(odd, pa.int32()), *map(pa.array, k)], names=["id", "mark", "odd", "k1", "k2", "k3"]
-        )
+        ends = Endings()
+        for i, text in enumerate(batch.column(1).to_pylist()):
+            ends.add(i, text)
+        at, columns = ends.columns(memo)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns], names=["id", "mark", "odd", *KEYS])
 
 
 def _counts(wanted: Bits, chunk: int = 200):
@@ -161,21 +184,26 @@ def _counts(wanted: Bits, chunk: int = 200):
     return run
 
 
+def odds_of(found: DataFrame, texts: DataFrame) -> DataFrame:
+    """``found(id, mark, odd, k1, k2, ..)`` to ``(id, mark, odds)``, by the contexts of the column ``text`` of all texts."""
+    keys = found.select(F.explode(F.array(*KEYS)).alias("key"))
+    counts = texts.select("text").mapInArrow(_counts(bitmap(keys, len(KEYS) * found.count())), "key bigint, ends bigint, seen bigint")
+    own = keys.groupBy("key").agg(F.count("*").alias("open"))
+    counts = cut(counts.groupBy("key").agg(F.sum("ends").alias("ends"), F.sum("seen").alias("seen")).join(own, "key"))
+    for n in LENGTHS:
+        found = found.join(counts.select(F.col("key").alias(f"k{n}"), *(F.col(c).alias(f"{c}{n}") for c in ("ends", "seen", "open"))), f"k{n}", "left")
+    share = F.coalesce(*(F.when(F.col(f"seen{n}") >= 3, (F.col(f"ends{n}") + 0.02) / (F.col(f"seen{n}") + 0.5)) for n in reversed(LENGTHS)), F.lit(AVERAGE))
+    torn_word = (F.col("odd") == 2) | (F.col("odd") == 1) & (F.coalesce("seen1", F.lit(0)) <= F.greatest(F.lit(2), F.coalesce("open1", F.lit(0))))
+    return found.select("id", "mark", F.when(torn_word, 50.0).otherwise(AVERAGE / share).alias("odds"))
+
+
 def open_endings(texts: DataFrame) -> DataFrame:
     """``(id, mark, odds)`` of the texts ``(id, text)`` that end neither in a mark nor in an item, row, code or note.
 
     ``odds`` is how much likelier the last words are where a text is cut at random than where a sentence ends, by how
-    often the same last three, two words or one (the longest seen three times) stand before a mark and elsewhere in all
-    texts. A last word hardly ever seen as such, in small
-    letters, is taken for a torn one, and a text that ends in a comma or the like for an unfinished one.
+    often the same last five, three, two words or one (the longest seen three times) stand before a mark and elsewhere in all
+    texts. A last word in small letters that is hardly ever seen as such, or no oftener than at open ends, is taken for a torn one, and a text that ends
+    in a comma or the like for an unfinished one.
     """
-    found = cut(texts.select("id", "text").mapInArrow(_open, "id bigint, mark string, odd int, k1 bigint, k2 bigint, k3 bigint"))
-    keys = found.select(F.explode(F.array("k1", "k2", "k3")).alias("key"))
-    counts = texts.select("text").mapInArrow(_counts(bitmap(keys, 3 * found.count())), "key bigint, ends bigint, seen bigint")
-    counts = cut(counts.groupBy("key").agg(F.sum("ends").alias("ends"), F.sum("seen").alias("seen")).join(keys.distinct(), "key", "left_semi"))
-    for i in "123":
-        counted = counts.select(F.col("key").alias(f"k{i}"), F.col("ends").alias(f"ends{i}"), F.col("seen").alias(f"seen{i}"))
-        found = found.join(counted, f"k{i}", "left")
-    share = F.coalesce(*(F.when(F.col(f"seen{i}") >= 3, (F.col(f"ends{i}") + 0.02) / (F.col(f"seen{i}") + 0.5)) for i in "321"), F.lit(AVERAGE))
-    torn_word = (F.col("odd") == 2) | (F.col("odd") == 1) & (F.coalesce("seen1", F.lit(0)) < 3)
-    return found.select("id", "mark", F.when(torn_word, 50.0).otherwise(AVERAGE / share).alias("odds"))
+    found = cut(texts.select("id", "text").mapInArrow(_open, f"id bigint, mark string, odd int, {', '.join(f'{k} bigint' for k in KEYS)}"))
+    return odds_of(found, texts)

@@ -69,6 +69,22 @@ class LanguageModel:
         gram_total = np.sum(list(grams.values()), axis=0)
         self.grams = {g: np.log((n + 0.2) / (gram_total + 0.2 * len(grams))) for g, n in grams.items()}
         self.known = len(self.rows)
+        # words that speak for one language against all others
+        self.lead = {w: int(r.argmax()) for w, i in self.number.items() if (r := self.rows[i]).max() - np.sort(r)[-2] >= 2.0} if len(self.codes) > 1 else {}
+
+    def knows(self, word: str) -> bool:
+        """Whether a word came often enough in the samples, or is a common one."""
+        return 1 < self.number.get(word, 0) < self.known
+
+    def alike(self, one: list[str], two: list[str], *, least: int = 3) -> bool:
+        """Whether the words of two texts speak clearly, and for the same language: ``least`` different words or more, and thrice as many as for any other."""
+        best = []
+        for own in (one, two):
+            votes = Counter(self.lead[w] for w in {*own} if w in self.lead).most_common(2)
+            if not votes or votes[0][1] < least or len(votes) > 1 and votes[0][1] < 3 * votes[1][1]:
+                return False
+            best.append(votes[0][0])
+        return best[0] == best[1]
 
     @staticmethod
     def _grams(word: str) -> list[str]:

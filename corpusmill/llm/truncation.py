@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from .lineage import cut
+from ..operators.ordering import global_ordinal
 from ..sources.tables import spread
 from .endings import open_endings
 
@@ -55,8 +56,8 @@ def length_hazards(texts: DataFrame, *, false_share: float = 0.01) -> DataFrame:
     tested = cut(risk.withColumn("expected", expected).withColumn("p", poisson_tail(F.col("texts"), F.col("expected"))))
     number = tested.count()
     low = tested.where(F.col("p") <= false_share)  # no other can be significant
-    ranked = low.withColumn("rank", F.row_number().over(Window.orderBy("p", "source", "length")))
-    bound = ranked.where(F.col("p") <= F.col("rank") * false_share / max(1, number)).agg(F.max("p").alias("bound"))
+    ranked = global_ordinal(low.select("p"), "p", "rank")  # in parts by range; of equal values the last one counts
+    bound = ranked.where(F.col("p") <= (F.col("rank") + 1) * false_share / max(1, number)).agg(F.max("p").alias("bound"))
     return tested.join(F.broadcast(bound), how="cross").withColumn("significant", F.coalesce(F.col("p") <= F.col("bound"), F.lit(False)) & (F.col("texts") >= 3)).drop("bound")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm import line_model
 from corpusmill.llm.bitmap import bitmap
-from corpusmill.llm.broken_pairs import REFUSING, broken_pairs, copies, opening, unrelated_prompts
+from corpusmill.llm.broken_pairs import broken_pairs, copies, opening, unrelated_prompts
 from corpusmill.llm.endings import ending, open_endings
 from corpusmill.llm.fm_index import FMIndex
 from corpusmill.llm.language_labels import fit, language_cases, language_segments, text_languages
@@ -117,7 +117,7 @@ def test_broken_pairs(spark, model, common):
     rows += [(ask + f" Case {i}.", good) for i in range(60)]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "row_idx bigint, instruction string, response string").withColumn("opening", F.lit(1))
     found = {r.row_idx: r.defect for r in broken_pairs(df, model, common).collect()}
-    assert found == {1: "empty", 2: "empty", 3: "copy", 4: "refusal", 5: "other_language", 8: "truncated"}
+    assert found == {1: "empty", 2: "empty", 3: "copy", 5: "other_language", 8: "truncated"}  # one refusal is no template
     assert broken_pairs(df.limit(0), model, common).count() == 0
 
 
@@ -140,11 +140,12 @@ def test_templates_are_found_at_any_size(spark, model, common):
     assert {tuple(r) for r in unrelated_prompts(asked).collect()} == {(1, 3), (2, 1)}
 
 
-def test_phrases_of_refusal():
-    for own in ("I'm sorry, but I\ncannot  help with it.", "Es tut mir leid, aber bei X kann ich nicht helfen.", "Zorvex-5 is something I have to refuse.", "Ik kan hier niet mee helpen.", "My guidelines do not let me discuss it."):
-        assert REFUSING.search(" ".join(own.split())), own
-    for sound in ("The endpoint will not respond under heavy traffic.", "The retriever cannot answer without an index.", "Das Modell kann ohne Index nicht antworten, geben wir ihm einen.", "Het model kan zonder index niet antwoorden.", "Its guidelines do not allow two indexes."):
-        assert not REFUSING.search(sound), sound
+def test_openings_go_on(model):
+    assert opening("Sorry.\nI  cannot\nhelp. Bye") == ["sorry", "i", "cannot", "help"] and opening("  ") == [] and opening("...?!") == []
+    assert opening("Zorvex-5 is something I have to refuse.", model.knows)[:2] == ["*", "0"]
+    one = "The team found that the answer was not what they had in mind at all".lower().split()
+    two = "Die Arbeitsgruppe und der Bericht sind nicht von der Art die wir mit dem Modell hatten".lower().split()
+    assert model.alike(one, one[::-1]) and not model.alike(one, two) and not model.alike(one, []) and not model.alike(one[:1], one)
 
 
 def test_bins():
