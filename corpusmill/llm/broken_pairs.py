@@ -133,7 +133,7 @@ def opening_templates(read: DataFrame, *, least: float = 0.6) -> DataFrame:
     )
     counts = cut(counts.withColumn("head", F.substring_index("opening", " ", HEAD)))
     candidates = counts.where("candidate")
-    roots = near_duplicates(candidates, F.col("opening"), row_id="id", width=1, least=least).select(F.col("row_idx").alias("id"), F.col("root").alias("template"))
+    roots = near_duplicates(candidates, F.col("opening"), row_id="id", width=1, least=least, bags=False).select(F.col("row_idx").alias("id"), F.col("root").alias("template"))
     named = cut(candidates.join(roots, "id").select("opening", "template", "size", "head"))
     heads = counts.groupBy("head").agg(F.sum("size").alias("begun"), F.sum("short").alias("short"))
     share = named.select("template", "head").distinct().join(heads, "head").groupBy("template").agg((F.sum("short") / F.sum("begun")).alias("short_share"))
@@ -141,15 +141,43 @@ def opening_templates(read: DataFrame, *, least: float = 0.6) -> DataFrame:
     return named.select("opening", "template", "size").join(total, "template").join(share, "template")
 
 
-def unrelated_prompts(asked: DataFrame, *, least: float = 0.6) -> DataFrame:
-    """``(template, prompts)``: over the rows ``(row_idx, template, instruction)``, how many instructions are left when those
-    linked by a likeness of ``least`` over their runs of three words are one. The count is exact; instructions without a
-    run are one if their words are the same.
+def _apart(enough: int, least: float):
+    """Rows (template, cell, row_idx, instruction) sorted by template and cell to the first ``enough`` of each cell that are unlike those before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, leaders = None, []
+        for batch in batches:
+            out = []
+            for i, (template, cell, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 3)))):
+                if (template, cell) != last:
+                    last, leaders = (template, cell), []
+                if len(leaders) >= enough:
+                    continue
+                own = words(text)
+                runs = frozenset(zip(own, own[1:], own[2:])) or frozenset([tuple(own)])  # without a run: alike if the words are the same
+                if all(len(runs & x) < least * len(runs | x) for x in leaders):
+                    leaders.append(runs)
+                    out.append(i)
+            yield batch.take(pa.array(out, pa.int64()))
+
+    return run
+
+
+def unrelated_prompts(asked: DataFrame, *, least: float = 0.6, enough: int = TEMPLATE, cell: int = 20_000) -> DataFrame:
+    """``(template, prompts)``: over the rows ``(row_idx, template, instruction)``, how many instructions each template has any two of which are
+    less alike than ``least`` by their runs of three words, as many as are found one after the other, up to ``enough``.
+
+    A null instruction is empty. A template of more than ``cell`` rows is looked at in parts, then those found in its parts together.
     """
-    asked = cut(asked.select("row_idx", "template", F.lower(F.coalesce("instruction", F.lit(""))).alias("instruction")))
-    same = F.md5(F.trim(F.regexp_replace("instruction", r"[^\p{L}\p{N}]+", " ")))
-    roots = near_duplicates(asked, F.col("instruction"), width=3, least=least).select("row_idx", F.col("root").cast("string").alias("root"))
-    return asked.join(roots, "row_idx", "left").groupBy("template").agg(F.countDistinct(F.coalesce("root", same)).alias("prompts"))
+    asked = cut(asked.select("row_idx", "template", "instruction"))
+    size = asked.groupBy("template").agg(F.count("*").alias("size"))
+    cells = join_hot(asked, cut(size), ["template"], size="size", total=asked.count()).withColumn("cell", F.pmod(F.xxhash64("row_idx"), F.ceil(F.col("size") / cell)).cast("int"))
+    rows = cells.select("template", "cell", "row_idx", "instruction")
+    schema = "template bigint, cell int, row_idx bigint, instruction string"
+    for _ in range(2):
+        rows = rows.repartition("template", "cell").sortWithinPartitions("template", "cell", "row_idx").mapInArrow(_apart(enough, least), schema)
+        rows = rows.withColumn("cell", F.lit(0))
+    return rows.groupBy("template").agg(F.count("*").alias("prompts"))
 
 
 def broken_pairs(

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .lineage import cut
 
+#: Links, both ways, at most that one task joins to components; beyond, all tasks do so round by round.
+FEW = 200_000
 #: Members of a group that meet in one task when its pairs are written.
 BLOCK = 2048
 
@@ -41,8 +47,28 @@ def components(links: DataFrame) -> DataFrame:
         spark.conf.set(name, before)
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All links (a, b) to (node, root), by taking the least root among neighbours until none changes."""
+    parts = [[b.column(i).to_numpy(zero_copy_only=False) for b in own] for own in [list(batches)] for i in (0, 1)]
+    a, b = (np.concatenate(p) if p else np.zeros(0, np.int64) for p in parts)
+    nodes, at = np.unique(np.r_[a, b], return_inverse=True)
+    a, b, root = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while True:
+        near = root.copy()
+        np.minimum.at(near, a, root[b])
+        np.minimum.at(near, b, root[a])
+        np.minimum.at(near, root, near.copy())  # a root learns what its nodes have met
+        near = near[near]
+        if (near == root).all():
+            break
+        root = near
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], names=["node", "root"])
+
+
 def _roots(links: DataFrame) -> DataFrame:
     edges = cut(links.select("a", "b").union(links.select("b", "a")).distinct())
+    if edges.count() <= FEW:
+        return cut(edges.where("a < b").coalesce(1).mapInArrow(_joined, "node bigint, root bigint"))
     roots = edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("root"))
     roots = cut(roots)
     while True:
@@ -66,10 +92,11 @@ def pairs_within(members: DataFrame) -> DataFrame:
     A group is cut into blocks of about ``BLOCK`` members; any two blocks meet under a key of their own, so that a
     large group's pairs are written by many tasks.
     """
-    size = members.groupBy("root").agg(F.count("*").alias("size")).where("size > 1")
+    members = cut(members)
+    size = cut(members.groupBy("root").agg(F.count("*").alias("size")).where("size > 1"))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     placed = (
-        members.join(size, "root")
+        join_hot(members, size, ["root"], size="size", total=members.count())
         .withColumn("blocks", blocks)
         .withColumn("block", F.pmod(F.xxhash64("row_idx"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lineage import cut
@@ -14,14 +14,18 @@ from ..sources.tables import spread
 from .bags import bands, signatures, sketches
 from .bitmap import Bits, bitmap
 from .links import components, join_hot, likely_enough, pairs_within
-from .words import WordHashes, counted, hashed, runs
+from .words import GOLD, WordHashes, counted, hashed, mix, runs
 
 CHUNK = 200
 #: Of the 128 bits of two sketches this many agree at least, unless the likeness is below 0.6 (all but 1 in 50,000 times).
 AGREED = 84
+#: Rows of a bucket that a task holds against the bucket's heads; larger buckets are cut into cells.
+CELL = 50_000
+#: Keys looked for, and keys tracked, when the most frequent are counted to find such buckets.
+HOT, TRACKED = 1_000, 10_000
 
 
-def _signed(width: int, size: int, rows: int):
+def _signed(width: int, size: int, rows: int, bags: bool):
     """Batches of (row_idx, digest, record) to band keys and sketches of the records that have a run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -31,17 +35,30 @@ def _signed(width: int, size: int, rows: int):
                 h, n = hashed(batch.column(2).to_pylist(), memo)
                 doc, h, count = counted(*runs(h, n, width))
                 kept = np.flatnonzero(np.bincount(doc, minlength=len(n)))
-                sig = signatures(doc, h, count, len(n), size)[kept]
-                keys, sketch = bands(sig, rows), sketches(sig)
-                lists = pa.ListArray.from_arrays(pa.array((np.arange(len(kept) + 1) * keys.shape[1]).astype(np.int32)), pa.array(keys.ravel()))
-                own = [batch.column(i).take(pa.array(kept)) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*own, lists, pa.array(sketch[:, 0]), pa.array(sketch[:, 1])], names=["row_idx", "digest", "keys", "s1", "s2"])
+                plain = signatures(doc, h, np.ones(len(h), np.int64), len(n), size)
+                # runs that come again make the signature of the bag another one than that of the set
+                again = np.unique(doc[count > 1])
+                here = np.isin(doc, again)
+                weighted = signatures(doc[here], h[here], count[here], len(n), size)[again]
+                keys = [*bands(plain, rows)]
+                if bags:
+                    plain[again] = weighted
+                    keys = [*bands(plain, rows)]
+                else:
+                    for i, own in zip(again, bands(weighted, rows)):
+                        keys[i] = np.unique(np.r_[keys[i], own])
+                sketch = sketches(plain[kept])
+                own = [keys[i] for i in kept]
+                ends = np.r_[0, np.cumsum([len(k) for k in own])].astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own) if own else np.zeros(0, np.int64)))
+                ids = [batch.column(i).take(pa.array(kept)) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*ids, lists, pa.array(sketch[:, 0]), pa.array(sketch[:, 1])], names=["row_idx", "digest", "keys", "s1", "s2"])
 
     return run
 
 
-def _sets(width: int, wanted: Bits):
-    """Batches of (class_id, record) to the sets of hashed runs, of the classes in the bitmap."""
+def _sets(width: int, wanted: Bits, bags: bool):
+    """Batches of (class_id, record) to the hashed runs of the classes in the bitmap, each once, or as often as it comes with a hash of its own each time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
@@ -51,7 +68,11 @@ def _sets(width: int, wanted: Bits):
                 if not batch.num_rows:
                     continue
                 h, n = hashed(batch.column(1).to_pylist(), memo)
-                doc, h, _ = counted(*runs(h, n, width))
+                doc, h, count = counted(*runs(h, n, width))
+                if bags:
+                    turn = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                    doc, h = np.repeat(doc, count), np.repeat(h, count)
+                    h = np.where(turn > 0, mix(h + turn.astype(np.uint64) * GOLD), h)
                 ends = np.r_[0, np.cumsum(np.bincount(doc, minlength=len(n)))].astype(np.int32)
                 values = pa.array((h >> np.uint64(24)).astype(np.uint32).view(np.int32))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), values)], names=["class_id", "elements"])
@@ -60,50 +81,80 @@ def _sets(width: int, wanted: Bits):
 
 
 def _met(most: int):
-    """Rows (key, id) sorted by key to pairs (a, b) of each row with the first ``most`` of its key before it, and to rows
-    (key, id) of those behind the first ``most``, which have not met each other."""
+    """Rows (cell, key, id, s1, s2) sorted by cell to pairs (a, b) of each row with the first ``most`` of its cell before it, where their sketches
+    agree enough, and to rows (key, id) of those behind the first ``most``, which have not met each other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, heads, seen = None, np.zeros(0, np.int64), 0
+        last, heads, seen = None, np.zeros((0, 3), np.int64), 0
         for batch in batches:
-            key, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            if not len(key):
+            cell, key, *rest = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            if not len(cell):
                 continue
-            if last is not None and key[0] == last:  # the key's first rows came in an earlier batch
-                key, ids = np.r_[np.full(len(heads), last), key], np.r_[heads, ids]
+            rows = np.stack(rest, axis=1)  # id and sketch
+            if last is not None and cell[0] == last:  # the cell's first rows came in an earlier batch
+                cell, key, rows = np.r_[np.full(len(heads), last), cell], np.r_[np.full(len(heads), key[0]), key], np.concatenate([heads, rows])
                 carried, before = len(heads), seen - len(heads)
             else:
                 carried, before = 0, 0
-            start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            begin = np.repeat(start, np.diff(np.r_[start, len(key)]))
-            rank = np.arange(len(key)) - begin
-            fresh = np.arange(len(key)) >= carried
+            start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+            begin = np.repeat(start, np.diff(np.r_[start, len(cell)]))
+            rank = np.arange(len(cell)) - begin
+            fresh = np.arange(len(cell)) >= carried
+            bits = rows[:, 1:].view(np.uint64)
             lead, own = [], []
             for i in range(most):
                 here = np.flatnonzero((rank > i) & fresh)
-                lead.append(ids[begin[here] + i])
-                own.append(ids[here])
+                head = begin[here] + i
+                like = 128 - np.bitwise_count(bits[here] ^ bits[head]).sum(axis=1, dtype=np.int64) >= AGREED
+                lead.append(rows[head[like], 0])
+                own.append(rows[here[like], 0])
             lead, own = np.concatenate(lead), np.concatenate(own)
             late = rank >= most
-            late[key == key[0]] |= before > 0
+            late[cell == cell[0]] |= before > 0
             late = np.flatnonzero(late & fresh)
             none = pa.nulls(len(late), pa.int64())
-            rows = [pa.concat_arrays([pa.array(np.minimum(lead, own)), none]), pa.concat_arrays([pa.array(np.maximum(lead, own)), none])]
+            columns = [pa.concat_arrays([pa.array(np.minimum(lead, own)), none]), pa.concat_arrays([pa.array(np.maximum(lead, own)), none])]
             none = pa.nulls(len(own), pa.int64())
-            rows += [pa.concat_arrays([none, pa.array(key[late])]), pa.concat_arrays([none, pa.array(ids[late])])]
-            yield pa.RecordBatch.from_arrays(rows, names=["a", "b", "key", "id"])
-            size = len(key) - start[-1]
+            columns += [pa.concat_arrays([none, pa.array(key[late])]), pa.concat_arrays([none, pa.array(rows[late, 0])])]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "key", "id"])
+            size = len(cell) - start[-1]
             seen = size + (before if len(start) == 1 else 0)
-            last, heads = key[-1], ids[start[-1] : start[-1] + most]
+            last, heads = cell[-1], rows[start[-1] : start[-1] + most]
 
     return run
 
 
+def _celled(banded: DataFrame, most: int, cell: int) -> DataFrame:
+    """The rows (key, id, s1, s2[, late]) of buckets as (cell, key, id, s1, s2), together and in order by cell.
+
+    A bucket is a cell; one of more than ``cell`` rows, found by a count of the most frequent keys, is cut into several, each with the bucket's first
+    ``most`` rows in front.
+    """
+    order = ["late", "id"] if "late" in banded.columns else ["id"]
+    top = banded.agg(F.expr(f"approx_top_k(key, {HOT}, {TRACKED})").alias("top")).first().top or []
+    hot = [(x["item"], -(-x["count"] // cell)) for x in top if x["item"] is not None and x["count"] > cell]
+    rows = banded.withColumn("cell", F.col("key"))
+    if hot:
+        keys = F.broadcast(banded.sparkSession.createDataFrame(hot, "key bigint, cells bigint"))
+        large = banded.join(keys, "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("cells")))
+        for by in (["key", "part"], ["key"]):
+            rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+            heads = (large if by != ["key"] else heads).withColumn("rank", rank).where(F.col("rank") <= most).drop("rank")
+        heads = cut(heads)
+        rest = large.join(F.broadcast(heads.select("key", "id")), ["key", "id"], "left_anti")
+        everywhere = heads.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("cells") - 1)))
+        marked = everywhere.withColumn("behind", F.lit(False)).unionByName(rest.withColumn("behind", F.lit(True)))
+        marked = marked.withColumn("cell", F.xxhash64("key", "part")).drop("cells", "part")
+        rows = rows.join(keys, "key", "left_anti").withColumn("behind", F.lit(False)).unionByName(marked)
+        order = ["behind", *order]
+    return rows.repartition("cell").sortWithinPartitions("cell", *order).select("cell", "key", "id", "s1", "s2")
+
+
 def _rest(rows: DataFrame, roots: DataFrame) -> DataFrame:
     """Of the rows (key, id) of buckets, those of buckets that hold more than one group, with ``late``: in the largest."""
     known = roots.select(F.col("node").alias("id"), "root")
     placed = rows.join(known, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    largest = (
+    largest = (  # partial sums by key and root first, so a hot bucket is small by then
         placed.groupBy("key", "root").agg(F.count("*").alias("n"))
         .groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.count("*").alias("groups"))
         .where("groups > 1")
@@ -112,43 +163,42 @@ def _rest(rows: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    df: DataFrame, record: Column, *, row_id: str = "row_idx", width: int = 5, least: float = 0.8,
-    size: int = 128, rows: int = 4, heads: int = 8,
+    df: DataFrame, record: Column, *, row_id: str = "row_idx", width: int = 5, least: float = 0.8, bags: bool = True,
+    size: int = 128, rows: int = 4, heads: int = 8, cell: int = CELL,
 ) -> DataFrame:
-    """Groups of texts that share at least the share ``least`` (0.6 or more) of their distinct runs of ``width`` words.
+    """Groups of texts that share at least the share ``least`` (0.6 or more) of their runs of ``width`` words.
 
     Returns ``(row_idx, class_id, root)``, one row per record that has a run: byte-identical records are one class,
-    named after its least row; classes linked by that likeness, also by way of others, have the same ``root``.
+    named after its least row; classes linked by that likeness, also by way of others, have the same ``root``. With ``bags`` the likeness is that of
+    multisets, the sum of the lesser over that of the greater numbers of each run; without, that of sets of distinct runs.
 
     Each class gets a BagMinHash signature of ``size`` (128 or more) components of its runs, weighted by how often they
-    come, in bands of ``rows``: at likeness x one band is shared with probability 1 - (1 - x^rows)^(size/rows). In each
+    come, in bands of ``rows``: at likeness x one band is shared with probability 1 - (1 - x^rows)^(size/rows). For the likeness of sets a
+    record with repeated runs has the bands of its set's signature besides. In each
     bucket all classes are held against its first ``heads``: by a sketch of 128 bits of the signature, then exactly, on
-    the sets of runs. Those that were held against all are done; a bucket whose other classes are all in one group by
+    the runs, by 32-bit hashes (two runs of a pair of n in all are taken for one with a probability of about n^2 / 2^33). Those that were held against all are done; a bucket whose other classes are all in one group by
     now is done as well, and of any other the classes outside its largest group become heads in the next round, four times as
-    many. So no pair in a bucket is left out that could join two groups, though a group's pairs are never all written.
+    many. So no pair in a bucket is left out that could join two groups, though a group's pairs are never all written. Buckets of more than
+    ``cell`` rows are cut into cells that share their heads; joins by a head of many pairs are left to the splitting of skewed joins at run time.
     Null texts are empty; a record without a run is in no group, a row without a number is left out. Columns beside the ones read do not matter.
     """
     source = df.select(F.col(row_id).cast("bigint").alias("row_idx"), F.unhex(F.md5(record)).alias("digest"), record.alias("record")).where("row_idx is not null")
-    signed = spread(source).mapInArrow(_signed(width, size, rows), "row_idx bigint, digest binary, keys array<bigint>, s1 bigint, s2 bigint")
+    signed = spread(source).mapInArrow(_signed(width, size, rows, bags), "row_idx bigint, digest binary, keys array<bigint>, s1 bigint, s2 bigint")
     kept = (F.first(c).alias(c) for c in ("keys", "s1", "s2"))
     classes = cut(signed.groupBy("digest").agg(F.min("row_idx").alias("class_id"), F.count("*").alias("size"), *kept))
     del signed
-    banded = classes.select(F.explode("keys").alias("key"), F.col("class_id").alias("id"))
-    sketch = cut(classes.select("class_id", "s1", "s2"))  # read again in each round, without the keys
-    left, right = (sketch.select(F.col("class_id").alias(x), F.col("s1").alias(f"{x}1"), F.col("s2").alias(f"{x}2")) for x in "ab")
-    agreed = 128 - F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) - F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
+    sketch = classes.select(F.col("class_id").alias("id"), "s1", "s2")
+    banded = classes.select(F.explode("keys").alias("key"), F.col("class_id").alias("id"), "s1", "s2")
     links = roots = sets = None
     while True:
-        order = ["key", *(["late"] if "late" in banded.columns else []), "id"]
-        ordered = banded.repartition("key").sortWithinPartitions(*order).select("key", "id")
-        met = cut(ordered.mapInArrow(_met(heads), "a bigint, b bigint, key bigint, id bigint").distinct())
-        del ordered, banded
-        near = cut(met.where("a is not null").select("a", "b").join(left, "a").join(right, "b").where(agreed >= AGREED).select("a", "b"))
+        met = cut(_celled(banded, heads, cell).mapInArrow(_met(heads), "a bigint, b bigint, key bigint, id bigint").distinct())
+        del banded
+        near = met.where("a <> b").select("a", "b")
         if sets is None:  # later rounds hold deep rows only
             deep = met.where("key is not null").select("id")
-            touched = near.select(F.col("a").alias("row_idx")).union(near.select("b")).union(deep).distinct()
-            wanted = bitmap(touched.withColumnRenamed("row_idx", "key"), touched.count())
-            sets = cut(spread(source.select("row_idx", "record")).mapInArrow(_sets(width, wanted), "class_id bigint, elements array<int>"))
+            touched = near.select(F.col("a").alias("key")).union(near.select("b")).union(deep).distinct()
+            wanted = bitmap(touched, touched.count())
+            sets = cut(spread(source.select("row_idx", "record")).mapInArrow(_sets(width, wanted, bags), "class_id bigint, elements array<int>"))
         found = likely_enough(near, sets, least).select("a", "b")
         links = found if links is None else links.union(found)
         roots = components(links)
@@ -156,6 +206,7 @@ def near_duplicates(
         banded = cut(_rest(rest, roots))
         if banded.isEmpty():
             break
+        banded = banded.join(sketch, "id")
         links, heads = roots.select(F.col("root").alias("a"), F.col("node").alias("b")), heads * 4
     own = source.select("row_idx", "digest")
     members = join_hot(own, classes.select("digest", "class_id", "size"), ["digest"], size="size", total=df.count())

@@ -30,7 +30,7 @@ def paired():
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicate_pairs(table(spark, sf_dir, "rag_corpus"), titled(), width=3, least=0.6)
+    return near_duplicate_pairs(table(spark, sf_dir, "rag_corpus"), titled(), width=3, least=0.6, bags=False)
 
 
 def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from itertools import combinations
 import numpy as np
 from pyspark.sql import functions as F
 
+from corpusmill.llm import links
 from corpusmill.llm.bags import signatures
 from corpusmill.llm.fields import canonical, fields
 from corpusmill.llm.formatting import format_copies, format_copy_rows
@@ -71,7 +72,7 @@ def test_groups_equal_brute_force(spark):
     df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(own)], "row_idx bigint, text string, root string")
     truth = grouped({i: s for i, t in enumerate(own) if (s := runs(t))}, 0.6)
     for heads in (1, 8):
-        found = {tuple(r) for r in near_duplicate_pairs(df, F.coalesce("text", F.lit("")), width=3, least=0.6, heads=heads).collect()}
+        found = {tuple(r) for r in near_duplicate_pairs(df, F.coalesce("text", F.lit("")), width=3, least=0.6, bags=False, heads=heads).collect()}
         assert found == truth and len(truth) > 100
     assert near_duplicates(df.limit(0), F.coalesce("text", F.lit(""))).count() == 0
 
@@ -84,16 +85,44 @@ def test_rows_without_numbers_are_left_out(spark):
     assert {tuple(r) for r in split_overlap_pairs(df, F.col("text"), F.col("split") == "train", width=3, least=0.6).collect()} == {(1, 2)}
 
 
+def test_repeated_passages(spark):
+    """Sets of runs don't change when a passage comes again; multisets do."""
+    rng, rows, truth = random.Random(11), [], set()
+    for i in range(60):
+        words = [f"w{rng.randrange(4000)}" for _ in range(90)]
+        rows += [(10 * i, " ".join(words)), (10 * i + 1, " ".join([*words * (2 + i % 4), *(f"x{i}y{j}" for j in range(5))]))]
+        truth.add((10 * i, 10 * i + 1))
+    df = spark.createDataFrame(rows, "row_idx bigint, text string")
+    assert {tuple(r) for r in near_duplicate_pairs(df, F.col("text"), width=3, least=0.6, bags=False).collect()} == truth
+    assert near_duplicate_pairs(df, F.col("text"), width=3, least=0.6).count() == 0
+    twice = [(i, " ".join([*w, *w[: 60 + i]])) for w in [[f"v{j}" for j in range(90)]] for i in (0, 4, 30)]  # 0.96, 0.81 and 0.83 as multisets
+    found = near_duplicate_pairs(spark.createDataFrame(twice, "row_idx bigint, text string"), F.col("text"), width=3, least=0.9)
+    assert {tuple(r) for r in found.collect()} == {(0, 4)}
+
+
+def test_hot_buckets_in_cells(spark):
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*base[: 50 + i % 3], *(f"e{i}f{j}" for j in range(i % 4))])) for i in range(200)]
+    rows += [(1000 + i, " ".join([*base[30:], *(f"g{j}" for j in range(30))])) for i in range(3)]
+    df = spark.createDataFrame(rows, "row_idx bigint, text string")
+    truth = grouped({i: runs(t) for i, t in rows}, 0.6)
+    for cell in (10, 50_000):
+        assert {tuple(r) for r in near_duplicate_pairs(df, F.col("text"), width=3, least=0.6, bags=False, heads=2, cell=cell).collect()} == truth
+
+
 def test_hot_group_is_whole(spark):
     base = [f"w{i}" for i in range(40)]
     rows = [(i, " ".join([*base[:39], f"e{i}"])) for i in range(120)]
-    found = near_duplicate_pairs(spark.createDataFrame(rows, "row_idx bigint, text string"), F.col("text"), width=3, least=0.6, heads=2)
+    found = near_duplicate_pairs(spark.createDataFrame(rows, "row_idx bigint, text string"), F.col("text"), width=3, least=0.6, bags=False, heads=2)
     assert found.count() == 120 * 119 // 2
 
 
-def test_components_of_a_chain(spark):
-    df = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a bigint, b bigint")
-    assert {(r.node, r.root) for r in components(df).collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
+def test_components_of_a_chain(spark, monkeypatch):
+    df = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(101, 100), (7, 7)], "a bigint, b bigint")
+    for few in (1000, 0):  # by one task, and round by round
+        monkeypatch.setattr(links, "FEW", few)
+        assert {(r.node, r.root) for r in components(df).collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
+    assert components(df.limit(0)).count() == 0
     members = spark.createDataFrame([(i, 0) for i in range(30)] + [(99, 1)], "row_idx bigint, root bigint")
     assert pairs_within(members).count() == 435
 
