@@ -80,15 +80,16 @@ def signatures(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, count: int, s
 
 
 def sketches(sig: np.ndarray) -> np.ndarray:
-    """One bit of each of 128 components, as two 64-bit numbers: they differ in about (1 - likeness) / 2 of the bits."""
-    bits = np.ascontiguousarray(sig[:, :128]).view(np.uint64)
-    return np.packbits((mix(bits) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
+    """Two bits of each of 64 components, as two 64-bit numbers: they differ in about (1 - likeness) / 2 of the bits."""
+    bits = mix(np.ascontiguousarray(sig[:, :64]).view(np.uint64))
+    halves = [np.packbits((bits >> np.uint64(i) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64) for i in (0, 1)]
+    return np.concatenate(halves, axis=1)
 
 
 def bands(sig: np.ndarray, rows: int) -> np.ndarray:
-    """64-bit keys of groups of ``rows`` components each."""
-    count, size = sig.shape
-    bits = np.ascontiguousarray(sig).view(np.uint64).reshape(count, size // rows, rows)
+    """64-bit keys of groups of ``rows`` components each; what is left over is in none."""
+    count, size = len(sig), sig.shape[1] // rows * rows
+    bits = np.ascontiguousarray(sig[:, :size]).view(np.uint64).reshape(count, size // rows, rows)
     out = np.broadcast_to(mix(np.arange(size // rows, dtype=np.uint64) + GOLD), bits.shape[:2]).copy()
     for i in range(rows):
         out = mix(out * GOLD + bits[:, :, i])

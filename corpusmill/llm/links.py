@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .lineage import cut
 
-#: Links, both ways, at most that one task joins to components; beyond, all tasks do so round by round.
+#: Links at most that one task joins to components; beyond, all tasks do so round by round.
 FEW = 200_000
 #: Members of a group that meet in one task when its pairs are written.
 BLOCK = 2048
@@ -33,8 +33,8 @@ def likely_enough(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """``(node, root)`` of the nodes of the links ``(a, b)``: the least node each can be reached from.
 
-    Each round a node takes the least root among its neighbours and then that root's own root, until none changes;
-    paths are halved, so that chains take logarithmically many rounds.
+    Each round every node is hung on its least neighbour, trees are flattened by halving of their paths, and only links between different trees are left,
+    between their roots, for the next round; trees and links become fewer from round to round, and a few links are joined by one task.
     """
     spark = links.sparkSession
     name = "spark.sql.constraintPropagation.enabled"
@@ -65,25 +65,35 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], names=["node", "root"])
 
 
+def _flat(trees: DataFrame) -> DataFrame:
+    """``(node, root)`` of the trees ``(node, root)`` in which a root is no greater than its node, with every node at its tree's top."""
+    while True:
+        above = trees.select(F.col("node").alias("root"), F.col("root").alias("up"))
+        step = cut(trees.join(above, "root", "left").select("node", F.coalesce("up", "root").alias("root"), (F.coalesce("up", "root") != F.col("root")).alias("moved")))
+        trees = step.select("node", "root")
+        if step.where("moved").isEmpty():
+            return trees
+
+
 def _roots(links: DataFrame) -> DataFrame:
-    edges = cut(links.select("a", "b").union(links.select("b", "a")).distinct())
-    if edges.count() <= FEW:
-        return cut(edges.where("a < b").coalesce(1).mapInArrow(_joined, "node bigint, root bigint"))
-    roots = edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("root"))
-    roots = cut(roots)
+    edges = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    levels = []  # of each round the nodes and the roots they got
     while True:
-        near = (
-            edges.join(roots, edges["b"] == roots["node"]).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        )
-        step = roots.join(near, "node").select("node", F.least("root", "near").alias("next"), F.col("root").alias("was"))
-        parent = roots.select(F.col("node").alias("next"), F.col("root").alias("up"))
-        moved = cut(
-            step.join(parent, "next", "left")
-            .select("node", F.least("next", F.coalesce("up", "next")).alias("root"), "was")
-        )
-        roots = moved.select("node", "root")
-        if moved.where(F.col("root") != F.col("was")).isEmpty():
-            return roots
+        if edges.count() <= FEW:
+            levels.append(cut(edges.coalesce(1).mapInArrow(_joined, "node bigint, root bigint")))
+            break
+        low = edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
+        tops = edges.select(F.col("a").alias("node")).distinct().join(low, "node", "left_anti").withColumn("root", F.col("node"))
+        roots = _flat(cut(low.unionByName(tops)))
+        levels.append(roots)
+        a, b = (roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root")) for x in "ab")
+        met = edges.join(a, "a").join(b, "b").where("a_root <> b_root")
+        edges = cut(met.select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b")).distinct())
+    out = levels[0]
+    for later in levels[1:]:
+        up = later.select(F.col("node").alias("root"), F.col("root").alias("up"))
+        out = out.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root"))
+    return cut(out) if len(levels) > 1 else out
 
 
 def pairs_within(members: DataFrame) -> DataFrame:

@@ -17,22 +17,23 @@ from .links import components, join_hot, likely_enough, pairs_within
 from .words import GOLD, WordHashes, counted, hashed, mix, runs
 
 CHUNK = 200
-#: Of the 128 bits of two sketches this many agree at least, unless the likeness is below 0.6 (all but 1 in 50,000 times).
-AGREED = 84
+#: Of the 128 bits of two sketches, two of each of 64 components, this many agree at least, unless the likeness is below 0.6 (all but 1 in 50,000 times).
+AGREED = 80
 #: Rows of a bucket that a task holds against the bucket's heads; larger buckets are cut into cells.
 CELL = 50_000
 #: Keys looked for, and keys tracked, when the most frequent are counted to find such buckets.
 HOT, TRACKED = 1_000, 10_000
 
 
-def _signed(width: int, size: int, rows: int, bags: bool):
-    """Batches of (row_idx, digest, record) to band keys and sketches of the records that have a run."""
+def _signed(width: int, size: int, rows: int, bags: bool, wanted: Bits):
+    """Batches of (row_idx, record) to band keys and sketches of the classes in the bitmap that have a run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for whole in batches:
+            whole = whole.filter(pa.array(wanted.passes(whole.column(0).to_numpy())))
             for batch in (whole.slice(i, CHUNK) for i in range(0, whole.num_rows, CHUNK)):
-                h, n = hashed(batch.column(2).to_pylist(), memo)
+                h, n = hashed(batch.column(1).to_pylist(), memo)
                 doc, h, count = counted(*runs(h, n, width))
                 kept = np.flatnonzero(np.bincount(doc, minlength=len(n)))
                 plain = signatures(doc, h, np.ones(len(h), np.int64), len(n), size)
@@ -40,19 +41,17 @@ def _signed(width: int, size: int, rows: int, bags: bool):
                 again = np.unique(doc[count > 1])
                 here = np.isin(doc, again)
                 weighted = signatures(doc[here], h[here], count[here], len(n), size)[again]
-                keys = [*bands(plain, rows)]
                 if bags:
                     plain[again] = weighted
-                    keys = [*bands(plain, rows)]
-                else:
+                keys = [*bands(plain, rows)]
+                if not bags:
                     for i, own in zip(again, bands(weighted, rows)):
                         keys[i] = np.unique(np.r_[keys[i], own])
                 sketch = sketches(plain[kept])
                 own = [keys[i] for i in kept]
                 ends = np.r_[0, np.cumsum([len(k) for k in own])].astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own) if own else np.zeros(0, np.int64)))
-                ids = [batch.column(i).take(pa.array(kept)) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*ids, lists, pa.array(sketch[:, 0]), pa.array(sketch[:, 1])], names=["row_idx", "digest", "keys", "s1", "s2"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept)), lists, pa.array(sketch[:, 0]), pa.array(sketch[:, 1])], names=["id", "keys", "s1", "s2"])
 
     return run
 
@@ -162,9 +161,18 @@ def _rest(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return placed.join(largest, "key").select("key", "id", (F.col("root") == F.col("most")).alias("late"))
 
 
+def _apart(pairs: DataFrame, first: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends the links (a, b) of ``first``, one for each b at most, do not put into one group within two steps from either."""
+    hung = first.select(F.col("b").alias("node"), F.col("a").alias("to"))
+    twice = hung.join(hung.select(F.col("node").alias("to"), F.col("to").alias("on")), "to", "left").select("node", F.coalesce("on", "to").alias("top"))
+    for x in "ab":
+        pairs = pairs.join(twice.select(F.col("node").alias(x), F.col("top").alias(f"{x}_top")), x, "left")
+    return pairs.where(F.coalesce("a_top", "a") != F.coalesce("b_top", "b")).select("a", "b")
+
+
 def near_duplicates(
     df: DataFrame, record: Column, *, row_id: str = "row_idx", width: int = 5, least: float = 0.8, bags: bool = True,
-    size: int = 128, rows: int = 4, heads: int = 8, cell: int = CELL,
+    size: int = 64, rows: int | None = None, heads: int = 8, cell: int = CELL,
 ) -> DataFrame:
     """Groups of texts that share at least the share ``least`` (0.6 or more) of their runs of ``width`` words.
 
@@ -172,43 +180,47 @@ def near_duplicates(
     named after its least row; classes linked by that likeness, also by way of others, have the same ``root``. With ``bags`` the likeness is that of
     multisets, the sum of the lesser over that of the greater numbers of each run; without, that of sets of distinct runs.
 
-    Each class gets a BagMinHash signature of ``size`` (128 or more) components of its runs, weighted by how often they
-    come, in bands of ``rows``: at likeness x one band is shared with probability 1 - (1 - x^rows)^(size/rows). For the likeness of sets a
-    record with repeated runs has the bands of its set's signature besides. In each
-    bucket all classes are held against its first ``heads``: by a sketch of 128 bits of the signature, then exactly, on
-    the runs, by 32-bit hashes (two runs of a pair of n in all are taken for one with a probability of about n^2 / 2^33). Those that were held against all are done; a bucket whose other classes are all in one group by
+    Each class gets a BagMinHash signature of ``size`` (64 or more) components of its runs, weighted by how often they
+    come, in bands of ``rows`` (3 where ``least`` is below 0.75, else 5): at likeness x one band is shared with probability 1 - (1 - x^rows)^(size/rows). For the
+    likeness of sets a record with repeated runs has the bands of its set's signature besides. In each
+    bucket all classes are held against its first ``heads``: by a sketch of 128 bits of the signature, then exactly, each first against the least of them and against
+    others only where that does not already put both into one group, on the runs, by 32-bit hashes (two runs of a pair of n in all are taken for one with a probability of about n^2 / 2^33). Those that were held against all are done; a bucket whose other classes are all in one group by
     now is done as well, and of any other the classes outside its largest group become heads in the next round, four times as
     many. So no pair in a bucket is left out that could join two groups, though a group's pairs are never all written. Buckets of more than
     ``cell`` rows are cut into cells that share their heads; joins by a head of many pairs are left to the splitting of skewed joins at run time.
     Null texts are empty; a record without a run is in no group, a row without a number is left out. Columns beside the ones read do not matter.
     """
+    rows = rows or (3 if least < 0.75 else 5)
     source = df.select(F.col(row_id).cast("bigint").alias("row_idx"), F.unhex(F.md5(record)).alias("digest"), record.alias("record")).where("row_idx is not null")
-    signed = spread(source).mapInArrow(_signed(width, size, rows, bags), "row_idx bigint, digest binary, keys array<bigint>, s1 bigint, s2 bigint")
-    kept = (F.first(c).alias(c) for c in ("keys", "s1", "s2"))
-    classes = cut(signed.groupBy("digest").agg(F.min("row_idx").alias("class_id"), F.count("*").alias("size"), *kept))
-    del signed
-    sketch = classes.select(F.col("class_id").alias("id"), "s1", "s2")
-    banded = classes.select(F.explode("keys").alias("key"), F.col("class_id").alias("id"), "s1", "s2")
+    classes = cut(source.groupBy("digest").agg(F.min("row_idx").alias("class_id"), F.count("*").alias("size")))
+    texts = spread(source.select("row_idx", "record"))
+    # what else the bitmap lets pass are copies, which are like their class and in no result
+    wanted = bitmap(classes.select(F.col("class_id").alias("key")), classes.count())
+    signed = cut(texts.mapInArrow(_signed(width, size, rows, bags, wanted), "id bigint, keys array<bigint>, s1 bigint, s2 bigint"))
+    sketch = signed.select("id", "s1", "s2")
+    banded = signed.select(F.explode("keys").alias("key"), "id", "s1", "s2")
     links = roots = sets = None
     while True:
-        met = cut(_celled(banded, heads, cell).mapInArrow(_met(heads), "a bigint, b bigint, key bigint, id bigint").distinct())
+        met = cut(_celled(banded, heads, cell).mapInArrow(_met(heads), "a bigint, b bigint, key bigint, id bigint"))
         del banded
-        near = met.where("a <> b").select("a", "b")
+        near = cut(met.where("a <> b").select("a", "b").distinct())
+        rest = met.where("key is not null").select("key", "id")
         if sets is None:  # later rounds hold deep rows only
-            deep = met.where("key is not null").select("id")
-            touched = near.select(F.col("a").alias("key")).union(near.select("b")).union(deep).distinct()
+            touched = near.select(F.col("a").alias("key")).union(near.select("b")).union(rest.select("id")).distinct()
             wanted = bitmap(touched, touched.count())
-            sets = cut(spread(source.select("row_idx", "record")).mapInArrow(_sets(width, wanted, bags), "class_id bigint, elements array<int>"))
-        found = likely_enough(near, sets, least).select("a", "b")
+            sets = cut(texts.mapInArrow(_sets(width, wanted, bags), "class_id bigint, elements array<int>"))
+        first = cut(likely_enough(near.groupBy("b").agg(F.min("a").alias("a")), sets, least).select("a", "b"))
+        others = _apart(near.join(first, ["a", "b"], "left_anti"), first)
+        found = first.union(cut(likely_enough(others, sets, least).select("a", "b")))
         links = found if links is None else links.union(found)
         roots = components(links)
-        rest = met.where("key is not null").select("key", "id")
         banded = cut(_rest(rest, roots))
         if banded.isEmpty():
             break
         banded = banded.join(sketch, "id")
         links, heads = roots.select(F.col("root").alias("a"), F.col("node").alias("b")), heads * 4
     own = source.select("row_idx", "digest")
+    classes = cut(classes.join(signed.select(F.col("id").alias("class_id")), "class_id", "left_semi"))  # those with a run
     members = join_hot(own, classes.select("digest", "class_id", "size"), ["digest"], size="size", total=df.count())
     return members.join(roots, members["class_id"] == roots["node"], "left").select(
         "row_idx", "class_id", F.coalesce("root", "class_id").alias("root")
