@@ -17,17 +17,36 @@ FEW = 200_000
 BLOCK = 2048
 
 
+def _shared(least: float):
+    """Batches of (a, b, left, right), lists of hashes in ascending order, to those with a Jaccard likeness of ``least`` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, sizes = [], []
+            for i in (2, 3):
+                lists = batch.column(i)
+                n = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+                pair = np.repeat(np.arange(len(n), dtype=np.uint64), n)
+                keys.append((pair << np.uint64(32)) | lists.flatten().to_numpy().view(np.uint32).astype(np.uint64))
+                sizes.append(n)
+            one, two = keys
+            at = np.searchsorted(two, one)
+            hit = two[np.minimum(at, max(0, len(two) - 1))] == one if len(two) else np.zeros(len(one), bool)
+            shared = np.bincount((one[hit] >> np.uint64(32)).astype(np.int64), minlength=batch.num_rows)
+            likeness = shared / np.maximum(sizes[0] + sizes[1] - shared, 1)
+            kept = pa.array(np.flatnonzero(likeness >= least - 1e-12))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared), pa.array(likeness)], names=["a", "b", "shared", "likeness"]).take(kept)
+
+    return run
+
+
 def likely_enough(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Those of the pairs ``(a, b)`` whose sets, ``(class_id, elements)``, have a Jaccard likeness of ``least`` or more."""
+    """Those of the pairs ``(a, b)`` whose sets, ``(class_id, elements)`` with 32-bit elements in ascending order, have a Jaccard likeness of ``least``
+    or more, with that and the number of shared elements."""
     left = sets.select(F.col("class_id").alias("a"), F.col("elements").alias("left"))
     right = sets.select(F.col("class_id").alias("b"), F.col("elements").alias("right"))
-    both = F.size(F.array_intersect("left", "right"))
-    return (
-        pairs.join(left, "a").join(right, "b").withColumn("shared", both)
-        .withColumn("likeness", F.col("shared") / (F.size("left") + F.size("right") - F.col("shared")))
-        .where(F.col("likeness") >= least - 1e-12)
-        .select("a", "b", "shared", "likeness")
-    )
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
+    return both.mapInArrow(_shared(least), "a bigint, b bigint, shared bigint, likeness double")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from .lineage import cut
 from ..sources.tables import spread
 from .bags import bands, signatures, sketches
 from .bitmap import Bits, bitmap
-from .links import components, join_hot, likely_enough, pairs_within
+from .links import FEW, components, join_hot, likely_enough, pairs_within
 from .words import GOLD, WordHashes, counted, hashed, mix, runs
 
 CHUNK = 200
@@ -72,8 +72,9 @@ def _sets(width: int, wanted: Bits, bags: bool):
                     turn = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                     doc, h = np.repeat(doc, count), np.repeat(h, count)
                     h = np.where(turn > 0, mix(h + turn.astype(np.uint64) * GOLD), h)
+                    h = h[np.lexsort((h, doc))]
                 ends = np.r_[0, np.cumsum(np.bincount(doc, minlength=len(n)))].astype(np.int32)
-                values = pa.array((h >> np.uint64(24)).astype(np.uint32).view(np.int32))
+                values = pa.array((h >> np.uint64(32)).astype(np.uint32).view(np.int32))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), values)], names=["class_id", "elements"])
 
     return run
@@ -101,13 +102,13 @@ def _met(most: int):
             fresh = np.arange(len(cell)) >= carried
             bits = rows[:, 1:].view(np.uint64)
             lead, own = [], []
-            for i in range(most):
+            for i in range(min(most, int(rank.max()))):
                 here = np.flatnonzero((rank > i) & fresh)
                 head = begin[here] + i
                 like = 128 - np.bitwise_count(bits[here] ^ bits[head]).sum(axis=1, dtype=np.int64) >= AGREED
                 lead.append(rows[head[like], 0])
                 own.append(rows[here[like], 0])
-            lead, own = np.concatenate(lead), np.concatenate(own)
+            lead, own = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (lead, own))
             late = rank >= most
             late[cell == cell[0]] |= before > 0
             late = np.flatnonzero(late & fresh)
@@ -161,13 +162,19 @@ def _rest(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return placed.join(largest, "key").select("key", "id", (F.col("root") == F.col("most")).alias("late"))
 
 
-def _apart(pairs: DataFrame, first: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose ends the links (a, b) of ``first``, one for each b at most, do not put into one group within two steps from either."""
-    hung = first.select(F.col("b").alias("node"), F.col("a").alias("to"))
-    twice = hung.join(hung.select(F.col("node").alias("to"), F.col("to").alias("on")), "to", "left").select("node", F.coalesce("on", "to").alias("top"))
+def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) of different groups."""
     for x in "ab":
-        pairs = pairs.join(twice.select(F.col("node").alias(x), F.col("top").alias(f"{x}_top")), x, "left")
-    return pairs.where(F.coalesce("a_top", "a") != F.coalesce("b_top", "b")).select("a", "b")
+        pairs = pairs.join(roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root")), x, "left")
+    return pairs.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+
+
+def _few(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The sets of the classes in the pairs, picked where they lie, if the pairs are few; else all sets."""
+    if pairs.count() > FEW:
+        return sets
+    ids = pairs.select(F.col("a").alias("class_id")).union(pairs.select("b")).distinct()
+    return sets.join(F.broadcast(ids), "class_id", "left_semi")
 
 
 def near_duplicates(
@@ -183,9 +190,9 @@ def near_duplicates(
     Each class gets a BagMinHash signature of ``size`` (64 or more) components of its runs, weighted by how often they
     come, in bands of ``rows`` (3 where ``least`` is below 0.75, else 5): at likeness x one band is shared with probability 1 - (1 - x^rows)^(size/rows). For the
     likeness of sets a record with repeated runs has the bands of its set's signature besides. In each
-    bucket all classes are held against its first ``heads``: by a sketch of 128 bits of the signature, then exactly, each first against the least of them and against
-    others only where that does not already put both into one group, on the runs, by 32-bit hashes (two runs of a pair of n in all are taken for one with a probability of about n^2 / 2^33). Those that were held against all are done; a bucket whose other classes are all in one group by
-    now is done as well, and of any other the classes outside its largest group become heads in the next round, four times as
+    bucket all classes are held against its first ``heads``: by a sketch of 128 bits of the signature, then exactly, where they are not in one group yet, on
+    the runs, by 32-bit hashes (two runs of a pair of n in all are taken for one with a probability of about n^2 / 2^33). Those that were held against all are done; a bucket whose other classes are all in one group by
+    now is done as well, and of any other the classes outside its largest group become heads in the next round, sixteen times as
     many. So no pair in a bucket is left out that could join two groups, though a group's pairs are never all written. Buckets of more than
     ``cell`` rows are cut into cells that share their heads; joins by a head of many pairs are left to the splitting of skewed joins at run time.
     Null texts are empty; a record without a run is in no group, a row without a number is left out. Columns beside the ones read do not matter.
@@ -199,26 +206,25 @@ def near_duplicates(
     signed = cut(texts.mapInArrow(_signed(width, size, rows, bags, wanted), "id bigint, keys array<bigint>, s1 bigint, s2 bigint"))
     sketch = signed.select("id", "s1", "s2")
     banded = signed.select(F.explode("keys").alias("key"), "id", "s1", "s2")
+    number = classes.count()
     links = roots = sets = None
     while True:
         met = cut(_celled(banded, heads, cell).mapInArrow(_met(heads), "a bigint, b bigint, key bigint, id bigint"))
         del banded
-        near = cut(met.where("a <> b").select("a", "b").distinct())
+        near = met.where("a <> b").select("a", "b").distinct()
+        near = cut(near if roots is None else _between(near, roots))
         rest = met.where("key is not null").select("key", "id")
         if sets is None:  # later rounds hold deep rows only
-            touched = near.select(F.col("a").alias("key")).union(near.select("b")).union(rest.select("id")).distinct()
-            wanted = bitmap(touched, touched.count())
-            sets = cut(texts.mapInArrow(_sets(width, wanted, bags), "class_id bigint, elements array<int>"))
-        first = cut(likely_enough(near.groupBy("b").agg(F.min("a").alias("a")), sets, least).select("a", "b"))
-        others = _apart(near.join(first, ["a", "b"], "left_anti"), first)
-        found = first.union(cut(likely_enough(others, sets, least).select("a", "b")))
+            touched = near.select(F.col("a").alias("key")).union(near.select("b")).union(rest.select("id"))
+            sets = cut(texts.mapInArrow(_sets(width, bitmap(touched, number), bags), "class_id bigint, elements array<int>"))
+        found = cut(likely_enough(near, _few(sets, near), least).select("a", "b"))
         links = found if links is None else links.union(found)
         roots = components(links)
         banded = cut(_rest(rest, roots))
         if banded.isEmpty():
             break
         banded = banded.join(sketch, "id")
-        links, heads = roots.select(F.col("root").alias("a"), F.col("node").alias("b")), heads * 4
+        links, heads = roots.select(F.col("root").alias("a"), F.col("node").alias("b")), heads * 16
     own = source.select("row_idx", "digest")
     classes = cut(classes.join(signed.select(F.col("id").alias("class_id")), "class_id", "left_semi"))  # those with a run
     members = join_hot(own, classes.select("digest", "class_id", "size"), ["digest"], size="size", total=df.count())
