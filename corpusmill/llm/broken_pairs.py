@@ -45,8 +45,8 @@ SENTENCE = re.compile(r"[^.!?;]+")
 
 
 def opening(text: str, known: Callable[[str], bool] = str.isalpha) -> list[str]:
-    """The first words of the first sentence, of more where it has fewer than three: numbers and words with digits as 0, names and words that are
-    not ``known`` as *."""
+    """The first words of the first sentence, of more where it has fewer than three: numbers and words with digits as 0, names as *, that is
+    capitalised words inside and a first word that is not ``known``."""
     found: list[str] = []
     for sentence in SENTENCE.finditer(text):
         found += re.findall(r"[^\W_]+", sentence.group())
@@ -54,7 +54,7 @@ def opening(text: str, known: Callable[[str], bool] = str.isalpha) -> list[str]:
             break
     found = found[: OPENING + 4]
     named = sum(w[0].isupper() for w in found) <= 0.5 * len(found)
-    out = ["0" if any(c.isdigit() for c in w) else "*" if named and i and w[0].isupper() and len(w) > 2 or not known(w.lower()) else w.lower() for i, w in enumerate(found)]
+    out = ["0" if any(c.isdigit() for c in w) else "*" if (named and w[0].isupper() and len(w) > 2 if i else not known(w.lower())) else w.lower() for i, w in enumerate(found)]
     return [w for w, before in zip(out, ["", *out]) if not (w == before and w in "*0")][:OPENING]
 
 
@@ -120,7 +120,7 @@ def _read(model: LanguageModel, common: frozenset[str]):
 SOUND = "natural and (local is null or local = 'other_language')"
 
 
-def opening_templates(read: DataFrame, *, least: float = 0.6) -> DataFrame:
+def opening_templates(read: DataFrame, *, least: float = 0.7) -> DataFrame:
     """``(opening, template, size, pairs, short_share)``: clusters of like openings of short answers, how many answers have the opening and how many any
     of its cluster, and the share of short ones among all answers that begin with the same ``HEAD`` words as one of the cluster's openings.
 
