@@ -213,7 +213,8 @@ def near_duplicates(
         del banded
         near = met.where("a <> b").select("a", "b").distinct()
         near = cut(near if roots is None else _between(near, roots))
-        rest = met.where("key is not null").select("key", "id")
+        rest = cut(met.where("key is not null").select("key", "id"))
+        del met
         if sets is None:  # later rounds hold deep rows only
             touched = near.select(F.col("a").alias("key")).union(near.select("b")).union(rest.select("id"))
             sets = cut(texts.mapInArrow(_sets(width, bitmap(touched, number), bags), "class_id bigint, elements array<int>"))

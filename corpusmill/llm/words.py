@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import re
-from itertools import chain
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,24 +31,53 @@ def times(i: int) -> np.uint64:
     return np.uint64(i * int(GOLD) & 0xFFFFFFFFFFFFFFFF)
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash. It forgets everything when it has grown to ``most`` words."""
-
-    def __init__(self, most: int = 400_000):
-        self.most = most
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def hashed(texts: list[str | None], memo: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+class WordHashes:
+    """Hashes of all words of some texts at once, over their characters as numbers.
+
+    A word's hash is a polynomial of its characters modulo 2^64, mixed; it depends on nothing but the word.
+    """
+
+    def __init__(self):
+        plane = np.arange(1 << 16, dtype=np.uint32).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+        self.letters = np.fromiter((c.isalnum() for c in plane), bool, 1 << 16)
+        self.powers = np.ones(1, np.uint64)
+
+    def _inside(self, codes: np.ndarray) -> np.ndarray:
+        """Which characters belong to words."""
+        high = codes >= 1 << 16
+        if not high.any():
+            return self.letters[codes]
+        out = np.zeros(len(codes), bool)
+        out[~high] = self.letters[codes[~high]]
+        found, at = np.unique(codes[high], return_inverse=True)
+        out[high] = np.fromiter((chr(c).isalnum() for c in found), bool, len(found))[at]
+        return out
+
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All words' hashes, one text after the other, and the number of words of each text."""
+        joined = "\n".join([t.lower() if t else "" for t in texts]) + "\n"
+        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        inside = self._inside(codes)
+        edge = np.diff(np.r_[False, inside].view(np.int8))
+        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        length = end - start
+        if len(length) and length.max() > len(self.powers):
+            grown = np.full(int(length.max()) * 2, GOLD | np.uint64(1), np.uint64)
+            grown[0] = 1
+            self.powers = np.multiply.accumulate(grown)
+        spots = np.flatnonzero(inside)
+        word = np.repeat(np.arange(len(length)), length)
+        place = spots - start[word]
+        value = (codes[spots].astype(np.uint64) + np.uint64(0x9E37)) * self.powers[place]
+        total = np.add.reduceat(value, np.cumsum(length) - length) if len(length) else np.zeros(0, np.uint64)
+        sizes = np.fromiter((len(t.lower()) + 1 if t else 1 for t in texts), np.int64, len(texts))
+        count = np.diff(np.r_[0, np.searchsorted(start, np.cumsum(sizes))])
+        return mix(total + length.astype(np.uint64) * GOLD), count
+
+
+def hashed(texts: list[str | None], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
     """All words' hashes, one text after the other, and the number of words of each text."""
-    lists = [words(t) for t in texts]
-    n = np.fromiter(map(len, lists), np.int64, len(lists))
-    return np.fromiter(map(memo.__getitem__, chain.from_iterable(lists)), np.uint64, int(n.sum())), n
+    return hashes(texts)
 
 
 def runs(h: np.ndarray, n: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
