@@ -62,7 +62,7 @@ P2_PLAIN = """SELECT min(row_idx) AS kept_row_idx, count(*) AS copies FROM (SELE
 P4_WORDS = f"""SELECT table_name, row_idx, len(w)::INT AS words, round(CASE WHEN len(w) > 0 THEN letters / len(w) ELSE 0 END, 9) AS mean_word_length, round(CASE WHEN body > 0 THEN (body - letters)::DOUBLE / body ELSE 0 END, 9) AS symbol_ratio,
  round(CASE WHEN len(a) > 0 THEN len(list_filter(a, lambda x: list_contains(c, x)))::DOUBLE / len(a) ELSE 0 END, 9) AS common_share
 FROM (SELECT *, len(array_to_string(w, ''))::DOUBLE AS letters, list_filter(w, lambda x: NOT regexp_full_match(x, '\\p{{N}}+')) AS a FROM (
- SELECT table_name, row_idx, {WORDS.format('t')} AS w, length(regexp_replace(t, '[\\s\\x1c-\\x1f\\x{{85}}\\x{{a0}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', '', 'g')) AS body FROM (
+ SELECT table_name, row_idx, {WORDS.format("replace(t, chr(304), 'i' || chr(775))")} AS w, length(regexp_replace(t, '[\\s\\x1c-\\x1f\\x{{85}}\\x{{a0}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', '', 'g')) AS body FROM (
  SELECT 'rag_corpus' AS table_name, row_idx, text AS t FROM rag_corpus UNION ALL SELECT 'sft_instructions', row_idx, response FROM sft_instructions) WHERE t IS NOT NULL)), (SELECT list(DISTINCT lower(word)) AS c FROM common_word)"""
 _HOLDERS = ", ".join(f"'{x}'" for x in sorted(PLACEHOLDERS))
 P5_EMPTY = f"SELECT row_idx FROM (SELECT row_idx, array_to_string({WORDS.format("coalesce(response, '')")}, ' ') AS said FROM sft_instructions) WHERE said IN ({_HOLDERS})"
