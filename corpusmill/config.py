@@ -1,4 +1,4 @@
-"""Parameters of a pipeline, from a dictionary, JSON or YAML where a reader for it is installed."""
+"""Parameters of a pipeline, from a dictionary, JSON or YAML where a reader for it is installed. Names and defaults are fixed values."""
 
 from __future__ import annotations
 

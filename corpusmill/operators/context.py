@@ -14,6 +14,7 @@ from ..functions import text as T
 from .retrieval import TOKEN
 
 BLOCK_SCHEMA = "qid bigint, rank int, doc_id string, source_path string, source_name string, title string, section string, chunk_ids array<string>, start_char int, end_char int, text string, rendered_text string"
+#: What is said where no model answers (fixed values, as those in ``answers``).
 SYSTEM = "You are a helpful assistant. Use the given contexts."
 RETRIEVAL_ONLY = "Use retrieved contexts as evidence for the final response."
 
@@ -121,14 +122,21 @@ def answers(blocks: DataFrame, gate: DataFrame, queries: DataFrame, *, mode: str
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                prompts, out, bad = batch.column(1).to_pylist(), [], []
-                for p in prompts:
-                    try:
-                        out.append(generate([p])[0])
-                        bad.append(None)
-                    except Exception as e:  # noqa: BLE001
-                        out.append(None)
-                        bad.append(str(e))
+                prompts = batch.column(1).to_pylist()
+                try:  # all prompts of a batch at once; where one fails, each by itself
+                    out = generate(prompts)
+                    bad = [None] * len(prompts)
+                    if len(out) != len(prompts):
+                        raise ValueError("the generator must return an answer for each prompt")
+                except Exception:  # noqa: BLE001
+                    out, bad = [], []
+                    for p in prompts:
+                        try:
+                            out.append(generate([p])[0])
+                            bad.append(None)
+                        except Exception as e:  # noqa: BLE001
+                            out.append(None)
+                            bad.append(str(e))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array(bad, pa.string())], names=["qid", "raw", "rag_error"])
 
         said = rows.where(asks).select("qid", "prompt").mapInArrow(run, "qid bigint, raw string, rag_error string")

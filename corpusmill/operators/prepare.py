@@ -30,9 +30,26 @@ def with_context(instruction, context):
     return F.when(T.normalized(context) != "", F.concat(instruction, F.lit("\nContext: "), context)).otherwise(instruction)
 
 
+def conversation_items(messages: DataFrame, *, source: str = "openassistant", most: int | None = None, pairing=None) -> tuple[DataFrame, DataFrame]:
+    """Records and pairs of a table of messages ``(row_idx, message_id, conv_id, role, text)``: a record of every message that is not blank, whatever its
+    role, and the pairs that ``pairing`` (``adjacent_pairs`` by default) finds; both normalised and on topic.
+
+    ``most`` ends the table at that many messages that are neither blank nor an assistant's.
+    """
+    rows = messages.select("row_idx", "message_id", "conv_id", "role", "text")
+    if most is not None:
+        asks = rows.where((F.lower(F.trim(F.coalesce("role", F.lit("")))) != "assistant") & (T.normalized(F.col("text")) != ""))
+        last = global_ordinal(asks.select("row_idx"), "row_idx", "k").where(F.col("k") == most - 1).select(F.col("row_idx").alias("last"))
+        rows = rows.join(F.broadcast(last), how="left").where(F.col("last").isNull() | (F.col("row_idx") <= F.col("last"))).drop("last")
+    name = F.coalesce("message_id", F.concat(F.lit("oasst-"), F.col("row_idx").cast("string")))
+    own = rows.select("row_idx", name.alias("id"), F.lit(source).alias("source"), F.lit("").alias("title"), "text")
+    pairs = (pairing or adjacent_pairs)(rows).join(own.select("row_idx", "id", "source"), "row_idx")
+    return rag_items(own), sft_items(pairs)
+
+
 def source_limit(df: DataFrame, most: int) -> DataFrame:
-    """The rows with ``row_idx`` below ``most``; the first one at least, as the limit is looked at after a row."""
-    return df.where(F.col("row_idx") < max(most, 1))
+    """The first ``most`` rows of a source by ``row_idx``; the first one at least, as the limit is looked at after a row."""
+    return global_ordinal(df, "row_idx", "_place").where(F.col("_place") < max(most, 1)).drop("_place")
 
 
 def stacked(parts: list[DataFrame]) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..plans.lineage import cut
+from .ordering import global_ordinal
 
 NOISE = r"(?i)https?://|<[^>]+>"
 
@@ -41,16 +43,32 @@ def length_histogram(df: DataFrame, column: str, width: int = 100) -> DataFrame:
     return df.groupBy(F.floor(n / width).alias("bin")).agg(F.count("*").alias("rows"), F.min(n).alias("least"), F.max(n).alias("most"))
 
 
-def gates(df: DataFrame, column: str, near_share: float = 0.0) -> DataFrame:
-    """Shares of noise and of texts that are mostly not ASCII against their bounds, and whether all pass."""
+def near_rate(df: DataFrame, column: str, *, row_id: str = "row_idx", band: int = 40, distance: int = 3) -> DataFrame:
+    """One row: the pairs of rows at most ``band`` places apart in the order of ``row_id``, those of them whose SimHashes differ in at most
+    ``distance`` bits, and their share (0 without a pair)."""
+    placed = global_ordinal(df.select(F.col(row_id).alias("id"), F.col(column).alias("text")), "id", "row_idx")
+    hashes = cut(simhash(placed, "text"))
+    n = F.col("n")
+    checked = F.when(n > band, n * band - F.lit(band * (band + 1) // 2)).otherwise((n * (n - 1) / 2).cast("bigint"))
+    total = hashes.agg(F.count("*").alias("n")).select(checked.alias("pairs_checked"))
+    near = band_pairs(hashes, band=band, distance=distance).agg(F.count("*").alias("near_pairs"))
+    share = F.when(F.col("pairs_checked") > 0, F.col("near_pairs") / F.col("pairs_checked")).otherwise(0.0)
+    return total.join(near, how="cross").select("pairs_checked", "near_pairs", share.alias("near_share"))
+
+
+def gates(df: DataFrame, column: str, near: DataFrame | None = None) -> DataFrame:
+    """Shares of noise, of texts that are mostly not ASCII and of near duplicates against their bounds, and whether all pass. ``near`` is a row of
+    ``near_rate``; it is computed if not given."""
     t = T.normalized(F.col(column))
     one = df.select(t.alias("t"), T.source_bucket(F.col("source")).alias("s")).agg(
         F.count("*").alias("rows"), F.sum(F.col("t").rlike(NOISE).cast("int")).alias("noise_rows"),
         F.sum((T.non_ascii_ratio(F.col("t")) > 0.3).cast("int")).alias("non_ascii_rows"), F.sum((F.col("s") == T.MISSING_SOURCE).cast("int")).alias("missing_source_rows"),
     )
     noise, other = F.col("noise_rows") < 0.05 * F.col("rows"), F.col("non_ascii_rows") < 0.2 * F.col("rows")
-    passed = noise & other & (F.col("missing_source_rows") < F.col("rows")) & F.lit(near_share < 0.02)
-    return one.withColumn("noise_ok", noise).withColumn("non_ascii_ok", other).withColumn("status", F.when(passed, "PASS").otherwise("PASS_WITH_CLEANING_REQUIRED"))
+    alike = F.col("near_share") < 0.02
+    passed = noise & other & alike & (F.col("missing_source_rows") < F.col("rows"))
+    one = one.join((near if near is not None else near_rate(df, column)).select("near_share"), how="cross")
+    return one.withColumn("noise_ok", noise).withColumn("non_ascii_ok", other).withColumn("near_dup_ok", alike).withColumn("near_share", F.round("near_share", 9)).withColumn("status", F.when(passed, "PASS").otherwise("PASS_WITH_CLEANING_REQUIRED"))
 
 
 def _sign_rows(grams: np.ndarray, memo: dict[int, int], rows: list[np.ndarray]) -> np.ndarray:

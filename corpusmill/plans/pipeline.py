@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import os
 from dataclasses import asdict
+from datetime import datetime, timezone
 from functools import reduce
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from ..config import Config, Rag
 from ..functions import text as T
 from ..operators import chunk, clean, context, evaluate, retrieval, split
 from ..operators.ordering import global_ordinal
-from ..sources import files
+from ..sources import files, store
 from .lineage import cut
 
 STAGES = ("clean", "split", "eval", "index")
@@ -45,9 +46,12 @@ def build_index(documents: DataFrame, config: Config, out: str, *, rebuild: bool
     n = rows.count()
     if not n:
         raise ValueError("no chunks to index")
-    hybrid = config.rag.retrieval_mode == "hybrid"
-    files.save_index(out, rows, retrieval.embed(rows, "chunk_idx", "text", embedder), retrieval.postings(rows) if hybrid else None)
-    files.save_json(str(Path(out) / "manifest.json"), files.manifest(out, n, asdict(config.rag) | {"embedding_model": config.embeddings.name, "generator_model": config.model.name}))
+    files.save_index(out, chunks=rows, vectors=retrieval.embed(rows, "chunk_idx", "text", embedder))
+    if config.rag.retrieval_mode == "hybrid":
+        files.save_index(out, postings=retrieval.postings(rows), statistics=retrieval.keyword_stats(rows))
+        stored = files.load_index(spark, out)
+        files.save_index(out, vocabulary=retrieval.vocabulary(stored["postings"], stored["statistics"]))
+    store.write_json(spark, f"{out}/manifest.json", files.manifest(out, n, asdict(config.rag) | {"embedding_model": config.embeddings.name, "generator_model": config.model.name}))
     return n
 
 
@@ -58,7 +62,8 @@ def find(index: dict[str, DataFrame], queries: DataFrame, rag: Rag, embedder: re
     found = retrieval.knn(index["vectors"], retrieval.embed(queries, "qid", "query", embedder), n)
     if hybrid:
         posting = index["postings"] if "postings" in index else retrieval.postings(index["chunks"])
-        found = retrieval.fuse(found, retrieval.bm25(posting, retrieval.keyword_stats(index["chunks"]), queries, n), n, rrf_k=rag.rrf_k)
+        stats = index["statistics"] if "statistics" in index else retrieval.keyword_stats(index["chunks"])
+        found = retrieval.fuse(found, retrieval.bm25(posting, stats, queries, n, words=index.get("vocabulary")), n, rrf_k=rag.rrf_k)
     return retrieval.rerank(found, queries, index["chunks"], rag.top_k) if rag.reranker_enabled else found.where(F.col("rank") <= rag.top_k)
 
 
@@ -71,11 +76,11 @@ def ask(index: dict[str, DataFrame], queries: DataFrame, config: Config, *, mode
     return context.answers(context.context_blocks(found, chunks, limits), gate, queries, mode=mode, generate=generate)
 
 
-def serving_summary(folder: str) -> dict:
-    """What may be done with a served folder, from its manifest or, without one, the fixed values."""
-    path = Path(folder) / "manifest.json"
-    online = files.load_json(str(path))["online_pipeline"] if path.exists() else files.manifest(folder, 0, {})["online_pipeline"]
-    return {"pipeline_role": "online", "artifacts_dir": folder, "manifest_available": path.exists(), **online}
+def serving_summary(spark: SparkSession, folder: str) -> dict:
+    """What may be done with a served folder, from its manifest or, without one, the fixed values of a folder of an older kind."""
+    there = store.exists(spark, f"{folder}/manifest.json")
+    found = store.read_json(spark, f"{folder}/manifest.json") if there else {"schema_version": "legacy", "online_pipeline": files.manifest(folder, 0, {})["online_pipeline"]}
+    return {"pipeline_role": "online", "artifacts_dir": folder, "manifest_available": there, "schema_version": found["schema_version"], **found["online_pipeline"]}
 
 
 def evaluated(index: dict[str, DataFrame], items: DataFrame, rag: Rag, ks: list[int]) -> DataFrame:
@@ -86,9 +91,13 @@ def evaluated(index: dict[str, DataFrame], items: DataFrame, rag: Rag, ks: list[
     return reduce(DataFrame.unionByName, [evaluate.metrics(ranks, k) for k in ks])
 
 
-def ablation(documents: DataFrame, items: DataFrame, grid: DataFrame, base: Rag | None = None) -> DataFrame:
-    """The leaderboard of a grid of variants. Chunks and vectors are made once for each size and overlap, searched once for each
-    mode at the greatest depth."""
+def ablation(documents: DataFrame, items: DataFrame, grid: DataFrame, base: Rag | None = None, *, max_runs: int = 0, dry_run: bool = False) -> DataFrame:
+    """The leaderboard of a grid of variants, of the first ``max_runs`` if that is positive; a dry run only returns the variants. Chunks and vectors are made
+    once for each size and overlap, searched once for each mode at the greatest depth."""
+    if max_runs > 0:
+        grid = grid.orderBy("ordinal").limit(max_runs)
+    if dry_run:
+        return grid
     base, rows, parts = base or Rag(), grid.orderBy("ordinal").collect(), []
     for size, overlap in dict.fromkeys((r.chunk_size, r.chunk_overlap) for r in rows):
         chunks = cut(numbered_chunks(documents, size, overlap))
@@ -104,15 +113,69 @@ def ablation(documents: DataFrame, items: DataFrame, grid: DataFrame, base: Rag
     return evaluate.leaderboard(grid.join(results, ["retrieval_mode", "chunk_size", "chunk_overlap", "top_k"]))
 
 
-def regression_run(index: dict[str, DataFrame], items: DataFrame, rag: Rag, baseline: DataFrame | None, *, max_drop: float = 0.01) -> tuple[bool, list]:
-    """Whether the items are valid and the metrics are not below a baseline ``(hit_rate, mrr)``; without one all is well."""
-    if evaluate.eval_summary(items).first().errors:
-        return False, evaluate.eval_errors(items).collect()
-    current = cut(evaluated(index, items, rag, [rag.top_k]))
-    if baseline is None:
-        return True, current.collect()
-    checks = evaluate.regression(current, baseline, max_drop=max_drop).collect()
-    return all(c.passed for c in checks), checks
+def metrics_record(metrics, config: Config, *, tag: str = "", snapshot_label: str = "", artifacts_dir: str = "", eval_file: str = "") -> dict:
+    """One row of metrics with what it was measured with: names, search parameters, flags of the environment that keep models offline."""
+    flags = ("HF_HUB_OFFLINE", "TRANSFORMERS_OFFLINE", "HF_DATASETS_OFFLINE")
+    row = metrics.asDict()
+    return {
+        "created_at_utc": datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ"), "tag": tag, "snapshot_label": snapshot_label, "artifacts_dir": artifacts_dir, "eval_file": eval_file,
+        "embedding_model": config.embeddings.name, **{k: v for k, v in asdict(config.rag).items() if k != "rrf_k"}, **{k: row[k] for k in ("top_k", "queries", "hits", "hit_rate", "mrr")},
+        "offline_flags": {f: os.environ.get(f, "") for f in flags},
+    }
+
+
+def regression_run(
+    index: dict[str, DataFrame], item_sets: dict[str, DataFrame | None], config: Config, baselines: dict[str, dict] | None = None, *, out: str | None = None,
+    required: tuple[str, ...] = (), max_drop: dict[str, float] | None = None, tag: str = "regression", query_chars: int = 8, expected_chars: int = 8,
+) -> tuple[int, dict]:
+    """Exit code (0 or 1) and summary of some named item sets: each is validated, measured and held against its baseline ``{hit_rate, mrr}``.
+
+    A required set that is missing, or any set with errors, fails the run before anything is measured. A drop of more than ``max_drop`` of a
+    metric (nothing by default) fails it; a set without a baseline passes with a note. ``out`` gets each set's metrics,
+    the summary as JSON and Markdown, and a line in ``history.jsonl``.
+    """
+    spark, drop = index["chunks"].sparkSession, {"hit_rate": 0.0, "mrr": 0.0} | (max_drop or {})
+    stamp = datetime.now(timezone.utc).strftime("%Y%m%dT%H%M%SZ")
+    summary: dict = {"created_at_utc": stamp, "run_tag": f"{tag}_{stamp}", "overall_passed": False, "eval_validation": [], "runs": [], "failure_reasons": []}
+    given = {n: s for n, s in item_sets.items() if s is not None}
+    summary["failure_reasons"] += [f"item set not found: {n}" for n in required if n not in given]
+    for name, items in given.items():
+        limits = dict(query_chars=query_chars, expected_chars=expected_chars)
+        totals = evaluate.eval_summary(items, **limits).first().asDict()
+        errors = [r.asDict() for r in evaluate.eval_errors(items, **limits).orderBy("eval_index", "error").toLocalIterator()] if totals["errors"] else []
+        summary["eval_validation"].append({"name": name, "summary": totals, "errors": errors, "valid": not totals["errors"]})
+        if totals["errors"]:
+            summary["failure_reasons"].append(f"item set has errors: {name}")
+    if not summary["failure_reasons"]:
+        for name, items in given.items():
+            record = metrics_record(evaluated(index, items, config.rag, [config.rag.top_k]).first(), config, tag=f"{tag}_{name}", eval_file=name)
+            base = (baselines or {}).get(name)
+            checks = []
+            for metric in ("hit_rate", "mrr") if base else ():
+                delta = round(record[metric] - base[metric], 6)
+                checks.append({"metric": metric, "current": record[metric], "baseline": base[metric], "delta": delta, "max_drop": drop[metric], "passed": delta >= -drop[metric]})
+            reasons = [f"{name}: {c['metric']} fell by {-c['delta']:.6f}, allowed {c['max_drop']:.6f}" for c in checks if not c["passed"]]
+            summary["runs"].append({"name": name, "metrics": record, "checks": checks, "passed": not reasons, "note": "" if base else "no baseline"})
+            summary["failure_reasons"] += reasons
+    summary["overall_passed"] = not summary["failure_reasons"]
+    if out:
+        folder = f"{out}/{summary['run_tag']}"
+        for run in summary["runs"]:
+            store.write_json(spark, f"{folder}/metrics/{run['name']}.json", run["metrics"])
+        store.write_json(spark, f"{folder}/summary.json", summary)
+        store.write_text(spark, f"{folder}/summary.md", regression_markdown(summary))
+        store.append_line(spark, f"{out}/history.jsonl", summary)
+    return int(not summary["overall_passed"]), summary
+
+
+def regression_markdown(summary: dict) -> str:
+    """The summary of a regression run for people."""
+    lines = [f"# Regression run {summary['run_tag']}", "", f"passed: {summary['overall_passed']}", ""]
+    lines += [files.markdown([{"set": v["name"], **v["summary"]} for v in summary["eval_validation"]], ["set", "items", "unique_queries", "errors"]), ""] if summary["eval_validation"] else []
+    rows = [{"set": r["name"], **c} for r in summary["runs"] for c in r["checks"]]
+    lines += [files.markdown(rows, ["set", "metric", "current", "baseline", "delta", "passed"]), ""] if rows else []
+    lines += [f"- {r['name']}: {r['note']}" for r in summary["runs"] if r["note"]] + [f"- failure: {r}" for r in summary["failure_reasons"]]
+    return "\n".join(lines).strip() + "\n"
 
 
 def prepare(spark: SparkSession, rag: DataFrame, sft: DataFrame, config: Config, out: str, stages: tuple[str, ...] = STAGES) -> dict[str, int]:

@@ -230,16 +230,27 @@ LENGTH_STATS = _stats("text") + " UNION ALL " + _stats("title")
 DUP_RATE = _dups("text") + " UNION ALL " + _dups("title")
 SOURCE_COUNTS = f"SELECT {bucket_of('source')} AS source, count(*) AS n_rows FROM rag_corpus GROUP BY 1"
 HISTOGRAM = f"SELECT floor(n / 100.0)::BIGINT AS bin, count(*) AS n_rows, min(n) AS least, max(n) AS most FROM (SELECT length({norm('text')}) AS n FROM rag_corpus) GROUP BY 1"
-GATES = f"""SELECT *, noise_rows < 0.05 * n_rows AS noise_ok, non_ascii_rows < 0.2 * n_rows AS non_ascii_ok,
- CASE WHEN noise_rows < 0.05 * n_rows AND non_ascii_rows < 0.2 * n_rows AND missing_source_rows < n_rows THEN 'PASS' ELSE 'PASS_WITH_CLEANING_REQUIRED' END AS status
+
+
+def _hashes(rows: str) -> str:
+    """SimHashes of rows (row_idx, text)."""
+    grams = f"SELECT row_idx, unnest(CASE WHEN length(t) < 3 THEN [t] ELSE list_transform(range(1, length(t) - 1), lambda i: substring(t, i, 3)) END) AS g FROM (SELECT row_idx, {low(norm('text'))} AS t FROM ({rows}))"
+    return f"""SELECT row_idx, sum(CASE WHEN v <= 0 THEN 0 WHEN b = 0 THEN -(1::HUGEINT << 63) ELSE (1::HUGEINT << (63 - b)) END)::BIGINT AS simhash
+FROM (SELECT row_idx, b, sum(CASE WHEN (h >> (63 - b)) & 1 = 1 THEN n ELSE -n END) AS v FROM (SELECT row_idx, g, ('0x' || substr(md5(g), 17, 16))::UBIGINT AS h, count(*) AS n FROM ({grams}) GROUP BY ALL), range(64) r(b) GROUP BY ALL) GROUP BY row_idx"""
+
+
+_NEAR = "FROM s a JOIN s b ON b.row_idx > a.row_idx AND b.row_idx <= a.row_idx + 40 WHERE bit_count(xor(a.simhash, b.simhash)) <= 3"
+SIMHASH = _hashes("SELECT row_idx, text FROM rag_corpus")
+NEAR_BAND = f"""WITH s AS ({_hashes("SELECT row_idx, text FROM rag_corpus WHERE text IS NOT NULL AND trim(text) <> ''")})
+SELECT a.row_idx AS row_a, b.row_idx AS row_b, bit_count(xor(a.simhash, b.simhash))::INT AS distance {_NEAR}"""
+_RATE = f"""s AS ({_hashes("SELECT row_number() OVER (ORDER BY row_idx) - 1 AS row_idx, text FROM rag_corpus")}),
+rate AS (SELECT CASE WHEN n > 40 THEN n * 40 - 820 ELSE n * (n - 1) // 2 END AS pairs_checked, (SELECT count(*) {_NEAR}) AS near_pairs FROM (SELECT count(*) AS n FROM rag_corpus)),
+nr AS (SELECT *, CASE WHEN pairs_checked > 0 THEN near_pairs::DOUBLE / pairs_checked ELSE 0.0 END AS near_share FROM rate)"""
+NEAR_RATE = f"WITH {_RATE} SELECT pairs_checked, near_pairs, near_share FROM nr"
+GATES = f"""WITH {_RATE} SELECT *, noise_rows < 0.05 * n_rows AS noise_ok, non_ascii_rows < 0.2 * n_rows AS non_ascii_ok, near_share < 0.02 AS near_dup_ok,
+ CASE WHEN noise_rows < 0.05 * n_rows AND non_ascii_rows < 0.2 * n_rows AND missing_source_rows < n_rows AND near_share < 0.02 THEN 'PASS' ELSE 'PASS_WITH_CLEANING_REQUIRED' END AS status
 FROM (SELECT count(*) AS n_rows, sum({has('t', '(?i)https?://|<[^>]+>')}::INT)::BIGINT AS noise_rows, sum((({non_ascii('t')}) > 0.3)::INT)::BIGINT AS non_ascii_rows, sum((s = '__missing_source__')::INT)::BIGINT AS missing_source_rows
- FROM (SELECT {norm('text')} AS t, {bucket_of('source')} AS s FROM rag_corpus))"""
-_GRAMS = f"SELECT row_idx, unnest(CASE WHEN length(t) < 3 THEN [t] ELSE list_transform(range(1, length(t) - 1), lambda i: substring(t, i, 3)) END) AS g FROM (SELECT row_idx, text, {low(norm('text'))} AS t FROM rag_corpus)"
-_HASHES = f"""SELECT row_idx, sum(CASE WHEN v <= 0 THEN 0 WHEN b = 0 THEN -(1::HUGEINT << 63) ELSE (1::HUGEINT << (63 - b)) END)::BIGINT AS simhash
-FROM (SELECT row_idx, b, sum(CASE WHEN (h >> (63 - b)) & 1 = 1 THEN n ELSE -n END) AS v FROM (SELECT row_idx, g, ('0x' || substr(md5(g), 17, 16))::UBIGINT AS h, count(*) AS n FROM ({_GRAMS}) GROUP BY ALL), range(64) r(b) GROUP BY ALL) GROUP BY row_idx"""
-SIMHASH = _HASHES
-NEAR_BAND = f"""WITH s AS ({_HASHES.replace(chr(70) + "ROM rag_corpus)", "FROM rag_corpus WHERE text IS NOT NULL AND trim(text) <> '')")})
-SELECT a.row_idx AS row_a, b.row_idx AS row_b, bit_count(xor(a.simhash, b.simhash))::INT AS distance FROM s a JOIN s b ON b.row_idx > a.row_idx AND b.row_idx <= a.row_idx + 40 WHERE bit_count(xor(a.simhash, b.simhash)) <= 3"""
+ FROM (SELECT {norm('text')} AS t, {bucket_of('source')} AS s FROM rag_corpus)), (SELECT round(near_share, 9) AS near_share FROM nr)"""
 
 
 def _windows(size: int, overlap: int) -> str:
@@ -334,3 +345,24 @@ LEADERBOARD = f"WITH {_BM}, {_RANKS}, m AS ({_METRICS}) SELECT row_number() OVER
 REGRESSION = f"""WITH {_BM}, {_RANKS}, m AS ({_METRICS}), x AS (SELECT 'hit_rate' AS metric, a.hit_rate AS current, b.hit_rate AS baseline FROM m a, m b WHERE a.top_k = 3 AND b.top_k = 10
  UNION ALL SELECT 'mrr', a.mrr, b.mrr FROM m a, m b WHERE a.top_k = 3 AND b.top_k = 10)
 SELECT metric, current, baseline, round(current - baseline, 6) AS delta, 0.01::DOUBLE AS max_drop, round(current - baseline, 6) >= -0.01 AS passed FROM x"""
+
+# More of the text functions, and files that are written and read again
+_ITEMS = "list_filter(list_transform(string_split(coalesce(source, '') || ',' || coalesce(lang, ''), ','), lambda x: trim(x)), lambda x: x <> '')"
+TEXT_MORE = f"""SELECT row_idx, regexp_replace(substring(regexp_replace(coalesce(title, ''), '[^\\p{{L}}\\p{{N}}_-]', '_', 'g'), 1, 120), '^_+|_+$', '', 'g') AS run_label,
+ array_to_string(list_filter({_ITEMS}, lambda x, i: list_position({_ITEMS}, x) = i), '|') AS items,
+ len(list_distinct(CASE WHEN length({low(norm('title'))}) < 3 THEN [{low(norm('title'))}] ELSE list_transform(range(1, length({low(norm('title'))}) - 1), lambda i: substring({low(norm('title'))}, i, 3)) END)) AS distinct_trigrams,
+ 'query: ' || title AS prefixed, 0 AS literal_tokens FROM rag_corpus"""
+ANSWER_PARTS = f"SELECT row_idx, {strip('response')} AS answer FROM sft_instructions"
+KEPT_ROW_IDS = f"WITH {_RAG} SELECT row_idx, CASE WHEN trim(coalesce(id, '')) <> '' THEN id ELSE 'rag-' || n END AS id FROM (SELECT row_idx, id, row_number() OVER (ORDER BY row_idx) - 1 AS n FROM clean_rag WHERE reason IS NULL)"
+GATE_OFF = f"WITH {_BM}, g AS (SELECT qid, count(*) AS n FROM bm WHERE rank <= 5 AND score > 0 GROUP BY 1) SELECT eval_index::BIGINT AS qid, true AS sufficient, 'Quality gate disabled.' AS reason, (CASE WHEN coalesce(n, 0) > 0 THEN 1.0 ELSE 0.0 END)::DOUBLE AS best_score, coalesce(n, 0) AS total_results FROM eval_item LEFT JOIN g ON g.qid = eval_index"
+JSON_LINES = "SELECT row_idx, id, source, title, md5(text) AS text_md5, array_to_string(tags, ',') AS tags FROM rag_corpus"
+EVAL_FILE = "SELECT row_number() OVER (ORDER BY eval_index)::INT AS eval_index, query, expected_substring FROM eval_item"
+TEXT_FOLDER = f"SELECT md5({strip('text')}) AS text_md5 FROM documents WHERE {strip('text')} <> ''"
+RAW_SOURCES = f"""SELECT 'stackoverflow' AS source, row_idx, CASE WHEN {norm('title')} <> '' THEN title ELSE source END AS head, md5(text) AS body_md5 FROM rag_corpus UNION ALL SELECT 'arxiv', row_idx, title, md5(text) FROM rag_corpus
+UNION ALL SELECT 'dolly', row_idx, CASE WHEN {norm('source')} <> '' THEN instruction || chr(10) || 'Context: ' || source ELSE instruction END, md5(response) FROM sft_instructions"""
+_TURN = "coalesce(message_id, 'oasst-' || row_idx)"
+CONVERSATIONS = f"""WITH p AS ({ADJACENT}) SELECT 'rag' AS kind, row_idx, {_TURN} AS id, md5({norm('text')}) AS text_md5 FROM message WHERE {norm('text')} <> '' AND {has(f"lower(' ' || {norm('text')})", TOPIC)}
+UNION ALL SELECT 'sft', row_idx, {_TURN}, md5(instruction || '|' || response) FROM p JOIN (SELECT row_idx, message_id FROM message) USING (row_idx) WHERE {has("lower(instruction || ' ' || response)", TOPIC)}"""
+LEGACY = f"SELECT doc_id AS chunk_idx, printf('legacy_document_%04d', doc_id) AS doc_id, printf('legacy_document_%04d', doc_id) || '__0000' AS chunk_id, 0 AS start_char, length(coalesce(text, ''))::INT AS end_char FROM documents"
+CHECKSUMS = "SELECT eval_index::INT AS eval_index, sha256(query || chr(10)) AS sha256 FROM eval_item"
+AUDIT_FILES = f"WITH x AS ({AUDIT}) SELECT status, coalesce(nullif(regexp_replace(regexp_replace(lower(source), '[^a-z0-9_-]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'unknown') AS source_slug, regexp_replace(category, '[^a-z0-9_-]+', '_', 'g') AS category_slug, count(*) AS n FROM x GROUP BY ALL"

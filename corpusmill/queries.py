@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .config import Rag
 from .functions import text as T
 from .operators import chunk, clean, context, evaluate, integrity, prepare, profile, retrieval, split
 from .plans import pipeline
 from .plans import sql as S
-from .plans.lineage import cut
+from .plans.lineage import cut, scratch
+from .sources import files, store
 from .sources.tables import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,9 +81,128 @@ def document_titles(spark, d):
     return spread(table(spark, d, "documents")).select("doc_id", T.title_of(t, F.lit("untitled")).alias("doc_title"), T.section_of(t).alias("section"), T.is_heading(t).alias("heading"))
 
 
+@query(S.TEXT_MORE)
+def text_functions_more(spark, d):
+    """Labels, lists, trigrams, prefixes and the pattern that finds nothing in usual text."""
+    both = F.concat(F.coalesce("source", F.lit("")), F.lit(","), F.coalesce("lang", F.lit("")))
+    return rag(spark, d).select(
+        "row_idx", T.run_label(F.col("title")).alias("run_label"), F.array_join(T.split_list(both), "|").alias("items"), F.size(F.array_distinct(T.trigrams(F.col("title")))).alias("distinct_trigrams"),
+        T.prefixed(F.col("title"), "intfloat/e5-base", "query").alias("prefixed"), F.size(T.tokens(F.col("title"), "literal_backslash_w")).alias("literal_tokens"),
+    )
+
+
+@query(S.ANSWER_PARTS)
+def answer_parts(spark, d):
+    """What a model said, found again in a whole dialogue."""
+    said = F.concat(F.lit("[SYSTEM]\nx [ASSISTANT] y\n[USER] z\n[ASSISTANT]\n"), F.coalesce("response", F.lit("")), F.lit("\n[USER]\nmore"))
+    return sft(spark, d).select("row_idx", T.answer_part(said).alias("answer"))
+
+
 # Preparation
 
 
+@query(S.CONVERSATIONS)
+def conversation_items(spark, d):
+    """Records of all roles and pairs of a table of messages."""
+    own, pairs = prepare.conversation_items(spread(table(spark, d, "message")))
+    own = own.select(F.lit("rag").alias("kind"), "row_idx", "id", F.md5("text").alias("text_md5"))
+    return own.unionByName(pairs.select(F.lit("sft").alias("kind"), "row_idx", "id", F.md5(F.concat("instruction", F.lit("|"), "response")).alias("text_md5")))
+
+
+@query(S.RAW_SOURCES)
+def raw_sources(spark, d):
+    """Records and pairs out of the three raw layouts."""
+    r, p = rag(spark, d), sft(spark, d)
+    stack, _ = files.stackoverflow_items(r.select("row_idx", "id", "title", F.col("source").alias("question"), F.col("text").alias("answer")))
+    papers = files.arxiv_items(r.select("row_idx", "id", "title", F.col("text").alias("abstract")))
+    _, dolly = files.dolly_items(p.select("row_idx", "id", "instruction", F.col("source").alias("context"), "response"))
+    rows = [x.select("source", "row_idx", F.col("title").alias("head"), F.md5("text").alias("body_md5")) for x in (stack, papers)]
+    rows.append(dolly.select("source", "row_idx", F.col("instruction").alias("head"), F.md5("response").alias("body_md5")))
+    return reduce(DataFrame.unionByName, rows)
+
+
+# Files
+
+
+@query(S.JSON_LINES)
+def json_lines_roundtrip(spark, d):
+    """Records written as JSON lines and read again."""
+    path = scratch(spark)
+    files.write_json_lines(rag(spark, d).select("row_idx", "id", "source", "title", "text", "tags"), path)
+    rows = files.read_json_lines(spark, path, files.RAG_SCHEMA)
+    return rows.select("row_idx", "id", "source", "title", F.md5("text").alias("text_md5"), F.array_join("tags", ",").alias("tags"))
+
+
+@query(S.EVAL_FILE)
+def eval_file_roundtrip(spark, d):
+    """Evaluation items written as one JSON array and read again."""
+    path = f"{scratch(spark)}/items.json"
+    rows = items(spark, d).orderBy("eval_index").select("query", "expected_substring").collect()
+    store.write_text(spark, path, "\ufeff" + json.dumps([r.asDict() for r in rows], ensure_ascii=False))
+    return files.read_eval_items(spark, path)
+
+
+@query(S.TEXT_FOLDER)
+def text_folder_roundtrip(spark, d):
+    """Documents written as a text file each and read again."""
+    path = scratch(spark)
+    rows = spread(table(spark, d, "documents")).select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("doc_file"), F.coalesce("text", F.lit("")).alias("content"))
+    files.write_documents(rows, path)
+    return files.read_documents(spark, path).select(F.md5("text").alias("text_md5"))
+
+
+@query(S.CHECKSUMS)
+def checksums(spark, d):
+    """SHA-256 of a file of each question."""
+    path = scratch(spark)
+    files.write_documents(items(spark, d).select(F.col("eval_index").cast("string").alias("doc_file"), F.col("query").alias("content")), path)
+    return files.checksums(spark, path).where("path like '%.txt'").select(F.regexp_extract("path", "doc_file=([0-9]+)", 1).cast("int").alias("eval_index"), "sha256")
+
+
+@query(S.AUDIT_FILES)
+def audit_files(spark, d):
+    """Audit samples written as a file for each group, counted as read again."""
+    path = scratch(spark)
+    files.write_audit(clean.audit_samples(_cleaned(spark, d, "rag"), "rag", ["title", "text"]), path)
+    return spark.read.json(path).groupBy("status", "source_slug", "category_slug").agg(F.count("*").alias("n"))
+
+
+@query(S.LEGACY)
+def legacy_chunks(spark, d):
+    """Bare texts as chunk records with defaults."""
+    rows = spread(table(spark, d, "documents")).select(F.col("doc_id").alias("idx"), "text")
+    return files.chunk_payload(rows).select("chunk_idx", "doc_id", "chunk_id", "start_char", "end_char")
+
+
+@query(S.HYBRID)
+def stored_search(spark, d):
+    """Both searches over an index that was written and read again."""
+    path, p = scratch(spark), passages(spark, d)
+    files.save_index(path, chunks=p, vectors=retrieval.embed(p, "chunk_idx", "text"), postings=retrieval.postings(p), statistics=retrieval.keyword_stats(p))
+    index = files.load_index(spark, path)
+    files.save_index(path, vocabulary=retrieval.vocabulary(index["postings"], index["statistics"]))
+    return pipeline.find(files.load_index(spark, path), questions(spark, d), Rag(retrieval_mode="hybrid"))
+
+
+@query(S.METRICS)
+def metrics_history(spark, d):
+    """Metrics at three depths appended to one history and read again."""
+    path, ranks = scratch(spark), cut(_ranks(spark, d))
+    for k in (3, 5, 10):
+        files.write_json_lines(evaluate.metrics(ranks, k), path, "append")
+    return spark.read.schema("top_k int, queries bigint, hits bigint, hit_rate double, mrr double").json(path)
+
+
+@query(S.LEADERBOARD)
+def leaderboard_file(spark, d):
+    """The leaderboard written as a table of text and read again."""
+    path = scratch(spark)
+    files.write_csv(leaderboard(spark, d), path)
+    return spark.read.option("header", True).schema("place int, top_k int, hit_rate double, mrr double").csv(path)
+
+
+# More of preparation
+
 @query(S.PREPARE_RAG)
 def prepare_rag(spark, d):
     """Records on topic with their normalised texts."""
@@ -103,10 +225,10 @@ def topic_filter(spark, d):
 
 @query(S.STACKED)
 def stacked_sources(spark, d):
-    """Rows per place of the stacked sources, each limited to its first row numbers."""
+    """Rows per place of the stacked sources."""
     rows = rag(spark, d).select("row_idx", F.lower(T.normalized(F.col("source"))).alias("source"))
     names = ["openassistant", "dolly", "stackoverflow", "arxiv"]
-    parts = [prepare.source_limit(rows.where(F.col("source") == n), 1_000_000) for n in names]
+    parts = [rows.where(F.col("source") == n) for n in names]
     return prepare.stacked(parts).groupBy("source_ord", "source").agg(F.count("*").alias("rows"), F.min("row_idx").alias("first_row"))
 
 
@@ -175,6 +297,12 @@ def kept_documents(spark, d):
     return found.select("doc_file", F.md5("content").alias("content_md5"))
 
 
+@query(S.KEPT_ROW_IDS)
+def kept_ids(spark, d):
+    """Ids of kept records, made up where there is none."""
+    return clean.kept(_cleaned(spark, d, "rag"), "rag").select("row_idx", "id")
+
+
 # Splits and evaluation items
 
 
@@ -242,10 +370,16 @@ def length_histogram(spark, d):
 
 @query(S.GATES)
 def eda_gates(spark, d):
-    """Shares of noise and foreign characters against their bounds."""
+    """Shares of noise, foreign characters and near duplicates against their bounds."""
     return profile.gates(rag(spark, d), "text").withColumnRenamed("rows", "n_rows")
 
 
+@query(S.NEAR_RATE)
+def near_dup_rate(spark, d):
+    """The share of near duplicates among the pairs of records at most forty places apart."""
+    return profile.near_rate(rag(spark, d), "text")
+
+
 @query(S.SIMHASH)
 def simhash(spark, d):
     """The SimHash of every record's text."""
@@ -366,6 +500,13 @@ def quality_gate(spark, d):
     return retrieval.quality_gate(_bm25(spark, d, 5), questions(spark, d), passages(spark, d), min_score=0.6, min_coverage=0.5, min_strong=2)
 
 
+@query(S.GATE_OFF)
+def quality_gate_off(spark, d):
+    """The same where the gate is turned off."""
+    found = retrieval.quality_gate(_bm25(spark, d, 5), questions(spark, d), passages(spark, d), enabled=False)
+    return found.select("qid", "sufficient", "reason", "best_score", "total_results")
+
+
 def _served(spark, d):
     indexed = cut(pipeline.numbered_chunks(documents(spark, d), 520, 80))
     return indexed, retrieval.retrieve(indexed, questions(spark, d), top_k=5, mode="hybrid", reranked=True)
@@ -431,7 +572,7 @@ def leak_rag(spark, d):
 
 @query()
 def split_integrity(spark, d):
-    """Counts of all checks: pairs and records against items, items of odd numbers against the others."""
+    """Counts of all checks: pairs and records against the items and against items made of the pairs, and these against each other."""
     e = items(spark, d)
     return integrity.split_integrity(sft(spark, d), rag(spark, d), e, split.auto_eval(sft(spark, d)).select(F.row_number().over(_by_row()).alias("eval_index"), "query", "expected_substring"))
 

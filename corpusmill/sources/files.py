@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import json
 from datetime import datetime, timezone
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import store
 
 RAG_SCHEMA = "row_idx bigint, id string, source string, title string, text string, tags array<string>"
 SFT_SCHEMA = "row_idx bigint, id string, source string, instruction string, response string"
@@ -49,6 +49,11 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     return rows
 
 
+def write_documents(files: DataFrame, path: str) -> None:
+    """Rows ``(doc_file, content)`` as text files, a folder for each; on request only, as many small files are slow to read."""
+    files.select("doc_file", "content").repartition("doc_file").write.mode("error").partitionBy("doc_file").text(path)
+
+
 def stackoverflow_items(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Records and pairs of raw questions ``(row_idx, id, title, question, answer)``; a missing title is the question."""
     title = F.when(T.normalized(F.col("title")) != "", F.col("title")).otherwise(F.col("question"))
@@ -70,9 +75,14 @@ def dolly_items(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rag, df.select("row_idx", "id", F.lit("dolly").alias("source"), asks.alias("instruction"), "response")
 
 
-def save_index(out: str, chunks: DataFrame, vectors: DataFrame, postings: DataFrame | None = None) -> None:
-    """Chunks, vectors and, for keyword search, postings as parquet tables below a folder."""
-    for name, df in (("chunks", chunks), ("vectors", vectors), ("postings", postings)):
+TABLES = ("chunks", "vectors", "postings", "vocabulary", "statistics")
+
+
+def save_index(out: str, **tables: DataFrame | None) -> None:
+    """Chunks, vectors and, for keyword search, postings, vocabulary and statistics as parquet tables below a folder."""
+    if set(tables) - set(TABLES):
+        raise ValueError(f"tables of an index are {TABLES}")
+    for name, df in tables.items():
         if df is not None:
             df.write.mode("overwrite").parquet(f"{out}/{name}")
 
@@ -80,9 +90,8 @@ def save_index(out: str, chunks: DataFrame, vectors: DataFrame, postings: DataFr
 def load_index(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """The tables below a folder that are there; nothing is computed again."""
     out = {}
-    for name in ("chunks", "vectors", "postings"):
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+    for name in TABLES:
+        if store.exists(spark, f"{folder}/{name}"):
             out[name] = spark.read.parquet(f"{folder}/{name}")
     if not {"chunks", "vectors"} <= set(out):
         raise ValueError(f"no index in {folder}")
@@ -98,6 +107,20 @@ def legacy_chunks(texts: DataFrame) -> DataFrame:
     )
 
 
+def chunk_payload(rows: DataFrame) -> DataFrame:
+    """Chunk records of a stored payload, of which columns may be missing or null: then a document of its own, no title, no neighbours, and the
+    places of the whole text. A payload needs ``idx`` and ``text``."""
+    name = F.format_string("legacy_document_%04d", F.col("idx"))
+    has = lambda c, kind: F.col(c).cast(kind) if c in rows.columns else F.lit(None).cast(kind)
+    doc = F.coalesce(has("doc_id", "string"), name)
+    return rows.select(
+        F.col("idx").alias("chunk_idx"), doc.alias("doc_id"), F.coalesce(has("source_path", "string"), doc).alias("source_path"), F.coalesce(has("source_name", "string"), doc).alias("source_name"),
+        F.coalesce(has("title", "string"), F.lit("")).alias("title"), F.coalesce(has("chunk_id", "string"), F.concat(doc, F.lit("__0000"))).alias("chunk_id"), F.coalesce("text", F.lit("")).alias("text"),
+        F.coalesce(has("start_char", "int"), F.lit(0)).alias("start_char"), F.coalesce(has("end_char", "int"), F.length(F.coalesce("text", F.lit("")))).alias("end_char"),
+        has("section", "string").alias("section"), has("prev_chunk_id", "string").alias("prev_chunk_id"), has("next_chunk_id", "string").alias("next_chunk_id"),
+    )
+
+
 def manifest(folder: str, chunk_count: int, config: dict, *, data_dir: str = "", config_path: str = "") -> dict:
     """What a served folder holds and how it may be used."""
     return {
@@ -111,17 +134,38 @@ def manifest(folder: str, chunk_count: int, config: dict, *, data_dir: str = "",
     }
 
 
-def save_json(path: str, value: dict) -> None:
-    Path(path).write_text(json.dumps(value, ensure_ascii=False, indent=2), encoding="utf-8")
-
-
-def load_json(path: str) -> dict:
-    return json.loads(Path(path).read_text(encoding="utf-8"))
+def missing_files(spark: SparkSession, folder: str) -> list[str]:
+    """Names of a served folder's parts that are not there."""
+    return [n for n in ("chunks", "vectors", "manifest.json") if not store.exists(spark, f"{folder}/{n}")]
+
+
+def snapshot(spark: SparkSession, folder: str, config: dict, *, label: str = "manual", notes: str = "", data_dir: str = "", stamp: str | None = None) -> str:
+    """Copy a served folder's parts into ``snapshots/{time}__{label}`` below it, with a record of their sizes and checksums, and point
+    ``latest_snapshot.json`` to it. Returns the new folder; missing parts, or a snapshot of that name, are an error."""
+    if lost := [n for n in missing_files(spark, folder) if n != "manifest.json"]:
+        raise FileNotFoundError(f"missing below {folder}: {lost}")
+    stamp = stamp or datetime.now(timezone.utc).strftime("%Y%m%dT%H%M%SZ")
+    safe = "".join(c if c.isalnum() or c in "-_" else "_" for c in label.strip())[:80] or "snapshot"
+    out = f"{folder}/snapshots/{stamp}__{safe}"
+    if store.exists(spark, out):
+        raise FileExistsError(out)
+    parts = [n for n in ("chunks", "vectors", "postings", "vocabulary", "statistics", "manifest.json") if store.exists(spark, f"{folder}/{n}")]
+    for name in parts:
+        store.copy(spark, f"{folder}/{name}", f"{out}/{name}")
+    sums = {}
+    for name in parts:
+        files = checksums(spark, f"{out}/{name}").where(F.col("path").rlike(r"\.(parquet|json)$")).orderBy("path")
+        rows = [r.asDict() for r in files.toLocalIterator()]  # one for each file of a table
+        sums[name] = {"path": f"{out}/{name}", "size_bytes": sum(r["length"] for r in rows), "sha256": [r["sha256"] for r in rows]}
+    sums["chunks"]["chunk_count"] = spark.read.parquet(f"{out}/chunks").count()
+    record = {"created_at_utc": stamp, "label": safe, "notes": notes, "source": {"artifacts_dir": folder, "data_dir": data_dir}, "config": config, "artifacts": sums}
+    store.write_json(spark, f"{out}/metadata.json", record)
+    store.write_json(spark, f"{folder}/latest_snapshot.json", {"snapshot_dir": out})
+    return out
 
 
-def missing_files(folder: str) -> list[str]:
-    """Names of a served folder's parts that are not there."""
-    return [n for n in ("chunks", "vectors", "manifest.json") if not (Path(folder) / n).exists()]
+def latest_snapshot(spark: SparkSession, folder: str) -> str:
+    return store.read_json(spark, f"{folder}/latest_snapshot.json")["snapshot_dir"]
 
 
 def checksums(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Whole runs over a few documents."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,7 +9,7 @@ from corpusmill.__main__ import main
 from corpusmill.config import Config, Rag, load_config
 from corpusmill.operators import evaluate
 from corpusmill.plans import pipeline
-from corpusmill.sources import files
+from corpusmill.sources import files, store
 
 TEXTS = ["# Transformers\n\nA transformer uses attention. It reads all tokens at once.", " ", "# Retrieval\n\nRetrieval grounds answers. It reduces hallucinations by evidence."]
 
@@ -27,14 +29,31 @@ def test_index_ask_and_regression(spark, tmp_path):
     said = {r.qid: r for r in pipeline.ask(index, q, config, mode="rag").collect()}
     assert said[0].grounded and "evidence" in said[0].answer and said[0].sources[0].doc_id == "document_0002_txt" and not said[1].grounded
     items = spark.createDataFrame([(1, "What reduces hallucinations?", "reduces hallucinations"), (2, "What uses attention here?", "uses attention")], "eval_index int, query string, expected_substring string")
-    ok, found = pipeline.regression_run(index, items, config.rag, None)
-    assert ok and found[0].hit_rate == 1.0
-    better = spark.createDataFrame([(1.0, 1.0)], "hit_rate double, mrr double")
-    assert pipeline.regression_run(index, items, config.rag, better)[0]
-    assert not pipeline.regression_run(index, items.withColumn("query", F.lit("x")), config.rag, None)[0]
+    code, said = pipeline.regression_run(index, {"auto": items, "manual": None}, config, {"auto": {"hit_rate": 1.0, "mrr": 1.0}}, out=f"file://{tmp_path}/runs")
+    assert code == 0 and said["runs"][0]["metrics"]["hit_rate"] == 1.0 and said["runs"][0]["metrics"]["offline_flags"].keys() == {"HF_HUB_OFFLINE", "TRANSFORMERS_OFFLINE", "HF_DATASETS_OFFLINE"}
+    low, worse = pipeline.regression_run(index, {"auto": items, "manual": items}, config, {"manual": {"hit_rate": 1.2, "mrr": 0.5}}, out=f"file://{tmp_path}/runs", tag="low")
+    assert low == 1 and worse["failure_reasons"] == ["manual: hit_rate fell by 0.200000, allowed 0.000000"] and worse["runs"][0]["note"] == "no baseline"
+    assert pipeline.regression_run(index, {"manual": items}, config, {"manual": {"hit_rate": 1.2, "mrr": 0.5}}, max_drop={"hit_rate": 0.2})[0] == 0
+    bad, why = pipeline.regression_run(index, {"auto": items.withColumn("query", F.lit("x"))}, config, required=("auto", "manual"))
+    assert bad == 1 and not why["runs"] and why["failure_reasons"] == ["item set not found: manual", "item set has errors: auto"]
+    history = [json.loads(x) for x in store.read_text(spark, f"file://{tmp_path}/runs/history.jsonl").splitlines()]
+    assert [h["overall_passed"] for h in history] == [True, False] and "failure: manual" in store.read_text(spark, f"file://{tmp_path}/runs/{history[1]['run_tag']}/summary.md")
     board = pipeline.ablation(docs, items, evaluate.variants(spark, ["vector", "hybrid"], [60, 80], [0], [1, 2])).collect()
     assert sorted(r.place for r in board) == list(range(1, 9)) and len({r.queries for r in board}) == 1
-    assert pipeline.serving_summary(out)["manifest_available"] and "reembed" in pipeline.serving_summary(str(tmp_path))["forbidden_steps"]
+    grid = evaluate.variants(spark, ["vector"], [60, 80], [0], [1, 2])
+    assert pipeline.ablation(docs, items, grid, max_runs=1).count() == 1 and pipeline.ablation(docs, items, grid, max_runs=3, dry_run=True).count() == 3
+    assert pipeline.serving_summary(spark, out)["schema_version"] == "1.0"
+    bare = pipeline.serving_summary(spark, str(tmp_path))
+    assert bare["schema_version"] == "legacy" and not bare["manifest_available"] and "reembed" in bare["forbidden_steps"]
+    made = files.snapshot(spark, out, {"top_k": 2}, label="first try!", stamp="20260101T000000Z")
+    assert made.endswith("snapshots/20260101T000000Z__first_try_") and files.latest_snapshot(spark, out) == made
+    record = store.read_json(spark, f"{made}/metadata.json")
+    assert record["artifacts"]["chunks"]["chunk_count"] == n and set(record["artifacts"]) == {"chunks", "vectors", "postings", "vocabulary", "statistics", "manifest.json"}
+    assert files.load_index(spark, made)["chunks"].count() == n and len(record["artifacts"]["chunks"]["sha256"][0]) == 64
+    with pytest.raises(FileExistsError):
+        files.snapshot(spark, out, {}, label="first try!", stamp="20260101T000000Z")
+    with pytest.raises(FileNotFoundError):
+        files.snapshot(spark, str(tmp_path), {})
     with pytest.raises(ValueError):
         pipeline.build_index(docs.limit(0), config, str(tmp_path / "none"))
 

@@ -154,11 +154,11 @@ def test_files(spark, tmp_path):
     files.write_json_lines(rows, str(tmp_path / "out"))
     assert files.read_json_lines(spark, str(tmp_path / "out"), "row_idx bigint, id string, source string").first().id == "é"
     c = chunks(spark, ["a"])
-    files.save_index(str(tmp_path / "ix"), c, retrieval.embed(c, "chunk_idx", "text"))
+    files.save_index(str(tmp_path / "ix"), chunks=c, vectors=retrieval.embed(c, "chunk_idx", "text"))
     assert set(files.load_index(spark, str(tmp_path / "ix"))) == {"chunks", "vectors"}
     with pytest.raises(ValueError):
         files.load_index(spark, str(tmp_path / "none"))
-    assert files.missing_files(str(tmp_path / "ix")) == ["manifest.json"]
+    assert files.missing_files(spark, str(tmp_path / "ix")) == ["manifest.json"]
     assert files.checksums(spark, str(tmp_path / "docs")).count() == 4
     assert files.legacy_chunks(spark.createDataFrame([(3, "x")], "idx int, text string")).first().chunk_id == "legacy_document_0003__0000"
 
@@ -171,3 +171,38 @@ def test_stream_of_questions(spark, tmp_path):
     stream = spark.readStream.schema("qid bigint, query string").parquet(str(tmp_path / "in"))
     answer_stream(stream, lambda b: retrieval.retrieve(c, b, top_k=1), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert {(r.qid, r.chunk_idx) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {(0, 0), (1, 1)}
+
+
+def test_both_ways_of_bm25_agree(spark):
+    texts = ["apples and pears and plums", "rockets and planes", "pears", "", None, "the plums of the pears"]
+    c = spark.createDataFrame([(i, "", None, t) for i, t in enumerate(texts)], "chunk_idx bigint, title string, section string, text string")
+    q = queries(spark, "pears and plums", "rockets", "nothing here", "")
+    p, s = retrieval.postings(c), retrieval.keyword_stats(c)
+    truth = sorted(map(tuple, retrieval.bm25(p, s, q, 3).collect()))
+    assert truth and truth == sorted(map(tuple, retrieval.bm25_scan(c, q, 3).collect()))
+    assert truth == sorted(map(tuple, retrieval.bm25(p, s, q, 3, words=retrieval.vocabulary(p, s), block=2).collect())) == sorted(map(tuple, retrieval.bm25_scan(c, q, 3, block=1).collect()))
+    assert retrieval.bm25_scan(c.limit(0), q, 3).count() == 0 and retrieval.bm25_scan(c, q.limit(0), 3).count() == 0
+
+
+def test_chunk_payload(spark):
+    rows = files.chunk_payload(spark.createDataFrame([(0, "ab", "d1", None), (1, None, None, 5)], "idx int, text string, doc_id string, start_char int")).orderBy("chunk_idx").collect()
+    assert (rows[0].doc_id, rows[0].chunk_id, rows[0].end_char, rows[0].title) == ("d1", "d1__0000", 2, "") and (rows[1].source_name, rows[1].start_char, rows[1].text) == ("legacy_document_0001", 5, "")
+
+
+def test_generator_gets_whole_batches(spark):
+    sizes = spark.sparkContext.accumulator(0)
+
+    def generate(prompts):
+        sizes.add(1)
+        if any("Bad" in p for p in prompts):
+            raise RuntimeError("no")
+        return ["[ASSISTANT] fine" for _ in prompts]
+
+    def ask(*texts):
+        q = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "qid bigint, query string").coalesce(1)
+        gate = q.select("qid", F.lit(True).alias("sufficient"), F.lit("").alias("reason"))
+        return {r.qid: (r.answer, r.rag_error) for r in context.answers(spark.createDataFrame([], context.BLOCK_SCHEMA), gate, q, mode="rag", generate=generate).collect()}
+
+    assert ask("a", "b", "c") == {i: ("fine", None) for i in range(3)}
+    found = ask("a", "Bad")
+    assert found[0] == ("fine", None) and found[1][1] == "no"
