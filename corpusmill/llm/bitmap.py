@@ -33,11 +33,11 @@ class Bits:
         return self.levels(keys) > 0
 
 
-def bitmap(keys: DataFrame, number: int, *, planes: int = 1, most: int = MOST) -> Bits:
+def bitmap(keys: DataFrame, number: int, *, planes: int = 1, most: int | None = None) -> Bits:
     """The bitmap of ``keys(key bigint[, level])``, of which there are ``number`` at most. Keys are evenly spread in their lower bits, as hashes are;
     null keys are left out, of several levels on one place the highest counts. A row for each 64 places reaches the driver."""
     size = 64
-    while size < min(most // planes, ROOM * max(1, number)):
+    while size < min((most or MOST) // planes, ROOM * max(1, number)):
         size *= 2
     level = F.col("level").cast("int") if "level" in keys.columns else F.lit(1)
     spots = keys.where("key is not null").select(F.expr(f"key & {size - 1}L").alias("spot"), level.alias("level")).groupBy("spot").agg(F.max("level").alias("level"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from .endings import KEYS, Endings, Tokens, odds_of
 from .languages import LanguageModel
 from .text_kinds import Statistics
 from .truncation import OMITTED_PRIOR, PRIOR, TORN_PRIOR
-from .words import word_list, words
+from .words import WORD, word_list, words
 
 #: Answers that stand for none, as words without marks; a fixed list.
 PLACEHOLDERS = {
@@ -49,12 +50,12 @@ def opening(text: str, known: Callable[[str], bool] = str.isalpha) -> list[str]:
     capitalised words inside and a first word that is not ``known``."""
     found: list[str] = []
     for sentence in SENTENCE.finditer(text):
-        found += re.findall(r"[^\W_]+", sentence.group())
+        found += [m.group() for m in islice(WORD.finditer(sentence.group()), OPENING + 4)]
         if len(found) > 2:
             break
     found = found[: OPENING + 4]
     named = sum(w[0].isupper() for w in found) <= 0.5 * len(found)
-    out = ["0" if any(c.isdigit() for c in w) else "*" if (named and w[0].isupper() and len(w) > 2 if i else not known(w.lower())) else w.lower() for i, w in enumerate(found)]
+    out = ["0" if not w.isalpha() and any(c.isdigit() for c in w) else "*" if (named and w[0].isupper() and len(w) > 2 if i else not known(w.lower())) else w.lower() for i, w in enumerate(found)]
     return [w for w, before in zip(out, ["", *out]) if not (w == before and w in "*0")][:OPENING]
 
 

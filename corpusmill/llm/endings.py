@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,10 @@ TORN = re.compile(r"\s*(?:&[#\w]{0,7}|</?\w*|\[\w{0,9}|\[(?:truncated|cut|more)\
 OMITTED = re.compile(r"\s*(?:\.{3,}|…|\[\s*(?:\.{3}|…)\s*\]|\((?:more|cont\w*)\.?\))\s*$")
 #: What may follow a whole sentence instead of its mark, or after it.
 REMARK = re.compile(r"\s*(?:\([^()\n]{1,20}\)|[:;]-?[)(DP]|\"[^\"\n]{1,24}\"|“[^”\n]{1,24}”)\s*$")
-DONE = re.compile(r"[.!?][\"'”»)\]*_\s]*$")
+CLOSING, FINALS = "\"'”»)]*_ \t\n\r\f\v", (".", "!", "?")
+CELLS = re.compile(r"[^\s,;][,;][^\s,;]+[,;][^\s,;]")
+#: Characters at the end in which what may follow a cut or a sentence is looked for.
+LONGEST = 200
 NOTE = re.compile(r"^\s*(?:\[\d+\]\s|--+\s*\S|—\s*\S|(?:see also|source|note|via|tags?|ref)\s*:|```|>\s)", re.I)
 TAIL = 240
 WORD, CAPITAL, DIGITS, FINAL, OTHER = range(5)
@@ -34,19 +38,19 @@ AVERAGE = 1 / 14
 
 
 class Tokens(dict):
-    """token -> (hash, kind); forgets everything beyond ``most`` tokens."""
+    """token -> hash, whose last three bits are its kind; forgets everything beyond ``most`` tokens."""
 
     def __init__(self, most: int = 400_000):
         self.most = most
 
-    def __missing__(self, token: str) -> tuple[int, int]:
+    def __missing__(self, token: str) -> int:
         if len(self) >= self.most:
             self.clear()
         if token[0].isalnum():
-            kind = DIGITS if any(c.isdigit() for c in token) else CAPITAL if token[0].isupper() else WORD
+            kind = DIGITS if not token.isalpha() and any(c.isdigit() for c in token) else CAPITAL if token[0].isupper() else WORD
         else:
             kind = FINAL if token[0] in ".!?;…" else OTHER
-        out = self[token] = (xxhash.xxh3_64_intdigest(token.lower()), kind)
+        out = self[token] = xxhash.xxh3_64_intdigest(token.lower()) & ~7 | kind
         return out
 
 
@@ -57,9 +61,9 @@ def contexts(lists: list[list[str]], memo: Tokens) -> tuple[np.ndarray, np.ndarr
     text are capitalised.
     """
     n = np.fromiter(map(len, lists), np.int64, len(lists))
-    pairs = [memo[t] for own in lists for t in own]
-    h = np.array([p[0] for p in pairs], np.uint64)
-    kind = np.array([p[1] for p in pairs], np.int8)
+    h = np.fromiter(map(memo.__getitem__, chain.from_iterable(lists)), np.uint64, int(n.sum()))
+    kind = (h & np.uint64(7)).astype(np.int8)
+    h &= ~np.uint64(7)
     doc = np.repeat(np.arange(len(lists)), n)
     capital = np.bincount(doc, kind == CAPITAL, len(lists)) > 0.5 * np.bincount(doc, kind <= CAPITAL, len(lists))
     before = np.r_[FINAL, kind[:-1]]
@@ -77,14 +81,20 @@ def contexts(lists: list[list[str]], memo: Tokens) -> tuple[np.ndarray, np.ndarr
     return doc, kind, h, np.stack(keys) if len(h) else np.zeros((len(LENGTHS), 0), np.uint64)
 
 
+def done(text: str) -> bool:
+    """Whether a text ends in a mark that ends a sentence, with closing marks behind it at most."""
+    return text.rstrip(CLOSING)[-1:] in FINALS
+
+
 def ending(text: str) -> tuple[str, str | None, str]:
     """(state, mark, text up to the cut). The state is done, listed (an item, row, code, signature or note) or open;
     the mark is torn if something stands behind that only stands behind cuts, omitted for an ellipsis."""
     torn = False
-    if m := TORN.search(text):
+    text = text.rstrip()
+    if m := TORN.search(text, max(0, len(text) - LONGEST)):
         if not (m.group().strip().startswith("[") and len(m.group().strip()) > 1 and not re.match(r"\[(?:t|c|m)", m.group().strip())):
             text, torn = text[: m.start()], True
-    omitted = OMITTED.search(text)
+    omitted = OMITTED.search(text, max(0, len(text) - LONGEST))
     if omitted:
         text = text[: omitted.start()]
     text = text.rstrip()
@@ -93,21 +103,21 @@ def ending(text: str) -> tuple[str, str | None, str]:
     if not line:
         return "done", None, text
     tokens = line.split()
-    cells = sum(bool(CELL.match(t)) for t in tokens) >= max(1, 0.5 * len(tokens))
-    if line.count("|") >= 2 or "\t" in line or cells or len(re.findall(r"\S {2,}\S", line)) >= 2 or NOTE.match(line):
+    cells = bool(CELLS.search(line)) and sum(bool(CELL.match(t)) for t in tokens) >= max(1, 0.5 * len(tokens))
+    if line.count("|") >= 2 or "\t" in line or cells or "  " in line and len(re.findall(r"\S {2,}\S", line)) >= 2 or NOTE.match(line):
         return "listed", None, text
     if MARKER.match(line) and len(tokens) <= 14:
         return "listed", None, text
     if text.endswith("`") or text.count("```") % 2 or re.search(r"[{}();=]\s*$", line) and "```" in text[-400:]:
         return "listed", None, text
-    if DONE.search(text) and not (torn or omitted):
+    if done(text) and not (torn or omitted):
         return "done", None, text
-    if m := REMARK.search(text):
+    if m := REMARK.search(text, max(0, len(text) - LONGEST)):
         rest = text[: m.start()].rstrip()
-        if DONE.search(rest):
+        if done(rest):
             return "done", None, text
         text = rest
-    if DONE.search(text):
+    if done(text):
         return "done", None, text
     return "open", "torn" if torn else "omitted" if omitted else None, text
 

@@ -53,11 +53,14 @@ def format_copies(df: DataFrame, *, plain: list[str] = [], fielded: list[str], r
 def format_copy_rows(df: DataFrame, *, plain: list[str] = [], fielded: list[str], row_id: str = "row_idx") -> DataFrame:  # noqa: B006
     """``(kept_row_idx, copy_row_idx)``: one row for each row of a group of ``format_copies`` but the kept one.
 
-    The groups come from the same two collapses; a group without further copies writes none.
+    The groups come from the same two collapses; a group without further copies writes none. A group of many variants, or a row of many copies, is met
+    where it lies.
     """
     raw, keyed = _survivors(df, plain, fielded, row_id)
-    group = keyed.groupBy("key").agg(F.min("first_row").alias("kept_row_idx"), F.sum("rows").alias("copies")).where("copies > 1")
+    group = keyed.groupBy("key").agg(F.min("first_row").alias("kept_row_idx"), F.sum("rows").alias("copies"), F.count("*").alias("variants")).where("copies > 1")
     short = F.unhex(F.md5("key")).alias("key")  # the groups are of whole texts; only their way back to the rows is by digest
-    kept = cut(keyed.select(short, "digest", "rows").join(group.select(short, "kept_row_idx"), "key").select("digest", "kept_row_idx", "rows"))
-    joined = join_hot(raw, kept, ["digest"], size="rows", total=df.count())
+    total = df.count()
+    groups = cut(group.select(short, "kept_row_idx", "variants"))
+    kept = cut(join_hot(keyed.select(short, "digest", "rows"), groups, ["key"], size="variants", total=total).select("digest", "kept_row_idx", "rows"))
+    joined = join_hot(raw, kept, ["digest"], size="rows", total=total)
     return joined.where("row_idx <> kept_row_idx").select("kept_row_idx", F.col("row_idx").alias("copy_row_idx"))

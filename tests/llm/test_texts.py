@@ -228,6 +228,28 @@ def test_bitmap(spark):
     assert set(levels.levels(own)) == {5, 7} and bitmap(spark.createDataFrame([(None,)], "key bigint"), 1).levels(own).sum() == 0
 
 
+def test_full_bitmaps_change_nothing(spark, monkeypatch):
+    from corpusmill.llm import bitmap as module
+    from corpusmill.llm.near_duplicates import near_duplicate_pairs
+    from corpusmill.llm.split_overlap import split_overlap_pairs
+
+    rng = random.Random(4)
+    say = lambda n: " ".join(f"w{rng.randrange(300)}" for _ in range(n))
+    texts = [say(40) + rng.choice([".", "", " and th"]) for _ in range(60)]
+    rows = [(i, t, "train" if i < 60 else "eval") for i, t in enumerate(texts + [t + " more of it" for t in texts[:30]])]
+    df = spark.createDataFrame(rows, "row_idx bigint, text string, split string")
+
+    def found():
+        pairs = {tuple(r) for r in near_duplicate_pairs(df, F.col("text"), width=3, least=0.6, bags=False).collect()}
+        across = {tuple(r) for r in split_overlap_pairs(df, F.col("text"), F.col("split") == "train", width=3, least=0.6).collect()}
+        ends = {(r.id, r.mark, round(r.odds, 9)) for r in open_endings(df.select(F.col("row_idx").alias("id"), "text")).collect()}
+        return pairs, across, ends
+
+    sized = found()
+    monkeypatch.setattr(module, "MOST", 64)
+    assert sized == found() and all(sized)
+
+
 def test_endings():
     assert ending("All is done.")[0] == "done" and ending("All is done. (end)")[0] == "done" and ending("It is done [trunc")[:2] == ("open", "torn")
     assert ending("and then he said...")[:2] == ("open", "omitted") and ending("text\n\n- an item")[0] == "listed" and ending("text\n\n-- the group")[0] == "listed"
