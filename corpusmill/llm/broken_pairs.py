@@ -64,7 +64,7 @@ def copies(instruction: list[str], response: list[str]) -> bool:
     if len(response) < 3 or not instruction:
         return response == instruction and len(response) > 0
     known = set(instruction)
-    if sum(w in known for w in response) < 0.8 * len(response):  # then fewer pairs than that are shared as well
+    if sum(map(known.__contains__, response)) < 0.8 * len(response):  # then fewer pairs than that are shared as well
         return False
     a, b = Counter(zip(instruction, instruction[1:])), Counter(zip(response, response[1:]))
     shared = sum((a & b).values())

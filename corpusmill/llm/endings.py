@@ -91,10 +91,10 @@ def ending(text: str) -> tuple[str, str | None, str]:
     the mark is torn if something stands behind that only stands behind cuts, omitted for an ellipsis."""
     torn = False
     text = text.rstrip()
-    if m := TORN.search(text, max(0, len(text) - LONGEST)):
+    if any(c in text[-LONGEST:] for c in "&<[\ufffd") and (m := TORN.search(text, max(0, len(text) - LONGEST))):
         if not (m.group().strip().startswith("[") and len(m.group().strip()) > 1 and not re.match(r"\[(?:t|c|m)", m.group().strip())):
             text, torn = text[: m.start()], True
-    omitted = OMITTED.search(text, max(0, len(text) - LONGEST))
+    omitted = text[-1:] in (".", "…", "]", ")") and OMITTED.search(text, max(0, len(text) - LONGEST))
     if omitted:
         text = text[: omitted.start()]
     text = text.rstrip()
@@ -112,7 +112,7 @@ def ending(text: str) -> tuple[str, str | None, str]:
         return "listed", None, text
     if done(text) and not (torn or omitted):
         return "done", None, text
-    if m := REMARK.search(text, max(0, len(text) - LONGEST)):
+    if text[-1:] in (")", "(", "D", "P", '"', "”") and (m := REMARK.search(text, max(0, len(text) - LONGEST))):
         rest = text[: m.start()].rstrip()
         if done(rest):
             return "done", None, text

@@ -80,7 +80,7 @@ class LanguageModel:
         """Whether the words of two texts speak clearly, and for the same language: ``least`` different words or more, and thrice as many as for any other."""
         best = []
         for own in (one, two):
-            votes = Counter(self.lead[w] for w in {*own} if w in self.lead).most_common(2)
+            votes = Counter(map(self.lead.__getitem__, self.lead.keys() & {*own})).most_common(2)
             if not votes or votes[0][1] < least or len(votes) > 1 and votes[0][1] < 3 * votes[1][1]:
                 return False
             best.append(votes[0][0])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -60,12 +61,12 @@ class OpenBins:
         return bin_
 
 
-def _pack(capacities: list[tuple[int, int]], path: str, most: int):
+def _pack(capacities: list[tuple[int, int]], name: str, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+        from pyspark import SparkFiles, TaskContext
 
         task = TaskContext.get().partitionId()
-        tokens = encoding(path)
+        tokens = encoding(SparkFiles.get(name))
         bins = [(i, c, OpenBins(c, most)) for i, c in capacities]
         for batch in batches:
             rows = tuple([] for _ in range(6))
@@ -90,7 +91,8 @@ def pack(
     Bounded-space online best fit within each task: at most ``most`` bins are open, an item goes to the open bin it
     fills best, and if a new one is needed and none may be opened the fullest closes first. An item above the capacity
     is divided into full containers and a rest that is packed like any other; no other is divided. Items are read
-    once, in the tables' order, without a shuffle; each task leaves its last open bins as they are. Null and empty
+    once, in the tables' order, without a shuffle; each task leaves its last open bins as they are, so containers depend on how the table is divided.
+    The tokenizer's file is read by the driver, and sent to all executors. Null and empty
     texts have no tokens and still get a container. ``capacities`` holds a row for each size (``capacity_id``,
     ``capacity_tokens``), of which there are at most a thousand; sizes below one token are an error.
     """
@@ -99,7 +101,8 @@ def pack(
         raise ValueError("capacities must be positive, and at most a thousand")
     source = spread(items.select(F.col(item_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")))
     schema = "capacity_id int, container bigint, doc_id bigint, part int, start_token int, tokens int"
-    return source.mapInArrow(_pack(sizes, tokenizer, most), schema)
+    items.sparkSession.sparkContext.addFile(tokenizer)
+    return source.mapInArrow(_pack(sizes, os.path.basename(tokenizer), most), schema)
 
 
 def packing_report(packed: DataFrame, capacities: DataFrame) -> DataFrame:
