@@ -45,6 +45,25 @@ def metrics(ranks: DataFrame, k: int) -> DataFrame:
     return rows.select(F.lit(k).alias("top_k"), "queries", "hits", F.round("rate", 6).alias("hit_rate"), F.round("reciprocal", 6).alias("mrr"))
 
 
+def names_of(text: str, what: str) -> list[str]:
+    """The distinct items of a comma-separated list, in order; an empty list is an error."""
+    out = list(dict.fromkeys(x for x in (part.strip() for part in text.split(",")) if x))
+    if not out:
+        raise ValueError(f"{what} must not be empty")
+    return out
+
+
+def numbers_of(text: str, what: str, *, least: int = 1) -> list[int]:
+    """The same of whole numbers, none of them below ``least``."""
+    try:
+        out = list(dict.fromkeys(map(int, names_of(text, what))))
+    except ValueError as e:
+        raise ValueError(f"{what} must hold whole numbers: {text!r}") from e
+    if min(out) < least:
+        raise ValueError(f"{what} must be {least} or more: {min(out)}")
+    return out
+
+
 def variants(spark, modes: list[str], sizes: list[int], overlaps: list[int], ks: list[int]) -> DataFrame:
     """``(ordinal, retrieval_mode, chunk_size, chunk_overlap, top_k)``: all combinations whose overlap is below the size, in
     the order mode, size, overlap, k."""

@@ -178,6 +178,19 @@ def regression_markdown(summary: dict) -> str:
     return "\n".join(lines).strip() + "\n"
 
 
+def write_splits(assigned: DataFrame, out: str, *, seed: int = 42) -> dict:
+    """Write the selected rows of each split as JSON lines below ``out``, and a summary of rows per split, source and bucket, which is returned."""
+    spark, folders = assigned.sparkSession, {"train": "sft_train", "dev": "sft_dev", "eval": "sft_eval_holdout"}
+    assigned = cut(assigned)
+    for name, folder in folders.items():
+        files.write_json_lines(assigned.where((F.col("split") == name) & F.col("selected")).drop("selected"), f"{out}/{folder}", "overwrite")
+    counts = [r.asDict() for r in split.split_summary(assigned).orderBy("split", "source", "quality_bucket").toLocalIterator()]
+    totals = {n: sum(r["selected_rows"] for r in counts if r["split"] == n) for n in folders}
+    summary = {"seed": seed, "rows": sum(r["rows"] for r in counts), "selected": totals, "paths": {n: f"{out}/{f}" for n, f in folders.items()}, "strata": counts}
+    store.write_json(spark, f"{out}/split_summary.json", summary)
+    return summary
+
+
 def prepare(spark: SparkSession, rag: DataFrame, sft: DataFrame, config: Config, out: str, stages: tuple[str, ...] = STAGES) -> dict[str, int]:
     """Clean, split, make evaluation items and index, each stage a table below ``out``; the number of rows of each."""
     done: dict[str, int] = {}
@@ -192,7 +205,9 @@ def prepare(spark: SparkSession, rag: DataFrame, sft: DataFrame, config: Config,
         write("rag_clean", clean.kept(clean.clean_rag(rag), "rag"))
         write("sft_clean", clean.kept(clean.clean_sft(sft), "sft"))
     if "split" in stages:
-        write("sft_splits", split.assign_splits(spark.read.parquet(f"{out}/sft_clean"), seed=config.project.seed).where("selected").drop("selected"))
+        assigned = cut(split.assign_splits(spark.read.parquet(f"{out}/sft_clean"), seed=config.project.seed))
+        write_splits(assigned, f"{out}/splits", seed=config.project.seed)
+        write("sft_splits", assigned.where("selected").drop("selected"))
     if "eval" in stages:
         write("eval_items", split.auto_eval(spark.read.parquet(f"{out}/sft_splits").where("split = 'eval'"), seed=config.project.seed))
     if "index" in stages:

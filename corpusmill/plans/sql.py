@@ -205,6 +205,7 @@ s AS (SELECT row_idx, id, source, bucket, CASE WHEN pos <= t THEN 'train' WHEN p
 u AS (SELECT *, row_number() OVER (PARTITION BY split, bucket ORDER BY {_DIGEST}, row_idx) AS pos, count(*) OVER (PARTITION BY split, bucket) AS total FROM s),
 v AS (SELECT row_idx, split, source, bucket, pos <= round_even(total * {_RATES}, 0)::BIGINT AS selected FROM u)"""
 SPLIT_ROWS = f"WITH {_SFT}, {_SPLITS} SELECT row_idx, split, selected FROM v"
+SPLIT_FILES = f"WITH {_SFT}, {_SPLITS} SELECT row_idx, split FROM v WHERE selected"
 SPLIT_COUNTS = f"WITH {_SFT}, {_SPLITS} SELECT split, source, bucket AS quality_bucket, count(*) AS n_rows, sum(selected::INT)::BIGINT AS selected_rows FROM v GROUP BY ALL"
 AUTO_EVAL = f"""SELECT row_idx, query, expected_substring FROM (SELECT row_idx, query, t, {_SNIP} AS expected_substring FROM ({_snip_rows(norm('instruction') + " AS query, split,")}) WHERE split = 'eval')
 WHERE length(query) >= 20 AND length(t) >= 80 AND length(expected_substring) >= 30 ORDER BY md5('42:' || row_idx::VARCHAR), row_idx LIMIT 200"""

@@ -162,9 +162,17 @@ def checksums(spark, d):
 @query(S.AUDIT_FILES)
 def audit_files(spark, d):
     """Audit samples written as a file for each group, counted as read again."""
+    found = files.write_audit(clean.audit_samples(_cleaned(spark, d, "rag"), "rag", ["title", "text"]), scratch(spark))
+    return found.select("status", T.bucket_name(F.col("source")).alias("source_slug"), T.bucket_name(F.col("category")).alias("category_slug"), F.col("sample_count").alias("n"))
+
+
+@query(S.SPLIT_FILES)
+def split_files(spark, d):
+    """The kept pairs of each split, written as JSON lines and read again."""
     path = scratch(spark)
-    files.write_audit(clean.audit_samples(_cleaned(spark, d, "rag"), "rag", ["title", "text"]), path)
-    return spark.read.json(path).groupBy("status", "source_slug", "category_slug").agg(F.count("*").alias("n"))
+    pipeline.write_splits(_assigned(spark, d), path)
+    parts = [files.read_json_lines(spark, f"{path}/{f}", "row_idx bigint, split string") for f in ("sft_train", "sft_dev", "sft_eval_holdout")]
+    return reduce(DataFrame.unionByName, parts).select("row_idx", "split")
 
 
 @query(S.LEGACY)
@@ -606,7 +614,8 @@ def hit_rate_mrr(spark, d):
 @query(S.ABLATION)
 def ablation_grid(spark, d):
     """All variants of a grid of parameters."""
-    return evaluate.variants(spark, ["vector", "hybrid"], [420, 520, 700], [40, 80, 520], [3, 5, 8])
+    sizes, overlaps, ks = (evaluate.numbers_of(x, "numbers", least=0) for x in ("420,520, 700,420", "40,80,520", "3,5,8,"))
+    return evaluate.variants(spark, evaluate.names_of("vector, hybrid", "modes"), sizes, overlaps, ks)
 
 
 @query(S.LEADERBOARD)

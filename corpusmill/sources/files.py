@@ -139,6 +139,18 @@ def missing_files(spark: SparkSession, folder: str) -> list[str]:
     return [n for n in ("chunks", "vectors", "manifest.json") if not store.exists(spark, f"{folder}/{n}")]
 
 
+def validated(spark: SparkSession, folder: str) -> dict:
+    """What a served folder holds and allows; one that lacks a part is an error."""
+    if lost := missing_files(spark, folder):
+        raise FileNotFoundError(f"missing below {folder}: {lost}")
+    found = store.read_json(spark, f"{folder}/manifest.json")
+    steps = found.get("online_pipeline", {})
+    return {
+        "artifacts_dir": folder, "index_exists": True, "chunks_exists": True, "manifest_exists": True, "chunk_count": found.get("artifacts", {}).get("chunk_count", 0),
+        "generator_loading": steps.get("generator_loading", ""), "allowed_steps": steps.get("allowed_steps", []), "forbidden_steps": steps.get("forbidden_steps", []),
+    }
+
+
 def snapshot(spark: SparkSession, folder: str, config: dict, *, label: str = "manual", notes: str = "", data_dir: str = "", stamp: str | None = None) -> str:
     """Copy a served folder's parts into ``snapshots/{time}__{label}`` below it, with a record of their sizes and checksums, and point
     ``latest_snapshot.json`` to it. Returns the new folder; missing parts, or a snapshot of that name, are an error."""
@@ -174,10 +186,19 @@ def checksums(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
-def write_audit(samples: DataFrame, path: str) -> None:
-    """Audit samples as JSON lines, a folder for each dataset, status, source and category."""
+def write_audit(samples: DataFrame, path: str) -> DataFrame:
+    """Write audit samples as JSON lines, a folder for each dataset, status, source and category; returns, for each folder, ``(dataset_type, status,
+    source, category, path, sample_count)``, which is also written as ``_manifest.json``."""
+    keys = ["dataset_type", "status", "source_slug", "category_slug"]
     named = samples.withColumn("source_slug", T.bucket_name(F.col("source"))).withColumn("category_slug", T.bucket_name(F.col("category")))
-    named.write.mode("overwrite").partitionBy("dataset_type", "status", "source_slug", "category_slug").json(path)
+    named.write.mode("overwrite").partitionBy(*keys).json(path)
+    spark = samples.sparkSession
+    place = F.concat_ws("/", F.lit(path), *(F.concat(F.lit(f"{k}="), F.col(k)) for k in keys))
+    groups = spark.read.json(path).groupBy(*keys).agg(F.min("source").alias("source"), F.min("category").alias("category"), F.count("*").alias("sample_count"))
+    listed = groups.select("dataset_type", "status", "source", "category", place.alias("path"), "sample_count")
+    rows = [r.asDict() for r in listed.orderBy("path").toLocalIterator()]  # one for each group
+    store.write_json(spark, f"{path}/_manifest.json", {"file_count": len(rows), "files": rows})
+    return listed
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -62,6 +62,8 @@ def test_prepare(spark, tmp_path):
     rag = spark.createDataFrame([(i, None, "dolly", f"Title of record {i}", f"Record {i} says that the model reads all of its passages in order, because it was built for that purpose.", None) for i in range(12)], "row_idx bigint, id string, source string, title string, text string, tags array<string>")
     sft = spark.createDataFrame([(i, None, "dolly", f"Explain in a few words what record {i} says.", f"It says that model {i} reads all of its passages in order, because it was built for that very purpose.") for i in range(30)], "row_idx bigint, id string, source string, instruction string, response string")
     done = pipeline.prepare(spark, rag, sft, Config(), str(tmp_path))
+    said = store.read_json(spark, f"{tmp_path}/splits/split_summary.json")
+    assert sum(said["selected"].values()) == done["sft_splits"] and said["rows"] == 30
     assert done["rag_clean"] == 12 and done["sft_clean"] == 30 and 0 < done["sft_splits"] <= 30 and done["eval_items"] >= 1 and done["chunks"] >= 12
 
 
@@ -75,3 +77,17 @@ def test_command_line_and_config(spark, tmp_path, capsys):
     assert main(["index", "--data-dir", str(tmp_path / "docs"), "--artifacts-dir", str(tmp_path / "ix")]) == 0
     assert main(["ask", "What grounds answers?", "--artifacts-dir", str(tmp_path / "ix"), "--show-contexts"]) == 0
     assert "Retrieval grounds answers" in capsys.readouterr().out
+    assert main(["validate", "--artifacts-dir", str(tmp_path / "ix")]) == 0 and '"chunk_count"' in capsys.readouterr().out
+    assert main(["snapshot", "--artifacts-dir", str(tmp_path / "ix"), "--label", "a"]) == 0
+    (tmp_path / "items.json").write_text(json.dumps([{"query": "What grounds answers?", "expected_substring": "grounds answers"}]))
+    assert main(["regression", "--artifacts-dir", str(tmp_path / "ix"), "--items", f"auto={tmp_path}/items.json"]) == 0
+    assert main(["regression", "--artifacts-dir", str(tmp_path / "ix")]) == 1
+    with pytest.raises(FileNotFoundError):
+        files.validated(spark, str(tmp_path))
+
+
+def test_lists_of_parameters():
+    assert evaluate.numbers_of("3, 5,3,8", "k") == [3, 5, 8] and evaluate.names_of(" a,b ,,a", "m") == ["a", "b"]
+    for bad in ("", "x", "0"):
+        with pytest.raises(ValueError):
+            evaluate.numbers_of(bad, "k")
