@@ -192,20 +192,16 @@ class LanguageModel:
         post = np.where(norm > 0, post / np.maximum(norm, 1e-300), allowed[of] / allowed[of].sum(axis=1, keepdims=True))
         lang = post.argmax(axis=1)
         evidence = np.bincount(of, np.where(seen, -like.min(axis=1), 0), d)
+        code = np.where(evidence[of] > 3, lang, -1)
+        sure = np.where(code >= 0, post[np.arange(len(of)), lang], 0.0) * words
         out: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
-        weighed: list[list[float]] = [[] for _ in texts]
-        for i in range(len(of)):
-            t, w = of[i], int(words[i])
-            code = int(lang[i]) if evidence[t] > 3 else -1
-            sure = float(post[i, lang[i]]) if code >= 0 else 0.0
+        # neighbours of one language and text become one segment
+        start = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (code[1:] != code[:-1])])
+        count, weighed = np.add.reduceat(words, start), np.add.reduceat(sure, start)
+        for t, c, w, x in zip(of[start].tolist(), code[start].tolist(), count.tolist(), (weighed / count).tolist()):
             own = out[t]
-            if own and own[-1][2] == code:
-                weighed[t][-1] += sure * w
-                own[-1] = (own[-1][0], own[-1][1] + w, code, 0.0)
-            else:
-                own.append((own[-1][0] + own[-1][1] if own else 0, w, code, 0.0))
-                weighed[t].append(sure * w)
-        return [[(a, w, c, x / w) for (a, w, c, _), x in zip(own, ws)] for own, ws in zip(out, weighed)]
+            own.append((own[-1][0] + own[-1][1] if own else 0, w, c, x))
+        return out
 
     @staticmethod
     def _sums(of: np.ndarray, rows: np.ndarray, count: int) -> np.ndarray:
@@ -219,6 +215,9 @@ class LanguageModel:
         """For each text its languages, (code, share of words, confidence), the main one first."""
         out = []
         for own in self.segments(texts):
+            if len(own) < 2:
+                out.append([(self.codes[c], 1.0, x) for _, _, c, x in own if c >= 0])
+                continue
             words, sure = Counter(), Counter()
             for _, w, c, x in own:
                 if c >= 0:

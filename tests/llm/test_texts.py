@@ -95,6 +95,17 @@ def test_line_model_is_estimated(spark):
     assert (line_model.fit(signs.limit(0)).emit == before.emit).all()
 
 
+def test_empty_tables_and_nulls(spark, model, common):
+    v = values(spark, [(None, None), ("", None), (" \n", "en")])
+    for own in (v, v.limit(0)):
+        assert text_statistics(own, common).where("kind is not null").count() == 0 and unnatural_texts(own, common).count() == 0
+        assert language_cases(own, model, common, natural_only=["text"]).count() == 0
+    row = text_statistics(v.where("row_idx = 1"), common).first()
+    assert (row.words, row.lines, row.mean_word_length, row.prose_share) == (0, 0, 0.0, 0.0)
+    twice = text_statistics(v.where("row_idx = 1").union(v.where("row_idx = 1")), common)
+    assert twice.count() == 2
+
+
 def test_bounds_of_samples(spark, common):
     many = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "ru").otherwise("de").alias("lang"), F.concat(F.lit("wort "), F.col("id").cast("string")).alias("text"))
     model = fit(many, common, most=20)
