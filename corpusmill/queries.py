@@ -442,6 +442,22 @@ def paragraph_chunks(spark, d):
     return chunk.chunk_records(documents(spark, d), 520, 80)
 
 
+@query(S.CHUNK_INVARIANTS)
+def chunk_invariants(spark, d):
+    """Of paragraph chunks the documents that have some, chunks that are too long, empty or out of their place, and links that lead nowhere."""
+    found = cut(paragraph_chunks(spark, d))
+    after = found.select(F.col("chunk_id").alias("next_chunk_id"), F.col("prev_chunk_id").alias("back"), F.col("pos").alias("next_pos"))
+    rows = found.join(after, "next_chunk_id", "left")
+    last = F.col("pos") == F.col("last")
+    linked = F.when(last, F.col("next_chunk_id").isNull()).otherwise((F.col("back") == F.col("chunk_id")) & (F.col("next_pos") == F.col("pos") + 1))
+    rows = rows.join(found.groupBy("doc_id").agg(F.max("pos").alias("last"), F.count("*").alias("n")), "doc_id")
+    count = lambda holds: F.sum(F.coalesce(holds, F.lit(True)).cast("bigint"))
+    return rows.agg(
+        F.count_distinct("doc_id").alias("documents"), count(F.length("chunk_text") > 520).alias("too_long"), count(F.trim("chunk_text") == "").alias("blank"),
+        count(F.col("start_char") >= F.col("end_char")).alias("reversed"), count(F.col("n") != F.col("last") + 1).alias("with_gaps"), count(~linked).alias("badly_linked"),
+    )
+
+
 # Search
 
 
@@ -527,6 +543,29 @@ def context_blocks(spark, d):
     return context.context_blocks(found, chunks)
 
 
+@query(S.CONTEXT_INVARIANTS)
+def context_invariants(spark, d):
+    """Questions with context blocks, and those with too many blocks, too many chunks of a document, too much text or a gap in their ranks."""
+    rows = cut(context_blocks(spark, d))
+    per_doc = rows.groupBy("qid", "doc_id").agg(F.sum(F.size("chunk_ids")).alias("own")).groupBy("qid").agg(F.max("own").alias("own"))
+    each = rows.groupBy("qid").agg(F.count("*").alias("n"), F.max("rank").alias("last"), F.sum(F.length("rendered_text")).alias("chars")).join(per_doc, "qid")
+    count = lambda holds: F.sum(holds.cast("bigint"))
+    return each.agg(
+        F.count("*").alias("questions"), count(F.col("n") > 3).alias("too_many"), count(F.col("own") > 3).alias("too_many_of_one"), count((F.col("chars") > 1800) & (F.col("n") > 1)).alias("too_long"), count(F.col("n") != F.col("last")).alias("with_gaps")
+    )
+
+
+@query(S.ANSWER_INVARIANTS)
+def answer_invariants(spark, d):
+    """Answers, those without any text, those whose evidence is not what their sources say, and generated ones without a passed gate."""
+    rows = answers(spark, d)
+    count = lambda holds: F.sum(F.coalesce(holds, F.lit(True)).cast("bigint"))
+    return rows.agg(
+        F.count("*").alias("answers"), count(F.trim("answer") == "").alias("blank"), count(F.col("evidence_count") != F.greatest(F.coalesce(F.size("sources"), F.lit(0)), F.lit(0))).alias("wrong_evidence"),
+        count((F.col("mode") == "rag") & ~F.col("grounded")).alias("ungrounded"), F.count("rag_error").alias("failed"),
+    )
+
+
 @query()
 def answers(spark, d):
     """Answers with sources, by a stand-in for a model."""
