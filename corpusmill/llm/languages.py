@@ -92,15 +92,11 @@ class LanguageModel:
         return [word[i : i + 3] for i in range(len(word) - 2)]
 
     def _new(self, token: str) -> int:
-        """The row of a token that was not met before; rows of unknown words are forgotten when there are too many."""
+        """The row of a token that was not met before."""
         if not WORDLIKE.match(token):
             return self.number.setdefault(token, 0)
         if token.isdigit():
             return 1
-        if len(self.rows) > self.memo:
-            del self.rows[self.known :]
-            self.number = {w: i for w, i in self.number.items() if i < self.known}
-            self.matrix = None
         found = [self.grams[g] for g in self._grams(token) if g in self.grams]
         score = np.sum(found, axis=0) if found else np.zeros(len(self.codes))
         foreign = max(token) > "Ͱ"  # another script can't be a Latin name
@@ -112,11 +108,17 @@ class LanguageModel:
 
     matrix = None
 
+    def _forget(self) -> None:
+        """Rows of unknown words are forgotten where there are more than ``memo``; only between batches, as ids of a batch point to them."""
+        if len(self.rows) - self.known > self.memo:
+            del self.rows[self.known :]
+            self.number = {w: i for w, i in self.number.items() if i < self.known}
+            self.matrix = None
+
     def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids, sizes = [], []
+        self._forget()
         number = self.number
-        if len(self.rows) > self.memo:
-            self._new("x" * 40)
         for text in texts:
             tokens = TOKEN.findall(text.lower())
             own = [number[t] if t in number else self._new(t) for t in tokens]

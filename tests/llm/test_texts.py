@@ -1,5 +1,6 @@
 """Languages, kinds, defects, packing, leaks and cuts on small cases."""
 
+import copy
 import random
 import re
 
@@ -61,6 +62,24 @@ def test_languages(spark, model, common):
     assert declared("pt-BR") == "pt" and declared("English") == "en" and declared("unknown") is None
 
 
+@pytest.mark.parametrize("memo", [40, 500, 2000])
+def test_more_unknown_words_than_are_kept(spark, model, memo):
+    """A batch may pass the number of unknown words that a model keeps, and may hold more than it, as may the known ones."""
+    rnd = random.Random(5)
+    en, de = "The team found that the answer was not what they had in mind.", "Die Arbeitsgruppe prüfte das Modell nach der Freigabe und fand keine Abweichung."
+    new = [["".join(rnd.choices("abdegiklmnoprstuz", k=9)) for _ in range(8)] for _ in range(1200)]
+    texts = [" ".join([(en, de, f"{en} {de}", "")[i % 4], *own]) for i, own in enumerate(new)]
+    small, wide = copy.deepcopy(model), copy.deepcopy(model)
+    small.memo = memo
+    for i in range(0, len(texts), 30):
+        assert small.segments(texts[i : i + 30]) == wide.segments(texts[i : i + 30])
+        assert len(small.rows) - small.known <= memo + 30 * 20
+    assert len(wide.rows) - wide.known > 9000 and small.known > 40
+    v = values(spark, [(t, None) for t in texts]).coalesce(1)
+    found = [{(r.row_idx, r.lang, r.share, r.confidence) for r in text_languages(v, m).collect()} for m in (small, wide)]
+    assert found[0] == found[1] and {i for i in range(len(texts)) if i % 4 < 3} <= {i for i, *_ in found[0]}
+
+
 def test_kinds(spark, common):
     prose = "The notes on the model call the reranker fragile, because the chunks overlapped too much. It is cheap to run it next to the other one."
     rows = [
