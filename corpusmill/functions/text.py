@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: White space and word characters in one form that JVM and RE2 regular expressions read alike (fixed values).
 SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: The same characters.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 OTHER_SPACE = SPACE.replace(r"\x20", r"\x1f")
 WORD = r"[\p{L}\p{N}_]"
 EDGE = r"(^|[^\p{L}\p{N}_])"
@@ -29,7 +31,7 @@ def normalized_lower(c: Column) -> Column:
 
 def stripped(c: Column) -> Column:
     """White space cut off at both ends, whatever it is."""
-    return F.regexp_replace(F.coalesce(c, F.lit("")), f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(F.coalesce(c, F.lit("")), F.lit(SPACES))
 
 
 def non_ascii_ratio(c: Column) -> Column:

@@ -15,7 +15,7 @@ from ..functions import text as T
 
 BLANK = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")
 SENTENCE = re.compile(r"[^.!?\n]+(?:[.!?]+|$)")
-SCHEMA = "doc_id string, pos int, start_char int, end_char int, chunk_text string, section string"
+SCHEMA = "doc_id string, pos int, start_char int, end_char int, chunk_text string, section string, source_path string, source_name string, title string, chunk_id string, prev_chunk_id string, next_chunk_id string"
 
 
 def check(size: int, overlap: int) -> None:
@@ -137,20 +137,23 @@ def _chunked(size: int, overlap: int, offsets: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, section, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                for pos, (a, b, body, named) in enumerate(paragraph_chunks(text or "", size, overlap, section=section, offsets=offsets)):
-                    rows.append((doc, pos, a, b, body, named))
-            types = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["doc_id", "pos", "start_char", "end_char", "chunk_text", "section"])
+            for doc, section, text, *record in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                found = paragraph_chunks(text or "", size, overlap, section=section, offsets=offsets)
+                names = [None, *(f"{doc}__{pos:04d}" for pos in range(len(found))), None]
+                for pos, (a, b, body, named) in enumerate(found):
+                    rows.append((doc, pos, a, b, body, named, *record, names[pos + 1], names[pos], names[pos + 2]))
+            types = (pa.string(), pa.int32(), pa.int32(), pa.int32(), *[pa.string()] * 8)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
     return run
 
 
 def chunk_records(documents: DataFrame, size: int, overlap: int, *, offsets: str = "document") -> DataFrame:
-    """Chunks of document records with ids ``{doc_id}__{0000}``, the ids of both neighbours, and the records' columns."""
+    """Chunks of document records with ids ``{doc_id}__{0000}``, the ids of both neighbours, and the records' columns. A document's chunks are made and linked in
+    one go, in the order of the records; no text is shuffled."""
     check(size, overlap)
-    cut = documents.select(F.col("doc_id").cast("string"), "section", "text").mapInArrow(_chunked(size, overlap, offsets), SCHEMA)
-    return linked(cut.join(documents.select(F.col("doc_id").cast("string").alias("doc_id"), "source_path", "source_name", "title"), "doc_id"))
+    rows = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "section", "text", "source_path", "source_name", "title")
+    return rows.where("doc_id is not null").mapInArrow(_chunked(size, overlap, offsets), SCHEMA)
 
 
 def linked(chunks: DataFrame) -> DataFrame:

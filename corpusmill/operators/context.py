@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .retrieval import TOKEN
+from ..plans.lineage import cut
+from .retrieval import TOKEN, picked
 
 BLOCK_SCHEMA = "qid bigint, rank int, doc_id string, source_path string, source_name string, title string, section string, chunk_ids array<string>, start_char int, end_char int, text string, rendered_text string"
 #: What is said where no model answers (fixed values, as those in ``answers``).
@@ -64,8 +65,9 @@ def context_blocks(ranked: DataFrame, chunks: DataFrame, limits: Assembly = Asse
     the columns of chunk records with ``text``.
     """
     names = ["chunk_idx", "doc_id", "source_path", "source_name", "title", "section", "chunk_id", "next_chunk_id", "start_char", "end_char", "text"]
-    own = ranked.select("qid", "chunk_idx", "rank").join(chunks.select(*names), "chunk_idx")
-    follow = chunks.select(F.col("chunk_id").alias("next_chunk_id"), F.struct("doc_id", "section", "chunk_id", "start_char", "end_char", "text").alias("next"))
+    ranked = cut(ranked.select("qid", "chunk_idx", "rank"))
+    own = cut(ranked.join(picked(chunks, ranked).select(*names), "chunk_idx"))
+    follow = picked(chunks, own.select(F.col("next_chunk_id").alias("chunk_id")), "chunk_id").select(F.col("chunk_id").alias("next_chunk_id"), F.struct("doc_id", "section", "chunk_id", "start_char", "end_char", "text").alias("next"))
     rows = own.join(follow, "next_chunk_id", "left")
     text, more = T.stripped(F.col("text")), T.stripped(F.col("next.text"))
     unfinished = (text != "") & ~text.rlike(r"[.!?:`]$")

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..plans.lineage import cut
+from .retrieval import picked
 
 
 def eval_errors(items: DataFrame, *, query_chars: int = 8, expected_chars: int = 8) -> DataFrame:
@@ -33,7 +35,8 @@ def eval_summary(items: DataFrame, **limits) -> DataFrame:
 def hit_ranks(ranked: DataFrame, chunks: DataFrame, items: DataFrame) -> DataFrame:
     """``(qid, hit_rank)``: the first rank whose text contains the item's expected text, ignoring case; null if none."""
     expected = items.select(F.col("eval_index").alias("qid"), F.lower("expected_substring").alias("expected"))
-    rows = ranked.join(chunks.select("chunk_idx", F.lower("text").alias("text")), "chunk_idx").join(expected, "qid")
+    ranked = cut(ranked)
+    rows = ranked.join(picked(chunks, ranked).select("chunk_idx", F.lower("text").alias("text")), "chunk_idx").join(expected, "qid")
     hits = rows.where(F.contains("text", "expected")).groupBy("qid").agg(F.min("rank").alias("hit_rank"))
     return expected.select("qid").join(hits, "qid", "left")
 

@@ -29,6 +29,18 @@ def scratch(spark: SparkSession) -> str:
     return f"{checkpoint_folder(spark)}/files-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as a compressed parquet table below the checkpoint folder and read back, by column.
+
+    For wide rows that are read again: a checkpoint of texts takes a multiple of the parquet table they come from. The table is deleted when the session ends.
+    """
+    spark, path = df.sparkSession, scratch(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.parquet(path)
+
+
 def cut(df: DataFrame, *, free: bool = False) -> DataFrame:
     """``df`` written to the checkpoint folder and read back.
 

@@ -7,15 +7,14 @@ from dataclasses import asdict
 from datetime import datetime, timezone
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Config, Rag
 from ..functions import text as T
 from ..operators import chunk, clean, context, evaluate, retrieval, split
-from ..operators.ordering import global_ordinal
 from ..sources import files, store
-from .lineage import cut
+from .lineage import cut, stored
 
 STAGES = ("clean", "split", "eval", "index")
 
@@ -27,10 +26,16 @@ def bare_documents(texts: DataFrame) -> DataFrame:
 
 
 def numbered_chunks(documents: DataFrame, size: int, overlap: int) -> DataFrame:
-    """Chunk records with ``chunk_idx``, their number in the order of documents and places, and ``text``."""
-    rows = cut(chunk.chunk_records(documents, size, overlap))
-    place = F.concat_ws("|", "doc_id", F.lpad(F.col("pos").cast("string"), 9, "0"))
-    return global_ordinal(rows.withColumn("_place", place).withColumnRenamed("chunk_text", "text"), "_place", "chunk_idx").drop("_place")
+    """Chunk records with ``chunk_idx``, their number in the order of documents and places, and ``text``; stored, so nothing is chunked again.
+
+    Documents are sorted by range and chunked where they then are, so each task's chunks are in order; only the number of chunks of each task goes through a single one.
+    """
+    placed = documents.withColumn("_place", F.concat(F.col("doc_id").cast("string"), F.lit("|"))).repartitionByRange("_place", "source_path").sortWithinPartitions("_place", "source_path")
+    rows = stored(chunk.chunk_records(placed, size, overlap).withColumnRenamed("chunk_text", "text").withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", 33)  # where a task's own numbers begin
+    sizes = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_size"), F.min("_id").alias("_first"))
+    before = cut(sizes.select("_part", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size") - F.col("_first")).alias("_shift")))
+    return rows.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn("chunk_idx", F.col("_id") + F.col("_shift")).drop("_part", "_id", "_shift")
 
 
 def build_index(documents: DataFrame, config: Config, out: str, *, rebuild: bool = False, embedder: retrieval.Embedder | None = None) -> int:
@@ -42,7 +47,7 @@ def build_index(documents: DataFrame, config: Config, out: str, *, rebuild: bool
             return files.load_index(spark, out)["chunks"].count()
     except ValueError:
         pass
-    rows = cut(numbered_chunks(documents, config.rag.chunk_size, config.rag.chunk_overlap))
+    rows = numbered_chunks(documents, config.rag.chunk_size, config.rag.chunk_overlap)
     n = rows.count()
     if not n:
         raise ValueError("no chunks to index")
@@ -55,15 +60,23 @@ def build_index(documents: DataFrame, config: Config, out: str, *, rebuild: bool
     return n
 
 
-def find(index: dict[str, DataFrame], queries: DataFrame, rag: Rag, embedder: retrieval.Embedder | None = None) -> DataFrame:
-    """``(qid, chunk_idx, rank, score)`` over the tables of an index; nothing of it is computed again."""
+def _candidates(rag: Rag) -> int:
+    return retrieval.candidate_count(rag.top_k, hybrid=rag.retrieval_mode == "hybrid", rerank=rag.reranker_enabled, configured=rag.reranker_candidate_k)
+
+
+def find(index: dict[str, DataFrame], queries: DataFrame, rag: Rag, embedder: retrieval.Embedder | None = None, near: DataFrame | None = None) -> DataFrame:
+    """``(qid, chunk_idx, rank, score)`` over the tables of an index; nothing of it is computed again. Without postings the chunks' texts are
+    scanned. ``near`` are the nearest vectors where they are known, as many as wanted or more."""
     hybrid = rag.retrieval_mode == "hybrid"
-    n = retrieval.candidate_count(rag.top_k, hybrid=hybrid, rerank=rag.reranker_enabled, configured=rag.reranker_candidate_k)
-    found = retrieval.knn(index["vectors"], retrieval.embed(queries, "qid", "query", embedder), n)
+    n = _candidates(rag)
+    found = near.where(F.col("rank") <= n) if near is not None else retrieval.knn(index["vectors"], retrieval.embed(queries, "qid", "query", embedder), n)
     if hybrid:
-        posting = index["postings"] if "postings" in index else retrieval.postings(index["chunks"])
-        stats = index["statistics"] if "statistics" in index else retrieval.keyword_stats(index["chunks"])
-        found = retrieval.fuse(found, retrieval.bm25(posting, stats, queries, n, words=index.get("vocabulary")), n, rrf_k=rag.rrf_k)
+        if "postings" in index:
+            stats = index["statistics"] if "statistics" in index else retrieval.keyword_stats(index["chunks"])
+            words = retrieval.bm25(index["postings"], stats, queries, n, words=index.get("vocabulary"))
+        else:
+            words = retrieval.bm25_scan(index["chunks"], queries, n)
+        found = retrieval.fuse(found, words, n, rrf_k=rag.rrf_k)
     return retrieval.rerank(found, queries, index["chunks"], rag.top_k) if rag.reranker_enabled else found.where(F.col("rank") <= rag.top_k)
 
 
@@ -83,11 +96,14 @@ def serving_summary(spark: SparkSession, folder: str) -> dict:
     return {"pipeline_role": "online", "artifacts_dir": folder, "manifest_available": there, "schema_version": found["schema_version"], **found["online_pipeline"]}
 
 
-def evaluated(index: dict[str, DataFrame], items: DataFrame, rag: Rag, ks: list[int]) -> DataFrame:
-    """Metrics at some depths of the items ``(eval_index, query, expected_substring)``."""
-    queries = items.select(F.col("eval_index").cast("bigint").alias("qid"), "query")
+def _queries(items: DataFrame) -> DataFrame:
+    return items.select(F.col("eval_index").cast("bigint").alias("qid"), "query")
+
+
+def evaluated(index: dict[str, DataFrame], items: DataFrame, rag: Rag, ks: list[int], near: DataFrame | None = None) -> DataFrame:
+    """Metrics at some depths of the items ``(eval_index, query, expected_substring)``; ``near`` as in ``find``."""
     deep = Rag(**(asdict(rag) | {"top_k": max(ks)}))
-    ranks = cut(evaluate.hit_ranks(find(index, queries, deep), index["chunks"], items.withColumn("eval_index", F.col("eval_index").cast("bigint"))))
+    ranks = cut(evaluate.hit_ranks(find(index, _queries(items), deep, near=near), index["chunks"], items.withColumn("eval_index", F.col("eval_index").cast("bigint"))))
     return reduce(DataFrame.unionByName, [evaluate.metrics(ranks, k) for k in ks])
 
 

@@ -532,8 +532,8 @@ def quality_gate_off(spark, d):
 
 
 def _served(spark, d):
-    indexed = cut(pipeline.numbered_chunks(documents(spark, d), 520, 80))
-    return indexed, retrieval.retrieve(indexed, questions(spark, d), top_k=5, mode="hybrid", reranked=True)
+    indexed = pipeline.numbered_chunks(documents(spark, d), 520, 80)
+    return indexed, cut(retrieval.retrieve(indexed, questions(spark, d), top_k=5, mode="hybrid", reranked=True))
 
 
 @query()
@@ -570,7 +570,6 @@ def answer_invariants(spark, d):
 def answers(spark, d):
     """Answers with sources, by a stand-in for a model."""
     chunks, found = _served(spark, d)
-    found = cut(found)
     gate = retrieval.quality_gate(found, questions(spark, d), chunks, min_score=0.6, min_coverage=0.5)
     return context.answers(context.context_blocks(found, chunks), gate, questions(spark, d), mode="rag")
 

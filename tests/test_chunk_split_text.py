@@ -102,3 +102,19 @@ def test_pairs_of_messages(spark):
         assert [(r.instruction, r.response) for r in found] == [("q1", "a1"), ("q2", "a2")]
     found = prepare.ordinal_pairs(df).orderBy("row_idx").collect()
     assert [(r.instruction, r.response) for r in found] == [("q1", "a1"), ("q", "no")]
+
+
+def test_documents_of_one_key_keep_their_own_chunks(spark):
+    rows = [("a.b", "one two three.\n\nfour five six."), ("a-b", "seven eight nine.\n\nten."), ("a", "zero.")]
+    records = chunk.document_records(spark.createDataFrame(rows, "path string, text string"), F.col("path"), F.col("path"))
+    found = chunk.chunk_records(records, 20, 0)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()  # texts stay where they are
+    own = sorted((r.source_path, r.pos, r.next_chunk_id, r.chunk_text) for r in found.collect())
+    assert [x[:3] for x in own] == [("a", 0, None), ("a-b", 0, "a_b__0001"), ("a-b", 1, None), ("a.b", 0, "a_b__0001"), ("a.b", 1, None)] and own[2][3] == "ten."
+
+
+def test_white_space_at_ends(spark):
+    odd = "a" + T.SPACES + "\u200b\u0084\u180e\ufeff"
+    rows = [(f"{c}{d} x{c}y {d}{c}",) for c in odd for d in odd] + [(T.SPACES,), ("",), (None,), ("\u00e9 \n",)]
+    was = F.regexp_replace(F.coalesce("s", F.lit("")), f"^{T.SPACE}+|{T.SPACE}+$", "")
+    assert spark.createDataFrame(rows, "s string").where(was != T.stripped(F.col("s"))).count() == 0

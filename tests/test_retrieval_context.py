@@ -206,3 +206,38 @@ def test_generator_gets_whole_batches(spark):
     assert ask("a", "b", "c") == {i: ("fine", None) for i in range(3)}
     found = ask("a", "Bad")
     assert found[0] == ("fine", None) and found[1][1] == "no"
+
+
+def test_what_search_over_chunks_writes_stays_below_its_input(spark, tmp_path):
+    import random
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from corpusmill.operators import chunk
+    from corpusmill.plans import pipeline
+    from corpusmill.plans.lineage import checkpoint_folder
+
+    draw = random.Random(3)
+    words = ["the", "of", "and", *("".join(draw.choices("abcdefghij", k=6)) for _ in range(3000))]
+    texts = ["\n\n".join(" ".join(draw.choices(words, [300] * 3 + [1] * 3000, k=70)) + "." for _ in range(8)) for _ in range(1500)]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(2).write.parquet(str(tmp_path / "in"))
+    raw, folder = spark.read.parquet(str(tmp_path / "in")), Path(urlparse(checkpoint_folder(spark)).path)
+    size = lambda d: sum(p.stat().st_size for p in d.rglob("*") if p.is_file())
+    before = size(folder)
+    path = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
+    c = pipeline.numbered_chunks(chunk.document_records(raw, path, path), 520, 80)
+    q = queries(spark, *(f"the {a} of {b} and {d}" for a, b, d in zip(words[3:40], words[50:], words[100:])))
+    found = retrieval.retrieve(c, q, top_k=5, mode="hybrid", reranked=True)
+    assert context.context_blocks(found, c).select("qid").distinct().count() == 37
+    assert size(folder) - before < size(tmp_path / "in")
+    order = [(r.doc_id, r.pos) for r in c.orderBy("chunk_idx").collect()]
+    assert [r.chunk_idx for r in c.select("chunk_idx").orderBy("chunk_idx").collect()] == list(range(len(order))) and order == sorted(order, key=lambda x: (x[0] + "|", x[1]))
+
+
+def test_scan_takes_rare_and_frequent_words_alike(spark, monkeypatch):
+    texts = [" ".join(f"w{(i * k) % 23}" for k in range(1, 1 + i % 9)) for i in range(120)]
+    c, q = chunks(spark, texts), queries(spark, "w1 w2 w2 w3", "w0 w5 w22 zzz", "w7", "zzz")
+    truth = sorted(map(tuple, retrieval.bm25(retrieval.postings(c), retrieval.keyword_stats(c), q, 7).collect()))
+    for heads in (0, 2, 256):
+        monkeypatch.setattr(retrieval, "HEADS", heads)
+        assert truth == sorted(map(tuple, retrieval.bm25_scan(c, q, 7).collect())) and len(truth) == 21
