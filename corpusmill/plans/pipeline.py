@@ -108,22 +108,22 @@ def evaluated(index: dict[str, DataFrame], items: DataFrame, rag: Rag, ks: list[
 
 
 def ablation(documents: DataFrame, items: DataFrame, grid: DataFrame, base: Rag | None = None, *, max_runs: int = 0, dry_run: bool = False) -> DataFrame:
-    """The leaderboard of a grid of variants, of the first ``max_runs`` if that is positive; a dry run only returns the variants. Chunks and vectors are made
-    once for each size and overlap, searched once for each mode at the greatest depth."""
+    """The leaderboard of a grid of variants, of the first ``max_runs`` if that is positive; a dry run only returns the variants. Chunks are made once for each
+    size and overlap, and their vectors, which are not kept, searched once for all modes at the greatest depth."""
     if max_runs > 0:
         grid = grid.orderBy("ordinal").limit(max_runs)
     if dry_run:
         return grid
     base, rows, parts = base or Rag(), grid.orderBy("ordinal").collect(), []
     for size, overlap in dict.fromkeys((r.chunk_size, r.chunk_overlap) for r in rows):
-        chunks = cut(numbered_chunks(documents, size, overlap))
-        index = {"chunks": chunks, "vectors": cut(retrieval.embed(chunks, "chunk_idx", "text"))}
+        chunks = numbered_chunks(documents, size, overlap)
+        index = {"chunks": chunks, "vectors": retrieval.embed(chunks, "chunk_idx", "text")}
         own = [r for r in rows if (r.chunk_size, r.chunk_overlap) == (size, overlap)]
-        if any(r.retrieval_mode == "hybrid" for r in own):
-            index["postings"] = cut(retrieval.postings(chunks))
+        most = max(_candidates(Rag(**(asdict(base) | {"retrieval_mode": r.retrieval_mode, "top_k": r.top_k}))) for r in own)
+        near = cut(retrieval.knn(index["vectors"], retrieval.embed(_queries(items), "qid", "query"), most))
         for mode in dict.fromkeys(r.retrieval_mode for r in own):
             rag = Rag(**(asdict(base) | {"retrieval_mode": mode, "chunk_size": size, "chunk_overlap": overlap}))
-            found = evaluated(index, items, rag, [r.top_k for r in own if r.retrieval_mode == mode])
+            found = evaluated(index, items, rag, [r.top_k for r in own if r.retrieval_mode == mode], near)
             parts.append(found.select(F.lit(mode).alias("retrieval_mode"), F.lit(size).alias("chunk_size"), F.lit(overlap).alias("chunk_overlap"), "top_k", "queries", "hits", "hit_rate", "mrr"))
     results = reduce(DataFrame.unionByName, parts)
     return evaluate.leaderboard(grid.join(results, ["retrieval_mode", "chunk_size", "chunk_overlap", "top_k"]))

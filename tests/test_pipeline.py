@@ -91,3 +91,26 @@ def test_lists_of_parameters():
     for bad in ("", "x", "0"):
         with pytest.raises(ValueError):
             evaluate.numbers_of(bad, "k")
+
+
+def test_ablation_keeps_neither_vectors_nor_postings(spark, tmp_path):
+    import random
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from corpusmill.operators import chunk
+    from corpusmill.plans.lineage import checkpoint_folder
+
+    draw = random.Random(5)
+    words = ["".join(draw.choices("abcdefghij", k=6)) for _ in range(2000)]
+    texts = ["\n\n".join(" ".join(draw.choices(words, k=70)) + "." for _ in range(8)) for _ in range(300)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").write.parquet(str(tmp_path / "in"))
+    path = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
+    docs = chunk.document_records(spark.read.parquet(str(tmp_path / "in")), path, path)
+    items = spark.createDataFrame([(i, texts[i][600:660], texts[i][600:630]) for i in range(20)], "eval_index int, query string, expected_substring string")
+    size = lambda d: sum(p.stat().st_size for p in d.rglob("*") if p.is_file())
+    folder = Path(urlparse(checkpoint_folder(spark)).path)
+    before = size(folder)
+    board = pipeline.ablation(docs, items, evaluate.variants(spark, ["vector", "hybrid"], [520, 1000], [80], [3, 8])).collect()
+    assert size(folder) - before < 4 * size(tmp_path / "in")
+    assert len(board) == 8 and max(r.hit_rate for r in board) == 1.0
