@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import json
+import os
+import uuid
+from collections.abc import Iterator
 from datetime import datetime, timezone
+from itertools import groupby
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +19,10 @@ from . import store
 RAG_SCHEMA = "row_idx bigint, id string, source string, title string, text string, tags array<string>"
 SFT_SCHEMA = "row_idx bigint, id string, source string, instruction string, response string"
 EVAL_SCHEMA = "query string, expected_substring string"
+#: Tasks a core in which small files are read.
+TASKS = 4
+#: Folders of a set of text files: more than 32, so that Spark lists them at once.
+FOLDERS = 64
 #: Steps of the two halves of a pipeline (fixed values of the manifest).
 OFFLINE = ["prepare_datasets", "clean_processed_datasets", "chunk_documents", "build_embeddings", "build_index", "archive_artifacts", "evaluate"]
 ONLINE = ["load_artifacts", "retrieve", "rerank", "quality_gate", "context_assembly", "generate", "source_attribution"]
@@ -44,14 +53,51 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     """``(source_path, source_name, text)`` of all .txt and .md files below a folder that are not blank; none is an error."""
     raw = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.{txt,md}").load(folder)
     rows = raw.select(F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_name").alias("source_name"), T.stripped(F.col("value")).alias("text")).where(F.col("text") != "")
+    rows = rows.coalesce(TASKS * spark.sparkContext.defaultParallelism)  # Spark reads a few small files a task
     if rows.isEmpty():
         raise ValueError(f"no documents below {folder}")
     return rows
 
 
 def write_documents(files: DataFrame, path: str) -> None:
-    """Rows ``(doc_file, content)`` as text files, a folder for each; on request only, as many small files are slow to read."""
-    files.select("doc_file", "content").repartition("doc_file").write.mode("error").partitionBy("doc_file").text(path)
+    """Rows ``(doc_file, content)`` as text files; on request only, as many small files are slow to read. A folder that is there is an error.
+
+    Spark's writer sets up, moves and reports each file by itself, and lists each folder as a task. Where the folder is one of the machine's file system the tasks write files
+    ``doc_file={name}.txt`` into a few folders instead, each under another name until it is whole; elsewhere Spark writes a folder ``doc_file={name}`` for each.
+    """
+    spark = files.sparkSession
+    rows, (system, where) = files.select("doc_file", "content").repartition("doc_file"), store._at(spark, path)
+    place = where.makeQualified(system.getUri(), system.getWorkingDirectory()).toUri()
+    if place.getScheme() != "file":
+        return rows.write.mode("error").partitionBy("doc_file").text(path)
+    if system.exists(where):
+        raise FileExistsError(path)
+    name = F.col("doc_file").cast("string")
+    shown = F.when(F.coalesce(name, F.lit("")) == "", "__HIVE_DEFAULT_PARTITION__").otherwise(F.url_encode(name))
+    named = F.concat(F.pmod(F.xxhash64(name), F.lit(FOLDERS)), F.lit("/doc_file="), shown, F.lit(".txt"))
+    out = rows.select(named.alias("file"), F.col("content").cast("binary").alias("content")).sortWithinPartitions("file")
+    out.mapInArrow(_written(place.getPath()), "files bigint").agg(F.sum("files")).collect()
+    store.write_text(spark, f"{path}/_SUCCESS", "")
+
+
+def _written(root: str):
+    """Write sorted rows ``(file, content)``, the rows of a file as its lines; how many files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((f, c or b"") for batch in batches for f, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        n = 0
+        for file, lines in groupby(rows, key=lambda r: r[0]):
+            folder = f"{root}/{file.split('/')[0]}"
+            if not os.path.isdir(folder):
+                os.makedirs(folder, exist_ok=True)
+            draft = f"{folder}/.{uuid.uuid4().hex}"
+            with open(draft, "wb") as f:
+                f.writelines(c + b"\n" for _, c in lines)
+            os.replace(draft, f"{root}/{file}")
+            n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["files"])
+
+    return run
 
 
 def stackoverflow_items(df: DataFrame) -> tuple[DataFrame, DataFrame]:

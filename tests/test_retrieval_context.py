@@ -241,3 +241,17 @@ def test_scan_takes_rare_and_frequent_words_alike(spark, monkeypatch):
     for heads in (0, 2, 256):
         monkeypatch.setattr(retrieval, "HEADS", heads)
         assert truth == sorted(map(tuple, retrieval.bm25_scan(c, q, 7).collect())) and len(truth) == 21
+
+
+def test_text_files_lie_in_few_folders_and_are_read_by_few_tasks(spark, tmp_path):
+    rows = [(f"doc_{i}", f" text {i}\n") for i in range(150)] + [("_a/b c.é", "odd"), (".x", "hidden"), (None, "nameless"), ("none", None), ("two", "first"), ("two", "second")]
+    df = spark.createDataFrame(rows, "doc_file string, content string").repartition(8)
+    files.write_documents(df, str(tmp_path / "out"))
+    assert len([p for p in (tmp_path / "out").rglob("*") if p.is_dir()]) <= files.FOLDERS < 150
+    found = files.read_documents(spark, str(tmp_path / "out"))
+    assert found.rdd.getNumPartitions() <= files.TASKS * spark.sparkContext.defaultParallelism
+    texts = {r.source_name: r.text for r in found.collect()}
+    assert len(texts) == 154 and texts["doc_file=doc_7.txt"] == "text 7" and {"odd", "hidden", "nameless"} <= set(texts.values())
+    assert sorted(texts["doc_file=two.txt"].split("\n")) == ["first", "second"]
+    with pytest.raises(FileExistsError):
+        files.write_documents(df, str(tmp_path / "out"))
